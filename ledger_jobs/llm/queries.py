@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledger_jobs.llm import exact_dedup, substring_dedup
+from ledger_jobs.llm import exact_dedup, minhash, substring_dedup
 from ledger_jobs.llm.common import table
 
 
@@ -20,9 +20,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), size=2, percent=80).withColumnsRenamed(
+        {"id": "doc_id", "component": "component_id"}
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
