@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledger_jobs.llm import exact_dedup, minhash, substring_dedup
+from ledger_jobs.llm import bpe, exact_dedup, minhash, packing, substring_dedup
 from ledger_jobs.llm.common import table
 
 
@@ -20,6 +21,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), size=2, percent=80).withColumnsRenamed(
         {"id": "doc_id", "component": "component_id"}
@@ -29,6 +40,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_packing": op6_packing,
     "op8_minhash": op8_minhash,
 }
 
