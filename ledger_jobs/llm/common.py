@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _local: dict[str, str] = {}
 
 

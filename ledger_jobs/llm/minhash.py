@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledger_jobs.llm.common import blocks, id_text, keep, record_batch
 from ledger_jobs.llm.components import components
-from ledger_jobs.llm.words import Words, grams, mix
+from ledger_jobs.llm.words import Words, by_row, grams, mix
 
 BANDS, ROWS = 28, 5
 HASHES, LONGS = BANDS * ROWS, 5
@@ -65,7 +65,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row, h = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((h, row))
+    order = by_row(row, h)
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -142,7 +142,7 @@ def _confirmed(size: int, percent: int):
             n = batch.num_rows
             (row_a, a), (row_b, b) = (shingle_sets(batch.column(c), size) for c in ("text_a", "text_b"))
             row, h = np.concatenate((row_a, row_b)), np.concatenate((a, b))
-            order = np.lexsort((h, row))
+            order = by_row(row, h)
             row, h = row[order], h[order]
             both = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=n)
             union = np.bincount(row, minlength=n) - both

@@ -11,10 +11,11 @@ judged on the input.
    sketch of its rows; the sketches are merged chunk by chunk in the tasks that own the chunks.
    The merged sketch (two rows of ``counters`` two-bit counters that stop at 2) overestimates, and
    a window whose estimate is below 2 occurs once.
-2. Second pass.  Windows estimated as repeated are hashed with 96 bits and grouped: the smallest
-   id per window, by partial aggregation.  Repeats inside one text are settled in its own task.
-   Only windows of a later id than the first are removed; the join that finds them has one row
-   per repeated window on the one side, and adaptive execution may split the other.
+2. Second pass.  Windows estimated as repeated are hashed with 96 bits and dealt out in sorted
+   ranges of (window, id), so that a window which a third of the texts share is spread over many
+   tasks.  Each task lets go on what has a later id than the first with its window; of the window
+   that a range starts with, the ranges before may hold the first, which the ends of all ranges
+   tell.  Repeats inside one text are settled in its own task.
 3. Starts of removed windows meet the texts by id, and the kept words are put together.
 
 The sketch is sized by the corpus up to ``most_counters`` (then 2 * most_counters / 4 bytes are
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +172,46 @@ def _candidate_rows(merged, counters: int):
     return run
 
 
+FOUND = pa.schema(
+    [("id", pa.int64()), ("start", pa.int32()), ("part", pa.int32()), ("edge", pa.int8()), ("h1", pa.int64()), ("h2", pa.int32())]
+)
+
+
+def _later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted candidates, those of a later id than the first with their window (edge 0).
+
+    Whether the first rows of the task have an earlier id too, the tasks before know: these rows
+    go out as edge 1, and the last window of the task as edge 2.
+    """
+    part = TaskContext.get().partitionId()
+    last = head = low = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, ids = (np.asarray(batch.column(c)) for c in ("h1", "h2", "id"))
+        if last is None:
+            head, low = (h1[0], h2[0]), ids[0]
+            last = (head, low)
+        new = np.ones(len(ids), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[0] = (h1[0], h2[0]) != last[0]
+        group = np.cumsum(new)
+        lows = np.concatenate(([last[1]], ids[new]))
+        later = ids > lows[group]
+        first = (~later) & (h1 == head[0]) & (h2 == head[1])
+        last = ((h1[-1], h2[-1]), lows[group[-1]])
+        for edge, rows in ((0, later), (1, first)):
+            if rows.any():
+                at = pa.array(np.flatnonzero(rows))
+                n = len(at)
+                yield record_batch(
+                    FOUND, id=batch.column("id").take(at), start=batch.column("start").take(at), part=np.full(n, part),
+                    edge=np.full(n, edge), h1=batch.column("h1").take(at), h2=batch.column("h2").take(at),
+                )
+    if last is not None:
+        yield record_batch(FOUND, id=[None], start=[None], part=[part], edge=[2], h1=[last[0][0]], h2=[last[0][1]])
+
+
 def removed_starts(texts: DataFrame, most_counters: int = 1 << 26) -> DataFrame:
     """(id, starts): windows of each text that a smaller id has too, by place of their first word."""
     texts = texts.filter("id IS NOT NULL")
@@ -177,21 +219,32 @@ def removed_starts(texts: DataFrame, most_counters: int = 1 << 26) -> DataFrame:
     counters = 1 << min(max(int(size // 12).bit_length(), 16), most_counters.bit_length() - 1)
     merged = texts.sparkSession.sparkContext.broadcast(sketch(texts, counters))
     passed = texts.mapInArrow(_candidate_rows(merged, counters), "h1 bigint, h2 int, id bigint, start int")
-    firsts = keep(
-        passed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("high > low").drop("high"),
+    found = keep(
+        passed.repartitionByRange("h1", "h2", "id")
+        .sortWithinPartitions("h1", "h2", "id")
+        .mapInArrow(_later_rows, "id bigint, start int, part int, edge tinyint, h1 bigint, h2 int"),
         "repeated-windows",
     )
-    return passed.join(firsts, ["h1", "h2"]).filter("id > low").groupBy("id").agg(F.collect_list("start").alias("starts"))
+    ends = found.filter("edge = 2").select("h1", "h2", F.col("part").alias("before"))
+    heads = found.filter("edge = 1").join(ends, ["h1", "h2"]).filter("before < part").select("id", "start").distinct()
+    later = found.filter("edge = 0").select("id", "start").unionByName(heads)
+    return later.groupBy("id").agg(F.collect_list("start").alias("starts"))
 
 
 def _own_repeats(win: Windows) -> np.ndarray:
     """Windows that start again in the same text, by their first word in the block."""
     if not len(win.at):
         return win.at
-    key = np.stack([grams(win.hash, WINDOW)[win.at], grams(win.words.hashes(1), WINDOW)[win.at]])
-    order = np.lexsort((win.at, key[1], key[0], win.row))
-    same = (np.diff(win.row[order]) == 0) & (np.diff(key[0][order]) == 0) & (np.diff(key[1][order]) == 0)
-    return win.at[order[1:][same]]
+    one = grams(win.hash, WINDOW)[win.at]
+    key = np.sort(one_key := mix(one + win.row.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
+    some = np.flatnonzero(np.isin(one_key, key[1:][key[1:] == key[:-1]]))
+    if not len(some):
+        return some
+    at, row, one = win.at[some], win.row[some], one[some]
+    two = grams(win.words.hashes(1), WINDOW)[at]
+    order = np.lexsort((at, two, one, row))
+    at, row, one, two = at[order], row[order], one[order], two[order]
+    return at[1:][(row[1:] == row[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])]
 
 
 def covered(win: Windows, batch: pa.RecordBatch) -> np.ndarray:
