@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledger_jobs.llm import bpe, exact_dedup, minhash, packing, substring_dedup
+from ledger_jobs.llm import bpe, exact_dedup, lattice, minhash, packing, sharding, substring_dedup, url_filter, warc
 from ledger_jobs.llm.common import table
 
 
@@ -15,6 +16,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+#: Verdict of each rule of the url query.
+URL_RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnsRenamed(
         {"id": "doc_id", "digest": "text_sha256"}
@@ -31,20 +46,56 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+SLOTS = 65_537
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), ["doc_id"], SHARDS, SLOTS).select("doc_id", "slot", "shard")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), size=2, percent=80).withColumnsRenamed(
         {"id": "doc_id", "component": "component_id"}
     )
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings")).withColumnsRenamed(
+        {"id": "vec_id", "component": "component_id"}
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, with_payload=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
+    "op9_lattice": op9_lattice,
+    "op10_warc": op10_warc,
 }
 
+def sharding_sql() -> str:
+    """Placement in DuckDB; the table's shard numbers are two hexadecimal digits a slot."""
+    table_ = "".join(f"{k:02x}" for k in sharding.lookup_table(SHARDS, SLOTS))
+    return f"""
+        WITH t AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS s FROM documents)
+        SELECT doc_id, s::INTEGER AS slot,
+               'shard-' || lpad((('0x' || substr('{table_}', 2 * s + 1, 2))::INTEGER)::VARCHAR, 3, '0') AS shard
+        FROM t
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -52,4 +103,28 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op7_sharding": sharding_sql(),
+    "op9_lattice": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        ), u AS (
+            SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) >= 0.9
+        ), reach(x, y) AS (
+            SELECT vec_id, vec_id FROM u UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+        )
+        SELECT r.x AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+        FROM reach r LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = r.x GROUP BY r.x
+    """,
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p),
+             m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS largest FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < largest THEN largest END AS refers_to
+        FROM m
+    """,
 }
