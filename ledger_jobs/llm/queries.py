@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_jobs.llm import bpe, exact_dedup, lattice, minhash, packing, sharding, substring_dedup, url_filter, warc
+from ledger_jobs.llm import bpe, exact_dedup, lattice, minhash, packing, sharding, substring_dedup, toxicity, url_filter, warc
 from ledger_jobs.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train_on(documents, table(spark, sf_dir, "labels"))
+    return toxicity.scores(documents, model).select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", "predicted"
+    )
+
+
 #: Verdict of each rule of the url query.
 URL_RULES = {
     "com/": "allow",
@@ -75,6 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,

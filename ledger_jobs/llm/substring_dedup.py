@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledger_jobs.llm.common import blocks, id_text, keep, record_batch
 from ledger_jobs.llm.words import Words, grams, mix
@@ -259,7 +260,7 @@ def covered(win: Windows, batch: pa.RecordBatch) -> np.ndarray:
     return np.cumsum(depth)[: len(win.words)] > 0
 
 
-def rewrite(df: DataFrame, starts: DataFrame, function, schema: str) -> DataFrame:
+def rewrite(df: DataFrame, starts: DataFrame, function, schema) -> DataFrame:
     """Runs ``function(batch, windows, gone)`` over blocks of the texts with their removed windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +322,17 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **siz
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """(id, text, n_words, n_removed): the texts without repeated passages."""
-    texts = id_text(df, id_col, text_col)
-    out = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+    """``df`` with the repeated passages cut out of its texts; other columns stay as they are."""
+    others = [c for c in df.columns if c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    texts = df.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row")
+    )
 
     def function(batch, win, gone):
-        yield record_batch(
-            out, id=batch.column("id"), text=cut(batch, win, gone), n_words=win.words.counts, n_removed=n_removed(win, gone)
-        )
+        at = batch.schema.get_field_index
+        yield pa.RecordBatch.from_arrays([pa.array(cut(batch, win, gone), pa.string()), batch.column(at("row"))], ["text", "row"])
 
-    return rewrite(texts, removed_starts(texts, **sizes), function, "id bigint, text string, n_words bigint, n_removed bigint")
+    schema = T.StructType([T.StructField("text", T.StringType()), texts.schema["row"]])
+    done = rewrite(texts, removed_starts(texts.select("id", "text"), **sizes), function, schema)
+    return done.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
