@@ -111,9 +111,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts.join(heads, "key").select("id", "key", "first", "n", (F.col("norm") == F.col("head")).alias("equal")),
         "hash-compared",
     )
-    odd = texts.join(compared.filter("NOT equal").select("id", "key").distinct(), ["id", "key"])
+    unequal = keep(compared.filter("NOT equal").select("id", "key").distinct(), "hash-unequal")
+    odd = keep(texts.join(unequal, ["id", "key"]), "hash-odd")
     odd_groups = odd.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("size"))
-    odd_counts = odd.groupBy("key").agg(F.count("*").alias("odd"))
+    odd_counts = keep(odd.groupBy("key").agg(F.count("*").alias("odd")), "hash-odd-counts")
     found = (
         compared.filter("equal")
         .join(odd_counts, "key", "left")
