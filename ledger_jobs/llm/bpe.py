@@ -1,7 +1,7 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Words are encoded per task: the distinct words that a block of texts adds are put into a trie,
-and a depth-first walk carries each node's last token down.  The encoding of a prefix ends in
+Words are encoded per task: the distinct words that a block of texts adds form a trie, held as the
+sorted words, and a depth-first walk carries each node's last token down.  The encoding of a prefix ends in
 exactly one token t such that the encoding before t, followed by t, is again what the merges
 give; whether two tokens may stand side by side is settled once per pair of tokens by merging
 their symbols.  A node's last token and where it starts is all that its descendants need, so a
@@ -26,27 +26,19 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledger_jobs.llm.common import blocks, id_text, record_batch
 
-MEMO = 400_000
+MEMO = 600_000
 #: Unicode white space; Python's own split() also cuts at \x1c to \x1f, which are not.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_WHITE = re.compile("[\x1c-\x1f]")
-
-
-class Node:
-    """A prefix: its symbol, its parent, and the last token of its encoding."""
-
-    __slots__ = ("children", "parent", "symbol", "token", "before")
-
-    def __init__(self, symbol: str, parent: Node | None):
-        self.symbol, self.parent = symbol, parent
-        self.children: dict[str, Node] = {}
-        self.token: str | None = None
-        self.before: Node | None = None  # the node at which the last token starts
+#: ASCII and the Latin letters that normalising leaves as they are but for case.
+PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
+PLAIN_PIECE = re.compile("[!-@\\[-`{-~]+[^\\s!-@\\[-`{-~]*|[^\\s!-@\\[-`{-~]+")
 
 
 class TrieBpe:
@@ -55,7 +47,9 @@ class TrieBpe:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.vocab, self.suffix = vocab, suffix
-        self.rank = {pair: k for k, pair in enumerate(pairs)}
+        self.pairs, self.rank = pairs, {pair: k for k, pair in enumerate(pairs)}
+        self.made = {a + b: k for k, (a, b) in reversed([*enumerate(pairs)])}
+        self.alone: dict[str, bool] = {}
         self.longest = max(len(t) for t in vocab)
         self.beside: dict[tuple[str, str], bool] = {}
 
@@ -77,49 +71,68 @@ class TrieBpe:
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
         return symbols
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Whether ``left`` and ``right`` stay apart; with left empty, whether merging gives right."""
-        known = self.beside.get((left, right))
+    def whole(self, token: str) -> bool:
+        """Whether merging the symbols of ``token`` gives it."""
+        known = self.alone.get(token)
         if known is None:
-            if len(self.beside) > 4 * MEMO:
-                self.beside.clear()
-            parts = self.parts(right)
-            known = self.merge(self.parts(left) + parts if left else parts) == ([left, right] if left else [right])
-            self.beside[(left, right)] = known
+            known = self.alone[token] = token in self.vocab and self.merge(self.parts(token)) == [token]
         return known
 
-    def _settle(self, node: Node) -> None:
-        """Last token of a node whose ancestors are settled."""
-        text, at = node.symbol, node.parent
-        for _ in range(self.longest):
-            if text in self.vocab and self.may_follow("", text) and (at.parent is None or self.may_follow(at.token, text)):
-                node.token, node.before = text, at
-                return
-            if at.parent is None:
-                break
-            text, at = at.symbol + text, at.parent
-        raise ValueError(f"no token ends at {text!r}")
+    def may_follow(self, left: str, right: str) -> bool:
+        """Whether two whole tokens stay apart when they stand side by side.
+
+        Undoing their last merges one by one shows which symbols met at the border, and until
+        when; they are joined if a merge of the two ranks before that.  Of equal ranks the left
+        one is first.
+        """
+        x, y, until = left, right, len(self.rank)
+        while self.rank.get((x, y), until) >= until:
+            made_x, made_y = self.made.get(x, -1), self.made.get(y, -1)
+            if made_x < 0 and made_y < 0:
+                return True
+            if made_x > made_y:
+                until, x = made_x, self.pairs[made_x][1]
+            else:
+                until, y = made_y + 1, self.pairs[made_y][0]
+        return False
+
+    def _settle(self, word: str, depth: int, path: list[tuple[str, int]], suffix: str) -> tuple[str, int]:
+        """Last token of the prefix of ``depth`` symbols and where it starts; ``path`` has those of
+        all shorter prefixes.  The token before, longer by a symbol, is tried first."""
+        beside = self.beside
+        if len(beside) > 3 * MEMO:
+            beside.clear()
+        likely = path[depth - 1][1] if depth > 1 else 0
+        for start in (likely, *range(depth - 1, max(-1, depth - 1 - self.longest), -1)):
+            token = word[start:depth] + suffix
+            left = path[start][0]
+            fits = beside.get((left, token))
+            if fits is None:
+                fits = beside[(left, token)] = self.whole(token) and (not left or self.may_follow(left, token))
+            if fits:
+                return token, start
+        raise ValueError(f"no token ends at symbol {depth} of {word!r}")
 
     def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word."""
-        root, leaves = Node("", None), {}
-        for word in words:
-            node = root
-            for symbol in self.symbols(word):
-                node = node.children.get(symbol) or node.children.setdefault(symbol, Node(symbol, node))
-            leaves[word] = node
-        todo = list(root.children.values())
-        while todo:
-            node = todo.pop()
-            self._settle(node)
-            todo.extend(node.children.values())
-        found = {}
-        for word, node in leaves.items():
-            tokens = []
-            while node.parent is not None:
-                tokens.append(node.token)
-                node = node.before
+        """Tokens of each distinct word: a depth-first walk of the trie of all words, which is the
+        sorted words with the lengths of the prefixes that neighbours share."""
+        found: dict[str, list[str]] = {}
+        path: list[tuple[str, int]] = [("", 0)]
+        last = ""
+        for word in sorted(words):
+            shared, most = 0, min(len(path) - 1, len(word) - 1)
+            while shared < most and word[shared] == last[shared]:
+                shared += 1
+            del path[shared + 1 :]
+            for depth in range(shared + 1, len(word)):
+                path.append(self._settle(word, depth, path, ""))
+            token, start = self._settle(word, len(word), path, self.suffix)
+            tokens = [token]
+            while start:
+                token, start = path[start]
+                tokens.append(token)
             found[word] = tokens[::-1]
+            last = word
         return found
 
 
@@ -138,32 +151,38 @@ class TextBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token_ids = self.trie.vocab | self.special
+        self.decimal = {t: str(i) for t, i in self.token_ids.items()}
         self.tokens = {i: t for t, i in self.token_ids.items()}
         self.memo: dict[str, tuple[int, bytes, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
+        """Parts of a text that are encoded by themselves: cut at white space and, where all
+        characters are ASCII or Latin letters, also between a letter and punctuation or a digit."""
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return PLAIN_PIECE.findall(text.lower())
         return [p for p in WHITE.split(text) if p] if NOT_WHITE.search(text) else text.split()
 
-    def _words(self, piece: str) -> list[str]:
-        """Words and special tokens of a piece between white space."""
-        parts = self.cut.split(piece) if self.cut else [piece]
-        out = []
-        for part in parts:
-            if part in self.special:
-                out.append(part)
-            elif part:
-                out += [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))]
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
+    def _words(self, pieces: list[str]) -> list[list[str]]:
+        """Words and special tokens of each piece, by the rules of the file, in one call for all."""
+        cut = [self.cut.split(p) if self.cut and self.cut.search(p) else [p] for p in pieces]
+        plain = [part for parts in cut for part in parts if part and part not in self.special]
+        joined = self.rules.normalizer.normalize_str(" ".join(plain))
+        ends = np.cumsum([len(p) + 1 for p in joined.split(" ")])
+        tokens = self.rules.pre_tokenizer.pre_tokenize_str(joined)
+        owner = np.searchsorted(ends, [at for _, (at, _) in tokens], side="right").tolist()
+        words: list[list[str]] = [[] for _ in plain]
+        for (word, _), k in zip(tokens, owner, strict=True):
+            words[k].append(word)
+        rest = iter(words)
+        return [[w for part in parts if part for w in ([part] if part in self.special else next(rest))] for parts in cut]
+
+    def learn(self, pieces: list[str]) -> None:
         """Encodings of pieces not met before."""
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
-        words = {p: self._words(p) for p in pieces}
-        tokens = self.trie.encode([w for w in {w for ws in words.values() for w in ws} if w not in self.special])
-        for piece, ws in words.items():
+        words = self._words(pieces)
+        tokens = self.trie.encode([w for w in {w for ws in words for w in ws} if w not in self.special])
+        for piece, ws in zip(pieces, words, strict=True):
             found = [t for w in ws for t in ([w] if w in self.special else tokens[w])]
-            ids = " ".join(str(self.token_ids[t]) for t in found)
+            ids = " ".join([self.decimal[t] for t in found])
             self.memo[piece] = (len(found), ids.encode(), " ".join(found).encode())
 
     def encode_block(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
@@ -172,9 +191,10 @@ class TextBpe:
         here = set().union(*split)
         new = here - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
             new = here
         if new:
-            self.learn(new)
+            self.learn(list(new))
         memo = self.memo
         for pieces in split:
             rows = [memo[p] for p in pieces]
