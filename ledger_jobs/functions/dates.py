@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledger_jobs.functions.text import trim
+from ledger_jobs.functions.text import let, trim
 
 # Month names by their first letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -26,7 +26,7 @@ CLOCK = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b"
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or null if there is no such day."""
     text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.between(1, 9999) & month.between(1, 12) & day.between(1, 31), F.try_to_date(text, "yyyy-MM-dd"))
+    return let(text, lambda t: F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")))
 
 
 def month_number(name: Column) -> Column:
@@ -41,29 +41,35 @@ def _int(text: Column) -> Column:
 
 def _full_year(text: Column) -> Column:
     """Two digits below 70 are of this century, others of the last."""
-    n = _int(text)
-    return F.when(F.length(text) == 2, n + F.when(n < 70, 2000).otherwise(1900)).when(F.length(text) == 4, n)
+    return F.when(F.length(text) == 2, _int(text) + F.when(_int(text) < 70, 2000).otherwise(1900)).when(F.length(text) == 4, _int(text))
 
 
 def parse_date(raw: Column) -> Column:
     """The date in a cell: ISO, day first before month first, with names, or eight digits; a clock
     time behind it is dropped.  Years outside 1990 to 2100 are no dates."""
-    s = trim(F.regexp_replace(trim(raw), r"[T\s]+\d{1,2}:\d{2}.*$", ""))
-    s = F.regexp_replace(s, "T+$", "")
+    bare = trim(F.regexp_replace(trim(raw), r"[T\s]+\d{1,2}:\d{2}.*$", ""))
+    return let(F.regexp_replace(bare, "T+$", ""), _date_of)
 
-    def parts(pattern: str, y: int, m: int, d: int, name: bool = False) -> Column:
+
+#: Order of year, month and day in numeric dates, by their shape.
+_SHAPES = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3), (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", 4, 3, 1), (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", 4, 1, 3),
+    (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$", 4, 3, 1), (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
+)
+_NAMED = ((rf"(?i)^(\d{{1,2}})(?:\s*|-){_NAME}(?:\s*|-)(\d{{4}}|\d{{2}})$", 3, 2, 1), (rf"(?i)^{_NAME}\s*(\d{{1,2}}),\s*(\d{{4}})$", 3, 1, 2))
+
+
+def _date_of(s: Column) -> Column:
+    def form(pattern: str, y: int, m: int, d: int, name: bool) -> Column:
         group = lambda k: F.regexp_extract(s, pattern, k)
-        month = month_number(group(m)) if name else _int(group(m))
-        date = make_date(_full_year(group(y)), month, _int(group(d)))
-        return F.when(s.rlike(pattern) & F.year(date).between(1990, 2100), date)
-
-    forms = [parts(rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})$", 1, 2, 3) for sep in "-/"]
-    forms += [parts(rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{4}})$", 3, 2, 1) for sep in ("/", "-", r"\.")]
-    forms += [parts(rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{4}})$", 3, 1, 2) for sep in "/-"]
-    forms += [parts(rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2}})$", 3, 2, 1) for sep in "/-"]
-    forms += [parts(rf"(?i)^(\d{{1,2}}){sep}{_NAME}{sep}(\d{{4}}|\d{{2}})$", 3, 2, 1, name=True) for sep in (r"\s*", "-")]
-    forms += [parts(rf"(?i)^{_NAME}\s*(\d{{1,2}}),\s*(\d{{4}})$", 3, 1, 2, name=True), parts(r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3)]
-    return F.coalesce(*forms)
+        parts = F.struct(group(y).alias("y"), group(m).alias("m"), group(d).alias("d"))
+        month = (lambda p: month_number(p.m)) if name else (lambda p: _int(p.m))
+        date = let(parts, lambda p: make_date(_full_year(p.y), month(p), _int(p.d)))
+        return F.when(s.rlike(pattern), let(date, lambda x: F.when(F.year(x).between(1990, 2100), x)))
+
+    numeric = F.coalesce(*[form(*shape, name=False) for shape in _SHAPES])
+    return F.when(s.rlike("[A-Za-z]"), F.coalesce(*[form(*shape, name=True) for shape in _NAMED])).otherwise(numeric)
 
 
 def find_date(line: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledger_jobs.functions.text import UNICODE_SPACE
+from ledger_jobs.functions.text import UNICODE_SPACE, let, trim
 
 #: Currency symbols that are dropped from descriptions. Fixed values.
 SYMBOLS = "₦$£€¥₹₵₿₩"
@@ -42,19 +42,21 @@ def parse_amount(raw: Column) -> Column:
     """The number in a cell and whether it is marked as negative: by brackets, by a word DR or OD,
     or by a minus before the first digit or at the end.  Null without a number, from 1e13 on, and
     for whole numbers of more than twelve digits."""
-    dashed = F.regexp_replace(F.trim(F.regexp_replace(raw, f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")), "[−–]", "-")
-    brackets = F.contains(dashed, F.lit("(")) & F.contains(dashed, F.lit(")"))
-    marked = dashed.rlike(r"(?i)(?<![a-zA-Z])(dr|od)(?![a-zA-Z])")
-    minus = dashed.rlike(r"^[^0-9]*-") | dashed.rlike(f"-{UNICODE_SPACE}*$")
-    kept = F.regexp_replace(F.regexp_replace(dashed, "[^0-9.,-]", ""), "^-+|-+$", "")
-    number = normalise_separators(kept)
-    # at most one point and no sign inside: what is left is a number in full
-    plain = number.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    too_long = ~F.contains(number, F.lit(".")) & (F.length(number) > 12)
-    value = F.try_cast(number, "double") if hasattr(F, "try_cast") else number.try_cast("double")
-    hint = brackets | marked | minus
-    found = F.struct(F.when(hint, -F.abs(value)).otherwise(value).alias("value"), hint.alias("negative_hint"))
-    return F.when(plain & ~too_long & (value < 1e13), found)
+    signs = F.regexp_replace(trim(raw), "[−–]", "-")
+
+    def read(dashed: Column) -> Column:
+        brackets = F.contains(dashed, F.lit("(")) & F.contains(dashed, F.lit(")"))
+        marked = rf"(?i)(?<![a-zA-Z])(dr|od)(?![a-zA-Z])|^[^0-9]*-|-{UNICODE_SPACE}*$"
+        kept = F.regexp_replace(F.regexp_replace(dashed, "[^0-9.,-]", ""), "^-+|-+$", "")
+        number = let(kept, normalise_separators)
+        return F.struct(number.alias("number"), (brackets | dashed.rlike(marked)).alias("hint"))
+
+    def value(x: Column) -> Column:
+        # at most one point and no sign inside: what is left is a number in full
+        plain = x.number.rlike(r"^([0-9]+\.[0-9]*|[0-9]{1,12}|\.[0-9]+)$")
+        return F.when(plain, F.struct((x.number.try_cast("double") * F.when(x.hint, -1).otherwise(1)).alias("value"), x.hint.alias("negative_hint")))
+
+    return let(let(let(signs, read), value), lambda m: F.when(F.abs(m.value) < 1e13, m))
 
 
 def find_amounts(line: Column) -> Column:
@@ -78,7 +80,7 @@ def find_amounts(line: Column) -> Column:
         return token.rlike("[.,]") | digits.between(5, 9)
 
     found = F.filter(F.transform(F.filter(tokens, counts), read), lambda x: x.money.isNotNull())
-    return F.when(F.exists(found, lambda x: x.decimal), F.filter(found, lambda x: x.decimal)).otherwise(found)
+    return let(found, lambda f: F.when(F.exists(f, lambda x: x.decimal), F.filter(f, lambda x: x.decimal)).otherwise(f))
 
 
 def without_amounts(line: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -27,6 +28,12 @@ CREDIT_TYPES = ("c", "cr", "fpi", "bgc", "dep", "in")
 DEBIT_TYPES = ("d", "dr", "dd", "d/d", "so", "s/o", "deb", "fpo", "cpt", "chq", "pos", "atm", "out")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it: as the variable
+    of a lambda it does not multiply the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(s: Column) -> Column:
     return F.regexp_replace(s, f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
 
@@ -43,14 +50,14 @@ def truncate(s: Column, most: int) -> Column:
 
 def classify_text(line: Column, negative: Column) -> Column:
     """debit or credit by phrases and codes; if both or neither occur, by the sign."""
-    low = F.lower(line)
-    words = F.split(low, r"[^\p{L}\p{N}]+")
 
     def hit(phrases: tuple[str, ...], codes: tuple[str, ...]) -> Column:
-        return low.rlike("|".join(phrases)) | F.arrays_overlap(words, F.array(*map(F.lit, codes)))
+        whole = r"(?<![\p{L}\p{N}])(?:" + "|".join(codes) + r")(?![\p{L}\p{N}])"
+        return F.lower(line).rlike("|".join(phrases) + "|" + whole)
 
-    debit, credit = hit(DEBIT_PHRASES, DEBIT_CODES), hit(CREDIT_PHRASES, CREDIT_CODES)
-    return F.when(debit & ~credit, "debit").when(credit & ~debit, "credit").when(negative, "debit").otherwise("credit")
+    sides = F.struct(hit(DEBIT_PHRASES, DEBIT_CODES).alias("debit"), hit(CREDIT_PHRASES, CREDIT_CODES).alias("credit"))
+    by_sign = F.when(negative, "debit").otherwise("credit")
+    return let(sides, lambda x: F.when(x.debit & ~x.credit, "debit").when(x.credit & ~x.debit, "credit").otherwise(by_sign))
 
 
 def direction_from_type(cell: Column) -> Column:
