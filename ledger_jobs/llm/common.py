@@ -49,8 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB from here on in this session, unless it has a limit of its
+    own: texts differ in length, and a batch counts several times in a task's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m") in ("64m", "64MB", "67108864b"):
+        spark.conf.set(name, "8m")
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, under names of its own; a null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -72,6 +81,25 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
             start = stop
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by ``column``, slices that hold whole runs of equal values, of ``most``
+    rows or one run if that is longer."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        value = np.asarray(batch.column(batch.schema.get_field_index(column)))
+        cuts = (np.flatnonzero(value[1:] != value[:-1]) + 1).tolist()
+        start = 0
+        for cut, following in zip(cuts, [*cuts[1:], None], strict=True):
+            if following is None or following - start > most:
+                yield batch.slice(start, cut - start)
+                start = cut
+        rest = batch.slice(start)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def text_offsets(arr: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type) else np.int32
     return np.frombuffer(arr.buffers()[1], kind)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)

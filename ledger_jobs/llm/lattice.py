@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_jobs.llm.common import keep, record_batch
+from ledger_jobs.llm.common import keep, record_batch, whole_runs
 from ledger_jobs.llm.components import components
 from ledger_jobs.llm.words import mix
 
@@ -168,22 +168,8 @@ def _links(batch: pa.RecordBatch, least: float) -> pa.RecordBatch | None:
 
 def _link_rows(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            bucket = np.asarray(batch.column("bucket"))
-            cuts = (np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()
-            start = 0
-            for cut, following in zip(cuts, [*cuts[1:], None], strict=True):
-                if following is None or following - start > ROWS:
-                    for part in by_length(batch.slice(start, cut - start)):
-                        if (out := _links(part, least)) is not None:
-                            yield out
-                    start = cut
-            rest = batch.slice(start)
-        if rest is not None and rest.num_rows:
-            for part in by_length(rest):
+        for whole in whole_runs(batches, "bucket", ROWS):
+            for part in by_length(whole):
                 if (out := _links(part, least)) is not None:
                     yield out
 

@@ -4,14 +4,17 @@
    keys of ``ROWS`` minima each, and the low two bits of all 140 minima packed into five longs.
    At similarity 0.8 a pair shares no band with probability 1.5e-5.
 2. Texts with equal sets become one class, represented by its smallest id.
-3. Every class is paired with the smallest id of each of its band buckets, never with all of
-   them.  Pairs whose signatures are too far apart are set aside: bits agree by chance a quarter
-   of the time, so similarity 0.8 means 0.85 agreement, and the limit lies five standard
-   deviations below that.  The rest is confirmed on full sets, and links become components.
+3. Every class is paired with the ``LEADERS`` leaders of each of its band buckets (the smallest
+   id, and the smallest by hashes that are the same for all buckets), never with all members.
+   Pairs whose signatures are too far apart are set aside: bits agree by chance a quarter of the
+   time, so similarity 0.8 means 0.85 agreement, and the limit lies five standard deviations below
+   that.  The closest leader of each class is confirmed on full sets; links make components.
 4. What is left to try are pairs of one bucket that lie in different components.  The members
-   outside a bucket's largest component are paired with the bucket's other components, so a
-   bucket that is one component costs nothing.  These are confirmed too.  No pair that shares a
-   band and could join two components stays untried, whatever the size of its bucket.
+   outside a bucket's largest component (strays) meet its other components inside tasks, in
+   blocks of bounded size: first by signatures alone, then, where these are close, by full sets.
+   Tasks return one link for two components that meet, not pairs.  A bucket that is one component
+   costs nothing, and no pair that shares a band and could join two components stays untried,
+   whatever the size of its bucket.
 
 Shuffled per text are its keys (two passes over 28 longs); texts move once, to the ids that share
 a bucket with another.  Joins on hot keys have written tables on both sides, so that adaptive
@@ -35,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_jobs.llm.common import blocks, id_text, keep, record_batch
+from ledger_jobs.llm.common import blocks, id_text, keep, record_batch, whole_runs
 from ledger_jobs.llm.components import components
 from ledger_jobs.llm.words import Words, by_row, grams, mix
 
-BANDS, ROWS = 28, 5
+BANDS, ROWS, LEADERS = 28, 5, 4
+#: Strays and members that meet in one bucket.
+STRAYS, MEMBERS = 500, 2000
 HASHES, LONGS = BANDS * ROWS, 5
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -165,6 +170,85 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, id, component, main, n, n_stray) dealt into buckets in which strays (role 0, not
+    in the main component of their key) meet members (role 1); keys with many of either are
+    several buckets."""
+    hash_, n_stray, n = F.xxhash64("id"), F.ceil(F.col("n_stray") / STRAYS), F.ceil(F.col("n") / MEMBERS)
+    strays = rows.filter("component <> main").select(
+        "key", "id", "component", F.lit(0).alias("role"), F.pmod(hash_, n_stray).alias("x"), F.explode(F.sequence(F.lit(0), n - 1)).alias("y")
+    )
+    others = rows.select(
+        "key", "id", "component", F.lit(1).alias("role"), F.pmod(hash_, n).alias("y"), F.explode(F.sequence(F.lit(0), n_stray - 1)).alias("x")
+    )
+    return strays.unionByName(others).withColumn("bucket", F.xxhash64("key", "x", "y")).drop("x", "y")
+
+
+def _close(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bucket of a batch: its rows, its strays and members by row, and which of them are
+    of different components with signatures and sizes that allow the similarity."""
+    bucket, role, group, n = (np.asarray(batch.column(c)) for c in ("bucket", "role", "component", "n_shingles"))
+    bits = np.asarray(batch.column("bits").flatten()).reshape(-1, LONGS).view(np.uint64)
+    low, odd = U(0x5555555555555555), U(1)
+    edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        rows = np.arange(start, stop)
+        stray, member = rows[role[rows] == 0], rows[role[rows] == 1]
+        for at in range(0, len(stray), 64):
+            s = stray[at : at + 64]
+            x = bits[s][:, None] ^ bits[member][None]
+            agree = HASHES - np.bitwise_count((x | (x >> odd)) & low).sum(-1, dtype=np.int64)
+            small, large = np.minimum.outer(n[s], n[member]), np.maximum.outer(n[s], n[member])
+            yield s, member, (agree >= least_agreement(percent)) & (small * 100 >= large * percent) & (group[s][:, None] != group[member][None])
+
+
+def _active(percent: int):
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches, "bucket", 5000):
+            rows = [x for s, m, close in _close(batch, percent) for x in (s[close.any(1)], m[close.any(0)])]
+            at = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+            if len(at):
+                yield record_batch(schema, key=batch.column("key").take(pa.array(at)), id=batch.column("id").take(pa.array(at)))
+
+    return run
+
+
+def _bridges(size: int, percent: int):
+    """Links of strays to other components, one for each two of them in a bucket; a pair that
+    shares several keys is compared under the first of its bands."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches, "bucket", 2000):
+            key, ids, group, n = (np.asarray(batch.column(c)) for c in ("key", "id", "component", "n_shingles"))
+            bands = np.asarray(batch.column("bands").flatten()).reshape(-1, BANDS)
+            row, h = shingle_sets(batch.column("text"), size)
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            a, b = [], []
+            for s, m, close in _close(batch, percent):
+                for i, may in zip(s.tolist(), close, strict=True):
+                    j = m[may]
+                    j = j[bands[i][(bands[j] == bands[i]).argmax(1)] == key[i]]
+                    if not len(j):
+                        continue
+                    mine = h[begin[i] : begin[i + 1]]
+                    length = begin[j + 1] - begin[j]
+                    stop = np.cumsum(length)
+                    theirs = h[np.arange(stop[-1]) + np.repeat(begin[j] - (stop - length), length)]
+                    found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    both = np.add.reduceat(found, stop - length, dtype=np.int64)
+                    j = j[100 * both >= percent * (n[i] + n[j] - both)]
+                    j = j[np.unique(group[j], return_index=True)[1]]
+                    a += [int(ids[i])] * len(j)
+                    b += ids[j].tolist()
+            if a:
+                yield record_batch(schema, a=a, b=b)
+
+    return run
+
+
 def near_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -173,6 +257,7 @@ def near_groups(
     Links are pairs with 100 * intersection >= percent * union of their sets of ``size``-word
     shingles, for ``percent`` of 80 or more; ``kept`` marks the smallest id of each component.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = keep(signatures(df, id_col, text_col, size), "minhash-signatures")
     full = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = keep(full.groupBy("f1", "f2").agg(F.min("id").alias("head")), "minhash-classes")
@@ -180,44 +265,51 @@ def near_groups(
         full.join(classes, ["f1", "f2"]).filter("id = head").select("id", "n_shingles", "bands", "bits"), "minhash-heads"
     )
     buckets = heads.select("id", F.explode("bands").alias("key"))
-    pivots = keep(
-        buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), F.count("*").alias("n")).filter("high > pivot").drop("high"),
+    picks = [F.min("id"), *[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, LEADERS)]]
+    shared = keep(
+        buckets.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("leaders"), F.max("id").alias("high"), F.min("id").alias("low"))
+        .filter("high > low").select("key", "leaders"),
         "minhash-buckets",
-    )
-    members = keep(buckets.join(pivots, "key").select("key", "id", "pivot", "n"), "minhash-members")
-    texts = keep(
-        id_text(df, id_col, text_col).join(members.select("id").distinct(), "id"), "minhash-texts"
-    )
+    )
+    members = keep(buckets.join(shared, "key"), "minhash-members")
+    texts = keep(id_text(df, id_col, text_col).join(members.select("id").distinct(), "id"), "minhash-texts")
 
     def promising(pairs: DataFrame) -> DataFrame:
         x, y = (heads.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-        close = agreement(F.col("bits_a"), F.col("bits_b")) >= least_agreement(percent)
+        agree = agreement(F.col("bits_a"), F.col("bits_b"))
         alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        return keep(pairs.join(x, "a").join(y, "b").filter(alike & close).select("a", "b").distinct(), "minhash-pairs")
+        near = pairs.join(x, "a").join(y, "b").filter(alike & (agree >= least_agreement(percent)))
+        return keep(near.select("a", "b", agree.cast("long").alias("agree")).distinct(), "minhash-pairs")
+
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
+        order = F.col("agree") * (1 << 44) + F.pmod("b", F.lit(1 << 44))
+        found = pairs.groupBy(*by).agg(F.max_by("b", order).alias("b_"), F.max_by("a", order).alias("a_"))
+        return keep(found.select(F.col("a_").alias("a"), F.col("b_").alias("b")), "minhash-best")
 
-    stars = promising(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = keep(confirm(stars, texts, size, percent), "minhash-links")
+    stars = promising(members.select(F.col("id").alias("a"), F.explode("leaders").alias("b")).filter("a <> b").distinct())
+    links = keep(confirm(best(stars, "a"), texts, size, percent), "minhash-links")
     groups = keep(components(links), "minhash-components")
 
     placed = keep(
-        members.filter("n > 2").join(groups, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component")),
+        members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")),
         "minhash-placed",
     )
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+    main = F.max_by("component", F.col("k") * (1 << 44) + F.pmod("component", F.lit(1 << 44))).alias("main")
     mixed = keep(
-        sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("k")).filter("k > 1"),
-        "minhash-mixed",
-    )
-    open_rows = placed.join(mixed.select("key", "main"), "key")
-    strays = keep(open_rows.filter("component <> main"), "minhash-strays").alias("s")
-    across = (
-        strays.join(keep(open_rows, "minhash-open").alias("m"), F.expr("s.key = m.key AND s.component <> m.component AND s.id <> m.pivot AND m.id <> m.pivot"))
-        .select(F.greatest("s.id", "m.id").alias("a"), F.least("s.id", "m.id").alias("b"))
-        .distinct()
+        sizes.groupBy("key").agg(main, F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_stray")).filter("n_stray > 0"), "minhash-mixed"
     )
-    rest = promising(across)
-    if not rest.isEmpty():
-        links = links.unionByName(keep(confirm(rest, texts, size, percent), "minhash-links"))
+    light = heads.select("id", "n_shingles", "bits")
+    active = keep(
+        meetings(placed.join(mixed, "key"), percent).join(light, "id").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_active(percent), "key bigint, id bigint").distinct(),
+        "minhash-active",
+    )
+    if not active.isEmpty():
+        rows = active.join(placed, ["key", "id"]).join(mixed, "key")
+        full_rows = meetings(rows, percent).join(heads, "id").join(texts, "id")
+        more = full_rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bridges(size, percent), "a bigint, b bigint")
+        links = links.unionByName(keep(more.distinct(), "minhash-links"))
         groups = keep(components(links), "minhash-components")
 
     named = keep(
