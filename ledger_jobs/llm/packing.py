@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,17 +33,26 @@ from pyspark.sql import functions as F
 
 from ledger_jobs.llm.common import blocks, id_text, keep, record_batch
 
-MEMO = 300_000
+MEMO = 1_000_000
 #: White space beside a blank: there, pre-tokens depend on more than the next word.
 BESIDE = re.compile(r"\s | \s")
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+#: ASCII and Latin letters, in which a run of letters ends a pre-token whatever follows.
+PLAIN = re.compile(f"[\t-\r -~{LETTERS}]*")
+PLAIN_PIECE = re.compile(f" ?[{LETTERS}]+| ?[^ {LETTERS}]+[{LETTERS}]*| ")
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by a byte-level tokenizer file.
 
-    Pre-tokens of such a vocabulary never reach over a blank between two other characters, so
-    texts are cut there and each distinct piece is given to the tokenizer once.
+    Pre-tokens of such a vocabulary never reach over a blank between two other characters, nor
+    from a letter into punctuation, so texts are cut there and each distinct piece is given to
+    the tokenizer once.
     """
 
     def __init__(self, path: str):
@@ -52,25 +62,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if BESIDE.search(text):
             return SAFE_CUT.split(text)
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return PLAIN_PIECE.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         here = set().union(*split)
-        new = here - self.memo.keys()
+        new = [p for p in here if p not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = here
+            new = list(here)
         if new:
-            words = list(new)
-            for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
+            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.memo[word] = pack_ids(got.ids)
         find = self.memo.__getitem__
         return [b"".join(map(find, pieces)) for pieces in split]
 
@@ -88,7 +100,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = load(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = load(path), pack_ids([end_id])
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in blocks(batches, "text", 1 << 20):
