@@ -189,12 +189,12 @@ class TextBpe:
         """Number of tokens, decimal ids and decoded text of each text."""
         split = [self.pieces(t) for t in texts]
         here = set().union(*split)
-        new = here - self.memo.keys()
+        new = [p for p in here if p not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = here
+            new = list(here)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         memo = self.memo
         for pieces in split:
             rows = [memo[p] for p in pieces]
