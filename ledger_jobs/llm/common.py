@@ -84,20 +84,25 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
 def whole_runs(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Of batches sorted by ``column``, slices that hold whole runs of equal values, of ``most``
     rows or one run if that is longer."""
-    rest = None
+    held: list[pa.RecordBatch] = []  # all of one run, which may go on in the next batch
     for batch in batches:
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        value = np.asarray(batch.column(batch.schema.get_field_index(column)))
+        if not batch.num_rows:
+            continue
+        at = batch.schema.get_field_index(column)
+        held.append(batch)
+        if batch.column(at)[-1] == held[0].column(at)[0]:
+            continue
+        batch = pa.concat_batches(held)
+        value = np.asarray(batch.column(at))
         cuts = (np.flatnonzero(value[1:] != value[:-1]) + 1).tolist()
         start = 0
         for cut, following in zip(cuts, [*cuts[1:], None], strict=True):
             if following is None or following - start > most:
                 yield batch.slice(start, cut - start)
                 start = cut
-        rest = batch.slice(start)
-    if rest is not None and rest.num_rows:
-        yield rest
+        held = [batch.slice(start)]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def text_offsets(arr: pa.Array) -> np.ndarray:

@@ -8,11 +8,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledger_jobs.llm import bpe, exact_dedup, lattice, minhash, packing, sharding, substring_dedup, toxicity, url_filter, warc
+from ledger_jobs.llm.common import whole_runs
 from ledger_jobs.llm.queries import URL_RULES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, row string, starts int"
@@ -121,6 +123,25 @@ def test_minhash(docs, empty, size):
         assert minhash.near_groups(empty, size=size).count() == 0
 
 
+@pytest.mark.parametrize("batches", [[], [[]], [[7]], [[7, 7, 7]], [[7], [], [7, 7], [7]], [[1, 1], [1], [1, 2, 2], [2], [2], [3]], [[1, 2], [2, 2], [2], [3, 3], [4]]])
+def test_whole_runs(batches):
+    rows = iter(range(99))
+    given = [pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int64()), "row": pa.array([next(rows) for _ in b], pa.int64())}) for b in batches]
+    for most in (1, 3, 100):
+        got = [x.to_pydict() for x in whole_runs(iter(given), "bucket", most)]
+        assert [k for x in got for k in x["row"]] == list(range(sum(map(len, batches))))
+        assert all(x["row"] for x in got) and sum(len(set(x["bucket"])) for x in got) == len({k for b in batches for k in b})
+
+
+def test_minhash_in_more_partitions_than_buckets(docs, spark):
+    want = by_id(minhash.near_groups(docs), "id", "component")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert by_id(minhash.near_groups(docs), "id", "component") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_b_bit_estimate(spark):
     rnd = random.Random(1)
     a = [str(rnd.random()) for _ in range(1000)]
