@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 from operator import add
 
@@ -170,6 +171,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     )
 
 
+def main_components(sizes: DataFrame) -> DataFrame:
+    """(key, main, n, n_stray) of the keys of (key, component, k) with several components: the
+    largest one (by number, then by component), all rows and those outside it."""
+    wide = "decimal(38,0)"  # a long does not hold both; unlike structs, decimals aggregate by hash
+    order = (F.col("k").cast("decimal(17,0)") * F.lit(Decimal(10**20))).cast(wide) + F.col("component")
+    found = sizes.groupBy("key").agg(F.max_by("component", order.cast(wide)).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_stray"))
+    return found.filter("n_stray > 0")
+
+
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (key, id, component, main, n, n_stray) dealt into buckets in which strays (role 0, not
     in the main component of their key) meet members (role 1); keys with many of either are
@@ -295,10 +305,7 @@ def near_groups(
         "minhash-placed",
     )
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-    main = F.max_by("component", F.col("k") * (1 << 44) + F.pmod("component", F.lit(1 << 44))).alias("main")
-    mixed = keep(
-        sizes.groupBy("key").agg(main, F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("n_stray")).filter("n_stray > 0"), "minhash-mixed"
-    )
+    mixed = keep(main_components(sizes), "minhash-mixed")
     light = heads.select("id", "n_shingles", "bits")
     active = keep(
         meetings(placed.join(mixed, "key"), percent).join(light, "id").repartition(parts, "bucket").sortWithinPartitions("bucket")

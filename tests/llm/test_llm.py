@@ -142,6 +142,17 @@ def test_minhash_in_more_partitions_than_buckets(docs, spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("k", [3, 1 << 19, 1 << 40, 10**15])
+def test_main_component_of_any_size(spark, k):
+    top = (1 << 63) - 1
+    rows = [(1, 5, k), (1, top, k - 1), (1, -9, 1), (2, 4, k), (2, top - 1, k), (2, top, k), (3, 1, k), (4, -top, k), (4, top, k - 1)]
+    sizes = spark.createDataFrame(rows, "key bigint, component bigint, k bigint")
+    found = minhash.main_components(sizes)
+    assert by_id(found, "key", "main", "n", "n_stray") == [(1, 5, 2 * k, k), (2, top, 3 * k, 2 * k), (4, -top, 2 * k - 1, k - 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_b_bit_estimate(spark):
     rnd = random.Random(1)
     a = [str(rnd.random()) for _ in range(1000)]
