@@ -4,14 +4,16 @@
 2. The urls that rules allow and those that they block train one variable-order Markov model
    each: counts of all character runs up to ``ORDER`` characters over every such row, smoothed
    from the shortest context up (Witten and Bell), as probabilities of a character after its
-   context.  The ``most_grams`` commonest runs of each length stay, which bounds what is
-   broadcast; a longer run that is not there falls back to the next shorter one.
+   context.  Runs of urls to be scored that a model has not seen are in its table with a count of
+   zero, so they get their context's back-off weight.  All runs stay, in written tables.
 3. A url's score is the mean over its characters of log P(allowed) - log P(blocked).  A fifth of
    the ruled urls stays out of the counts, and the cut with the best balanced accuracy on them
    decides the rest.
 
-Urls are scored once per distinct host and path.  The only shuffles are partial sums: of run
-counts, and one row per distinct url.
+Urls are counted and scored once per distinct host and path.  The shuffles are partial sums, joins
+of distinct runs, and one small row per character of a scored url, dealt by its run; runs that
+make up more than a ``HOT``-th of these characters (so fewer than ``HOT`` runs) are broadcast
+instead, which changes no score.
 
 Defined cases: null urls, and urls without ``://``, have empty host and path; they are judged by
 the model like others.  Without any ruled url of both kinds scores and cut are 0 and the verdict
@@ -33,6 +35,8 @@ ORDER = 5
 OPEN, SHUT = "\x02", "\x03"
 #: Characters that a model takes to be possible.
 ALPHABET = 256
+#: A run is hot from this part of all scored characters on.
+HOT = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,74 +56,57 @@ def rule_of(host: Column, path: Column, rules: list[str]) -> Column:
     return found
 
 
-def _runs(places: DataFrame) -> DataFrame:
-    """Columns run1 to runN: the last characters up to each place of ``text``, marks included."""
-    cols = [F.expr(f"CASE WHEN at >= {n} THEN substring(text, at - {n - 1}, {n}) END").alias(f"run{n}") for n in range(1, ORDER + 1)]
-    return places.select("*", *cols)
-
-
 def _places(texts: DataFrame) -> DataFrame:
-    """One row per character after the opening mark; ``text`` with its marks."""
-    marked = texts.withColumn("text", F.concat(F.lit(OPEN), "text", F.lit(SHUT)))
-    return marked.withColumn("at", F.explode(F.sequence(F.lit(2), F.char_length("text"))))
-
-
-def _floors(counts: DataFrame, most_grams: int) -> dict[int, int]:
-    """For each length of runs, from which class of frequency on at most ``most_grams`` of them
-    are; classes are sixteenths of a power of two, so a few hundred rows come to the driver."""
-    floors, total = {}, {}
-    for row in sorted(counts.groupBy("n", "often").agg(F.count("*").alias("k")).collect(), key=lambda r: (r.n, -r.often)):
-        total[row.n] = total.get(row.n, 0) + row.k
-        if total[row.n] <= most_grams:
-            floors[row.n] = row.often
-    return floors
-
-
-def train(ruled: DataFrame, most_grams: int) -> DataFrame:
-    """(n, run, ratio) from (text, allowed): log ratio of the last character after the others."""
-    runs = _runs(_places(ruled))
-    long = runs.select("allowed", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"run{n}").alias("run")) for n in range(1, ORDER + 1)])).alias("r"))
+    """One row per character after the opening mark, with ``run``: the last ``ORDER`` characters up
+    to it, marks included, or fewer at the start."""
+    marked = texts.withColumn("marked", F.concat(F.lit(OPEN), "text", F.lit(SHUT)))
+    placed = marked.withColumn("at", F.explode(F.sequence(F.lit(2), F.char_length("marked"))))
+    run = F.expr(f"substring(marked, greatest(at - {ORDER - 1}, 1), least(at, {ORDER}))")
+    return placed.withColumn("run", run).drop("text", "marked", "at")
+
+
+def train(texts: DataFrame) -> DataFrame:
+    """(run, often, ratio) of the longest runs of distinct texts (text, allow, block, scored):
+    how often scored texts have it, and the log ratio of its last character after the others.
+    ``allow`` and ``block`` are how many rows of each kind train the models with the text."""
     sides = ("allow", "block")
+    ends = keep(
+        _places(texts.select("text", *sides, F.col("scored").cast("long").alias("often"))).groupBy("run").agg(*[F.sum(c).alias(c) for c in (*sides, "often")]),
+        "url-ends",
+    )
+    length = F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("n")
     counts = keep(
-        long.select("allowed", "r.n", "r.run").filter("run IS NOT NULL").groupBy("n", "run").agg(F.count_if(F.col("allowed")).alias("allow"), F.count_if(~F.col("allowed")).alias("block")),
+        ends.select("run", *sides, length).groupBy("n", F.expr("right(run, n)").alias("run")).agg(*[F.sum(s).alias(s) for s in sides]),
         "url-runs",
     )
     context = F.expr("substring(run, 1, n - 1)").alias("context")
-    contexts = keep(
-        counts.groupBy("n", context).agg(*[F.sum(s).alias(f"{s}_sum") for s in sides], *[F.count_if(F.col(s) > 0).alias(f"{s}_kinds") for s in sides]),
-        "url-contexts",
-    )
-    often = F.floor(F.log2(F.col("allow") + F.col("block")) * 16).cast("int")
-    counts = counts.withColumn("often", often)
-    floors = _floors(counts, most_grams)
-    common = reduce(lambda c, n: c | ((F.col("n") == n) & (F.col("often") >= floors[n])), floors, F.lit(False))
-    known = keep(counts.filter(common).select("n", "run", context, *sides).join(contexts, ["n", "context"]), "url-known")
+    contexts = counts.groupBy("n", context).agg(*[F.sum(s).alias(f"{s}_sum") for s in sides], *[F.count_if(F.col(s) > 0).alias(f"{s}_kinds") for s in sides])
+    known = keep(counts.select("n", "run", context, *sides).join(contexts, ["n", "context"]), "url-known")
     lower, done = None, []
     for n in range(1, ORDER + 1):
         here = known.filter(F.col("n") == n)
         if lower is None:
             here = here.withColumns({f"{s}_less": F.lit(1.0 / ALPHABET) for s in sides})
         else:
-            here = here.join(lower.withColumnRenamed("run", "shorter"), F.expr("substring(run, 2)") == F.col("shorter"), "left").drop("shorter")
-            here = here.fillna({f"{s}_less": 1.0 / ALPHABET for s in sides})
+            here = here.join(lower.withColumnRenamed("run", "shorter"), F.expr("substring(run, 2)") == F.col("shorter")).drop("shorter")
         chance = {
             s: F.when(F.col(f"{s}_sum") > 0, (F.col(s) + F.col(f"{s}_kinds") * F.col(f"{s}_less")) / (F.col(f"{s}_sum") + F.col(f"{s}_kinds"))).otherwise(F.col(f"{s}_less"))
             for s in sides
         }
-        here = keep(here.select("n", "run", *[c.alias(s) for s, c in chance.items()]), "url-chances")
-        done.append(here.select("n", "run", (F.log("allow") - F.log("block")).alias("ratio")))
+        here = keep(here.select("run", *[c.alias(s) for s, c in chance.items()]), "url-chances")
+        done.append(here.select("run", (F.log("allow") - F.log("block")).alias("ratio")))
         lower = here.select("run", *[F.col(s).alias(f"{s}_less") for s in sides])
-    return reduce(DataFrame.unionByName, done)
+    return ends.select("run", "often").join(reduce(DataFrame.unionByName, done), "run")
 
 
 def score(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """(text, score) of distinct texts; the model is broadcast, at most ORDER * most_grams rows."""
-    places = _runs(_places(texts.select("text", F.col("text").alias("of"))))
-    for n in range(1, ORDER + 1):
-        side = model.filter(F.col("n") == n).select(F.col("run").alias(f"run{n}"), F.col("ratio").alias(f"ratio{n}"))
-        places = places.join(F.broadcast(side), f"run{n}", "left")
-    ratio = F.coalesce(*[F.col(f"ratio{n}") for n in range(ORDER, 0, -1)], F.lit(0.0))
-    return places.groupBy(F.col("of").alias("text")).agg(F.round(F.sum(ratio) / F.count("*"), 9).alias("score"))
+    """(text, score) of distinct texts (key, text) whose runs are all in the model."""
+    total = model.agg(F.sum("often")).first()[0] or 0
+    hot = model.filter(F.col("often") * HOT > total).select("run", F.col("ratio").alias("hot"))
+    places = _places(texts).join(F.broadcast(hot), "run", "left")
+    rest = places.filter("hot IS NULL").select("key", "run").join(model.select("run", "ratio"), "run")
+    sums = places.filter("hot IS NOT NULL").select("key", F.col("hot").alias("ratio")).unionByName(rest.select("key", "ratio")).groupBy("key").agg(F.sum("ratio").alias("ratio"))
+    return texts.join(sums, "key").select("text", F.round(F.col("ratio") / (F.char_length("text") + 1), 9).alias("score"))
 
 
 def best_cut(scored: DataFrame, width: float = 0.01, most: float = 20.0) -> float:
@@ -138,9 +125,7 @@ def best_cut(scored: DataFrame, width: float = 0.01, most: float = 20.0) -> floa
     return cut
 
 
-def judge(
-    df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", most_grams: int = 20_000
-) -> DataFrame:
+def judge(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``df``: id, host, path, rule, score, verdict (allow or block).
 
     ``rules``: verdict by ``host/path`` pattern."""
@@ -150,11 +135,15 @@ def judge(
     by_rule = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(rules[r])), rules, F).otherwise(F.lit(None).cast("string"))
     urls = urls.withColumn("ruled", by_rule)
     held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    labelled = urls.filter("ruled IS NOT NULL").select("text", (F.col("ruled") == "allow").alias("allowed"))
-    model = keep(train(labelled.filter(~held_out), most_grams), "url-model")
-    held = labelled.filter(held_out).distinct()
-    cut = best_cut(score(held.select("text").distinct(), model).join(held, "text"))
-    scores = keep(score(urls.filter("rule IS NULL").select("text").distinct(), model), "url-scores")
+    kind = [F.count_if(F.col("ruled") == v).alias(v) for v in ("allow", "block")]
+    known = urls.groupBy("text").agg(*kind, F.count_if(F.col("ruled").isNull()).alias("open"))
+    known = keep(known.withColumns({"key": F.monotonically_increasing_id(), "held": held_out & (F.col("allow") + F.col("block") > 0)}), "url-texts")
+    scored = (F.col("open") > 0) | F.col("held")
+    trained = {v: F.when(F.col("held"), 0).otherwise(F.col(v)) for v in ("allow", "block")}
+    model = keep(train(known.select("text", *[c.alias(v) for v, c in trained.items()], scored.alias("scored"))), "url-model")
+    scores = keep(score(known.filter(scored).select("key", "text"), model), "url-scores")
+    held = known.filter("held").select("text", F.explode(F.array_compact(F.array(F.when(F.col("allow") > 0, True), F.when(F.col("block") > 0, False)))).alias("allowed"))
+    cut = best_cut(scores.join(held, "text"))
     open_ = urls.filter("rule IS NULL").join(scores, "text", "left").withColumn("verdict", F.when(F.coalesce("score", F.lit(0.0)) >= cut, "allow").otherwise("block"))
     ruled = urls.filter("rule IS NOT NULL").withColumns({"score": F.lit(None).cast("double"), "verdict": F.col("ruled")})
     return ruled.unionByName(open_).select("id", "host", "path", "rule", "score", "verdict")

@@ -279,6 +279,56 @@ def test_urls(spark):
     assert judged and url_filter.judge(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).count() == 0
 
 
+def plain_scores(train, texts):
+    """Mean log ratio of two plain Witten-Bell models of order 5."""
+    marked = lambda t: "\x02" + t + "\x03"
+    models = []
+    for side in (True, False):
+        after = defaultdict(lambda: defaultdict(int))
+        for t, allowed in train:
+            if allowed == side:
+                m = marked(t)
+                for at in range(1, len(m)):
+                    for n in range(min(at, 4) + 1):
+                        after[m[at - n : at]][m[at]] += 1
+        models.append(after)
+
+    def chance(after, context, c):
+        less = chance(after, context[1:], c) if context else 1 / 256
+        seen = after.get(context, {})
+        return (seen.get(c, 0) + len(seen) * less) / (sum(seen.values()) + len(seen)) if seen else less
+
+    out = {}
+    for t in texts:
+        m = marked(t)
+        logs = [np.log(chance(models[0], m[max(0, at - 4) : at], m[at])) - np.log(chance(models[1], m[max(0, at - 4) : at], m[at])) for at in range(1, len(m))]
+        out[t] = sum(logs) / len(logs)
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 20])
+def test_urls_against_plain_model(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_filter, "HOT", hot)
+    rnd = random.Random(9)
+    name = lambda k: "".join(rnd.choice("abcdeé🙂") for _ in range(k))
+    rows = [(k, f"http://{name(4)}.{rnd.choice(['com', 'net', 'org'])}/{rnd.choice(['en', 'es', 'fr'])}/{name(3)}") for k in range(250)]
+    rows += [(900, None), (901, "http://zzzz.org/QQQQQ"), (902, "http://a.com"), *[(1000 + k, "http://www.example.com/en/a") for k in range(30)], (None, "http://aéb.org/fr/")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string").repartition(3), URL_RULES).withColumn("text", F.concat("host", "path"))
+    got = got.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0).collect()
+    assert len(got) == len(rows)
+    ruled = [(r.text, URL_RULES[r.rule] == "allow", r.held) for r in got if r.rule is not None]
+    held = {(t, a) for t, a, h in ruled if h}
+    open_ = [r for r in got if r.rule is None]
+    want = plain_scores([(t, a) for t, a, h in ruled if not h], {t for t, _ in held} | {r.text for r in open_})
+    assert {a for _, a in held} == {True, False} and {r.verdict for r in open_} == {"allow", "block"}
+    assert all(abs(r.score - want[r.text]) < 1e-8 for r in open_)
+    bins = {np.floor(want[t] / 0.01) for t, _ in held}
+    share = lambda cut, side: np.mean([(np.floor(want[t] / 0.01) >= cut) == side for t, a in held if a == side])
+    cut = min(b for b in bins if share(b, True) + share(b, False) >= max(share(x, True) + share(x, False) for x in bins) - 1e-12) * 0.01
+    assert all((r.verdict == "allow") == (want[r.text] >= cut) for r in open_)
+    assert all(r.verdict == URL_RULES[r.rule] and r.score is None for r in got if r.rule is not None)
+
+
 def test_chain_marginals():
     rng = np.random.default_rng(1)
     field = toxicity.Field(np.zeros(1), 0.0, rng.normal(size=(2, 2)), rng.normal(size=2))
