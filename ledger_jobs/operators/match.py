@@ -2,8 +2,8 @@
 
 Searches and transactions meet in a join whose condition is the conjunction of all filters.  The
 search side is broadcast only if it has at most ``BROADCAST_ROWS`` rows; beyond that both sides
-are dealt by month, searches once per month of their range, and searches without a range to every
-month there is.  Everything after the join is keyed by (query_id, doc_id).
+are dealt by month, searches once per month of the range that the condition asks for, and searches
+without such a range to every month there is.  Everything after the join is keyed by (query_id, doc_id).
 """
 
 from __future__ import annotations
@@ -36,16 +36,15 @@ def passes(keyword: bool = True) -> Column:
     return ok
 
 
-def meet(txns: DataFrame, searches: DataFrame, condition: Column) -> DataFrame:
-    """Pairs of ``t`` and ``q`` that fulfil the condition."""
+def meet(txns: DataFrame, searches: DataFrame, condition: Column, first: str = "date_from", last: str = "date_to") -> DataFrame:
+    """Pairs of ``t`` and ``q`` that fulfil the condition, which for searches that have both a
+    ``first`` and a ``last`` date must hold only for transactions from one to the other."""
     if searches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return txns.alias("t").join(F.broadcast(searches.alias("q")), condition)
-    month = F.trunc("date", "month")
+    month, lo, hi = F.trunc("date", "month"), F.col(first), F.col(last)
     months = txns.select(month.alias("m")).distinct()
-    ranged = searches.filter("date_from IS NOT NULL AND date_to IS NOT NULL").withColumn(
-        "m", F.explode(F.sequence(F.trunc("date_from", "month"), F.trunc("date_to", "month"), F.expr("INTERVAL 1 MONTH")))
-    )
-    open_ = searches.filter("date_from IS NULL OR date_to IS NULL").join(months, how="cross")
+    ranged = searches.filter(lo <= hi).withColumn("m", F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("INTERVAL 1 MONTH"))))
+    open_ = searches.filter(lo.isNull() | hi.isNull()).join(months, how="cross")
     dealt = ranged.unionByName(open_)
     return txns.withColumn("m", month).alias("t").join(dealt.alias("q"), F.col("t.m").eqNullSafe(F.col("q.m")) & condition)
 
@@ -57,7 +56,7 @@ def resolve_anchors(txns: DataFrame, searches: DataFrame) -> DataFrame:
     fits = t("date").isNotNull() & (q("on_date").isNull() | (t("date") == q("on_date")))
     fits = fits & (q("amount").isNull() | (F.abs(t("amount") - q("amount")) <= F.greatest(q("amount") * 0.02, F.lit(50.0))))
     fits = fits & tokens_any_match(q("keyword"), t("description"), t("raw"))
-    found = meet(txns, searches.filter("anchor IS NOT NULL"), fits)
+    found = meet(txns, searches.filter("anchor IS NOT NULL"), fits, "anchor.on_date", "anchor.on_date")
     row = F.struct("t.txn_seq", "t.date", "t.time_sec", "t.ts", "t.source", "t.line_no", "t.description", "t.amount")
     return found.groupBy("q.query_id", "t.doc_id").agg(F.min_by(row, F.col("t.txn_seq")).alias("anchor_txn"))
 
