@@ -3,10 +3,10 @@
 1. One pass tokenises the texts, cuts long ones into pieces, and numbers the pieces of each
    length within their task.  Pieces are written; token ids go along only when asked for.
 2. The histogram of lengths (``capacity`` numbers, whatever the corpus) is all the planner needs.
-   Working on counts, it joins lengths whose sums fill a sequence exactly: two, then three, then
-   four pieces, each as often as the availability counts allow; sums of one, two and three
-   lengths are looked up as complements of the longest piece.  What remains is packed best-fit:
-   the longest piece, then again and again the longest that still fits.
+   Single lengths, pairs and triples are indexed by their sums.  The gap that each longest piece
+   leaves is looked up there, singles first, and what fills it exactly is consumed as often as the
+   availability counts allow.  What remains is packed best-fit: the longest piece, then again and
+   again the longest that still fits.
 3. The plan says for each length which range of its pieces goes to which sequences.  A piece's
    place in that range is its number in its task plus the counts of earlier tasks, so nothing is
    sorted and a length that a third of all pieces share is no burden to one task.
@@ -78,8 +78,10 @@ class Encoder:
         here = set().union(*split)
         new = [p for p in here if p not in self.memo]
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(here)
+            used = {p: self.memo[p] for p in here if p in self.memo}
+            recent = list(self.memo.items())[len(self.memo) // 2 :] if len(here) < MEMO // 2 else []
+            self.memo = dict(recent) | used
+            new = [p for p in here if p not in self.memo]
         if new:
             for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.memo[word] = pack_ids(got.ids)
@@ -127,60 +129,86 @@ def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool, schema: p
     return run
 
 
+class SumIndex:
+    """Lengths in use by what they sum to: singles, pairs and triples, each with the longest first.
+
+    Pairs are listed once, sorted by their sum; the triples of a sum are its lengths joined with
+    the pairs of the rest, so only the bucket that is looked up is ever laid out, without the
+    lengths that none is ``left`` of.
+    """
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        self.lengths = lengths = np.sort(lengths[lengths < most])
+        a, b = np.tril_indices(len(lengths))
+        a, b = lengths[a], lengths[b]
+        fits = a + b < most
+        a, b = a[fits], b[fits]
+        order = np.lexsort((-a, a + b))
+        self.pair = np.stack((a, b), axis=1)[order]
+        self.bounds = np.searchsorted((a + b)[order], np.arange(most + 1))
+
+    def singles(self, total: int, left: list[int]) -> Iterator[np.ndarray]:
+        yield self.lengths[self.lengths == total][:, None]
+
+    def pairs(self, total: int, left: list[int]) -> Iterator[np.ndarray]:
+        yield self.pair[self.bounds[total] : self.bounds[total + 1]]
+
+    def triples(self, total: int, left: list[int]) -> Iterator[np.ndarray]:
+        for x in self.lengths[(3 * self.lengths >= total) & (self.lengths < total)][::-1].tolist():
+            if not left[x]:
+                continue
+            rest = self.pair[self.bounds[total - x] : self.bounds[total - x + 1]]
+            rest = rest[rest[:, 0] <= x]
+            yield np.column_stack((np.full(len(rest), x), rest))
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns as (times, [(length, how many)]) that use up the counts; times * sums fit capacity.
 
     Exact triples and pairs can leave lengths behind that pack badly when there are few pieces;
-    so sums of one, up to two and up to three lengths are each tried, and the best plan is taken.
+    so singles, up to pairs and up to triples are each tried, and the best plan is taken.
     """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
+    index = SumIndex(np.array(sorted(counts), np.int64), capacity)
+    tables = (index.singles, index.pairs, index.triples)
+    return min((_plan(counts, capacity, tables[:n]) for n in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, sums: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    left = np.zeros(capacity + 1, np.int64)
+def _plan(counts: dict[int, int], capacity: int, tables) -> list[tuple[int, list[tuple[int, int]]]]:
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[int, list[tuple[int, int]]]] = []
 
     def take(lengths: list[int]) -> None:
         need = sorted({x: lengths.count(x) for x in lengths}.items(), reverse=True)
-        if times := min(int(left[x]) // m for x, m in need):
+        if times := min(left[x] // m for x, m in need):
             for x, m in need:
                 left[x] -= times * m
             out.append((times, need))
 
-    def exact(most: int, chosen: list[int], gap: int) -> None:
-        """Fill ``gap`` exactly with ``most`` lengths, none longer than the last chosen."""
-        head = chosen[0]
-        if most == 1:
-            if gap <= chosen[-1] and left[gap]:
-                take([*chosen, gap])
-            return
-        options = np.flatnonzero(left[: min(gap, chosen[-1] + 1)])[::-1]
-        if most == 2:
-            options = options[(left[gap - options] > 0) & (2 * options >= gap)]
-        else:
-            options = options[3 * options >= gap]
-        for x in options.tolist():
-            if not left[head]:
-                return
-            if left[x]:
-                exact(most - 1, [*chosen, x], gap - x)
-
     if left[capacity]:
         take([capacity])
-    for most in range(1, sums + 1):
+    for table in tables:
         for head in range(capacity - 1, 0, -1):
-            if left[head]:
-                exact(most, [head], capacity - head)
-    while left.any():
-        lengths, gap, spare = [], capacity, left.copy()
+            if not left[head]:
+                continue
+            for found in table(capacity - head, left):
+                if not left[head]:
+                    break
+                for lengths in found[found[:, 0] <= head].tolist():
+                    if left[head] and all(left[x] for x in lengths):
+                        take([head, *lengths])
+    rest = np.array(left)
+    while rest.any():
+        lengths, gap, spare = [], capacity, rest.copy()
         while gap and (fits := np.flatnonzero(spare[: gap + 1])).size:
             x = int(fits[-1])
             lengths.append(x)
             spare[x] -= 1
             gap -= x
         take(lengths)
+        for x in lengths:
+            rest[x] = left[x]
     return out
 
 
@@ -198,10 +226,10 @@ def plan_rows(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _placed_rows(rows: np.ndarray, schema: pa.Schema):
-    keys = (rows[:, 0] << 48) + rows[:, 1]
-
+def _placed_rows(sent, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sent.value
+        keys = (rows[:, 0] << 48) + rows[:, 1]
         for batch in batches:
             length, number = (np.asarray(batch.column(c), np.int64) for c in ("length", "number"))
             row = rows[np.searchsorted(keys, (length << 48) + number, side="right") - 1]
@@ -234,8 +262,9 @@ def pack(
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = cut.join(bases, ["part", "length"]).withColumn("number", F.col("base") + F.col("rank")).drop("base", "rank", "part")
     out = pa.schema([*common, *extra, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    rows = df.sparkSession.sparkContext.broadcast(plan_rows(plan(histogram, capacity)))  # a few rows per pattern of lengths
     return numbered.mapInArrow(
-        _placed_rows(plan_rows(plan(histogram, capacity)), out), ddl + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint"
+        _placed_rows(rows, out), ddl + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint"
     )
 
 
