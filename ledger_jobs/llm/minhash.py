@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledger_jobs.llm.common import blocks, id_text, keep, record_batch, whole_runs
+from ledger_jobs.llm.common import blocks, id_text, keep, record_batch, small_batches, whole_runs
 from ledger_jobs.llm.components import components
 from ledger_jobs.llm.words import Words, by_row, grams, mix
 
@@ -327,3 +327,26 @@ def near_groups(
     linked = light.filter("id IS NOT NULL AND n_shingles > 0").join(named, ["f1", "f2"]).select("id", "n_shingles", "component")
     alone = light.filter("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+
+
+def without_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, of which the smallest of each group stays.
+
+    Rows, not ids, are compared: of several rows of one id, one goes by the id and the others by a
+    hash of id and text, so that each is judged by its own text (rows equal in both go together).
+    Rows with a null id stay.
+    """
+    small_batches(df.sparkSession)
+    mark = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
+    given = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), mark.alias("mark")).filter("id IS NOT NULL")
+    repeated = keep(
+        given.groupBy("id").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).filter("first < last").select("id", "first"), "minhash-repeated"
+    )
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), mark.alias("mark"))
+    own = F.when(F.col("first").isNull() | (F.col("mark") == F.col("first")), F.col("id")).otherwise(F.col("mark"))
+    rows = rows.join(repeated, "id", "left").select("row", own.alias("id"))
+    groups = near_groups(rows.select("id", F.col("row").getField(text_col).alias("text")), "id", "text", size, percent)
+    gone = keep(groups.filter("NOT kept").select("id").distinct(), "minhash-gone")
+    return rows.join(gone, "id", "left_anti").select("row.*")

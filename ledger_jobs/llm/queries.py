@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.train_on(documents, table(spark, sf_dir, "labels"))
     return toxicity.scores(documents, model).select(
-        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", "predicted"
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", "predicted", "spans"
     )
 
 

@@ -10,7 +10,7 @@ Defined cases: a null key is placed like the empty string; equal keys go to one
 that very many rows share should be joined by a second column (``key_cols`` takes several).
 Writing splits each shard over ``files`` tasks by a hash of the row, hot or not.  An empty table
 gives an empty result.  Other columns pass through unless they are named slot or shard, which
-are replaced.
+are replaced (they may be key columns all the same).
 """
 
 from __future__ import annotations
@@ -56,7 +56,8 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
     """``df`` with the slot and the shard of each row."""
     rows = [(slot, shards[k]) for slot, k in enumerate(lookup_table(shards, slots))]
     table = df.sparkSession.createDataFrame(rows, "slot int, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(key_cols, slots)).join(F.broadcast(table), "slot")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*others, slot_of([f"`{c}`" for c in key_cols], slots).alias("slot")).join(F.broadcast(table), "slot")
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:

@@ -12,7 +12,11 @@
 4. Every text is tagged by one pass without shuffle.  Forward-backward runs over all tokens of a
    block at once: products of 2x2 matrices in chunks, and a reset where a text starts.
    The largest marginal, the expected number of toxic tokens and the length give the score, by a
-   logistic calibration on the sample that is weighted back to the true share of toxic documents.
+   logistic calibration on the sample that is weighted back to the true share of toxic documents;
+   runs of tokens with high marginals are the offending spans, in characters of the source.
+
+The vocabulary is bounded (``VOCAB`` features): it describes the bounded sample, not the corpus, and
+rarer features of the sample are the ones left out.
 
 Defined cases: null and empty texts have no tokens and are scored by the calibration as a text
 without toxic tokens.  Labels with a null id or value are ignored; several labels of one id count
@@ -320,21 +324,48 @@ def _stat_rows(model):
     return run
 
 
-def scores(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """(id, score, predicted) of every text."""
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+SPAN_DDL = "array<struct<start: int, end: int, score: double>>"
+
+
+def offending(words: Words, marginal: np.ndarray, least: float) -> pa.Array:
+    """For each text the runs of words with marginals of at least ``least``: first character, the
+    one after the last, and the largest marginal.
+
+    Lower case is taken character by character, so characters of the lower-cased text, in which
+    words were found, are counted as those of the source.
+    """
+    toxic, first = marginal >= least, starts_of(words)
+    opens = np.flatnonzero(toxic & (first | ~np.concatenate(([False], toxic[:-1]))))
+    shuts = np.flatnonzero(toxic & (np.append(first[1:], True) | ~np.append(toxic[1:], False)))
+    row = np.searchsorted(words.first, opens, side="right") - 1
+    chars = np.concatenate(([0], np.cumsum((words.raw & 0xC0) != 0x80)))
+    base = chars[words.offsets[row]]
+    peak = np.maximum.reduceat(np.append(np.where(toxic, marginal, 0), 0), opens) if len(opens) else np.zeros(0)
+    parts = [pa.array((chars[words.start[opens]] - base).astype(np.int32)), pa.array((chars[words.end[shuts]] - base).astype(np.int32)), pa.array(peak)]
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(words.counts)))))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(SPAN)))
+
+
+def scores(
+    df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, least: float = 0.5
+) -> DataFrame:
+    """(id, score, predicted, spans) of every text.  ``spans`` are its toxic runs of words, with
+    marginals of at least ``least``, as (start, end, score) in characters of the text: a span is
+    ``substring(text, start + 1, end - start)``."""
     texts = id_text(df, id_col, text_col)
     if model is None:
-        return texts.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+        return texts.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(SPAN_DDL).alias("spans"))
+    schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(SPAN))])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             words, marginal = sent.value.marginals(batch.column("text"))
             score = sent.value.score(document_stats(marginal, words))
-            yield record_batch(schema, id=batch.column("id"), score=score, predicted=score >= cut)
+            yield record_batch(schema, id=batch.column("id"), score=score, predicted=score >= cut, spans=offending(words, marginal, least))
 
-    return texts.mapInArrow(run, "id bigint, score double, predicted int")
+    return texts.mapInArrow(run, f"id bigint, score double, predicted int, spans {SPAN_DDL}")
 
 
 def without_toxic(df: DataFrame, model: Model | None, text_col: str = "text", cut: float = 0.3) -> DataFrame:
@@ -353,30 +384,6 @@ def without_toxic(df: DataFrame, model: Model | None, text_col: str = "text", cu
     return df.mapInArrow(run, df.schema)
 
 
-def spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id, start, end, score): runs of words with marginals of at least ``least``, as byte
-    offsets into the lower-cased UTF-8 text, with the largest marginal of each."""
-    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            words, marginal = sent.value.marginals(batch.column("text"))
-            toxic, first = marginal >= least, starts_of(words)
-            opens = np.flatnonzero(toxic & (first | ~np.concatenate(([False], toxic[:-1]))))
-            if not len(opens):
-                continue
-            shuts = np.flatnonzero(toxic & (np.append(first[1:], True) | ~np.append(toxic[1:], False)))
-            row = np.searchsorted(words.first, opens, side="right") - 1
-            base = words.offsets[row]
-            peak = np.maximum.reduceat(np.append(np.where(toxic, marginal, 0), 0), opens)
-            yield record_batch(
-                schema, id=batch.column("id").take(pa.array(row)), start=words.start[opens] - base, end=words.end[shuts] - base, score=peak
-            )
-
-    return id_text(df, id_col, text_col).mapInArrow(run, "id bigint, start bigint, end bigint, score double")
-
-
 def held_out(id_: Column) -> Column:
     """Documents whose labels are kept from training: a quarter, by a checksum of the id."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
