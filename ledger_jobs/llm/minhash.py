@@ -335,7 +335,8 @@ def without_near_copies(
     """The rows of ``df``, with all their columns, of which the smallest of each group stays.
 
     Rows, not ids, are compared: of several rows of one id, one goes by the id and the others by a
-    hash of id and text, so that each is judged by its own text (rows equal in both go together).
+    hash of id and text, behind all ids below 2**62, so that each is judged by its own text (rows
+    equal in both go together).
     Rows with a null id stay.
     """
     small_batches(df.sparkSession)
@@ -345,7 +346,8 @@ def without_near_copies(
         given.groupBy("id").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).filter("first < last").select("id", "first"), "minhash-repeated"
     )
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), mark.alias("mark"))
-    own = F.when(F.col("first").isNull() | (F.col("mark") == F.col("first")), F.col("id")).otherwise(F.col("mark"))
+    late = F.shiftrightunsigned("mark", 2).bitwiseOR(F.lit(1 << 62))  # behind the ids of a table
+    own = F.when(F.col("first").isNull() | (F.col("mark") == F.col("first")), F.col("id")).otherwise(late)
     rows = rows.join(repeated, "id", "left").select("row", own.alias("id"))
     groups = near_groups(rows.select("id", F.col("row").getField(text_col).alias("text")), "id", "text", size, percent)
     gone = keep(groups.filter("NOT kept").select("id").distinct(), "minhash-gone")
