@@ -3,7 +3,9 @@ stays, repeated passages go, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes it as Parquet in the
 shared folder and hands it, read again, to the next.  All but the last return the columns of
-``documents``.  Rows with a null doc_id pass the stages that compare documents.
+``documents``.  Stages work on rows: of several rows under one doc_id each is judged by its own
+text.  Rows with a null doc_id pass the stages that compare documents.  Without labels of both
+kinds no document is toxic.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,18 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
-def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    dropped = groups.filter("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_groups(docs))
+    """Of rows with equal texts but for white space, one of the smallest doc_id stays."""
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links are similarities of 0.8 and more on shingles of five words."""
-    return _without(docs, minhash.near_groups(docs, size=5, percent=80))
+    """Links are similarities of 0.8 and more on shingles of five words; one row of each group stays."""
+    return minhash.without_near_copies(docs, size=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
