@@ -3,12 +3,14 @@ and long texts, ties, repeated rows, clashing columns, and on empty tables."""
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 from ledger_jobs.llm import bpe, exact_dedup, lattice, minhash, packing, sharding, substring_dedup, toxicity, url_filter, warc
 from ledger_jobs.llm.common import whole_runs
 from ledger_jobs.llm.queries import URL_RULES
+from ledger_jobs.llm.words import Words, mix
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, row string, starts int"
 
@@ -52,7 +55,7 @@ def by_id(df, *cols):
 def test_exact(docs, empty):
     got = exact_dedup.exact_groups(docs, bucket_keys=3)
     groups = defaultdict(list)
-    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     for i, t in corpus():
         if i is not None:
             groups[norm(t)].append(i)
@@ -65,7 +68,36 @@ def test_exact(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_equal_keys_of_different_texts(docs, monkeypatch):
+@pytest.mark.parametrize("rows", [1, 1000])
+def test_chains_in_segments(docs, spark, monkeypatch, rows):
+    monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", rows)
+    more = spark.createDataFrame([(2000 + k, "same " * 100, "en", "s", 0, "clash", "clash", "clash", 1) for k in range(80)], SCHEMA)
+    every = docs.unionByName(more)
+    groups = [r for r in exact_dedup.exact_groups(every).collect() if r.keep_id == 93]
+    assert len(groups) == 81 and {(r.group_size, r.kept == (r.id == 93)) for r in groups} == {(81, True)}
+    kept = exact_dedup.without_copies(every)
+    assert kept.columns == docs.columns
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t in corpus():
+        if i is not None:
+            least[norm(t)] = min(i, least.get(norm(t), i))
+    assert sorted(((r.doc_id, norm(r.text)) for r in kept.collect()), key=str) == sorted([(i, t) for t, i in least.items()] + [(None, norm(t)) for i, t in corpus() if i is None], key=str)
+
+
+def test_near_copies_by_row(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*base[:58], "x", "y"]), " ".join(f"v{k}" for k in range(9))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (3, other), (None, near), (4, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.without_near_copies(table).collect()), key=str)
+    assert kept in ([sorted([rows[0], rows[2], rows[4], rows[5]], key=str), sorted([rows[0], rows[3], rows[4], rows[5]], key=str)])
+    assert minhash.without_near_copies(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("segment_rows", [1, 1000])
+def test_equal_keys_of_different_texts(docs, monkeypatch, segment_rows):
+    monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", segment_rows)
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
     got = {(r.id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs.filter("doc_id IN (0, 1, 90, 92, 93)")).collect()}
     assert got == {(0, 0, 1), (1, 1, 1), (90, 90, 3), (92, 90, 3), (93, 93, 1)}
@@ -229,6 +261,20 @@ def test_sharding(docs):
         assert (r.slot, r.shard) == (slot, names[table[slot]])
     with pytest.raises(ValueError):
         sharding.lookup_table(names, 100)
+    clash = docs.select("doc_id", F.col("doc_id").alias("slot"), F.col("text").alias("a.b"))
+    by_slot = {(r.doc_id, r.slot, r["a.b"]) for r in sharding.place(clash, ["slot"], names, 101).collect()}
+    assert by_slot == {(r.doc_id, r.slot, r["text"]) for r in sharding.place(docs, ["doc_id"], names, 101).collect()}
+    assert sharding.place(docs.limit(0), ["doc_id"], names, 101).count() == 0
+
+
+def test_exact_complements():
+    index, left = packing.SumIndex(np.array([2, 3, 5, 7, 12]), 12), [1] * 13
+    for total in range(12):
+        pairs = {tuple(sorted(p)) for x in index.pairs(total, left) for p in x.tolist()}
+        triples = {tuple(sorted(p)) for x in index.triples(total, left) for p in x.tolist()}
+        lengths = (2, 3, 5, 7)
+        assert pairs == {(a, b) for a in lengths for b in lengths if a <= b and a + b == total}
+        assert triples == {(a, b, c) for a in lengths for b in lengths for c in lengths if a <= b <= c and a + b + c == total}
 
 
 def test_lattice(spark):
@@ -346,6 +392,30 @@ def test_chain_marginals():
         assert np.allclose(got[a:b], on / total)
 
 
+def plain_score(model, text):
+    """Score of one text in plain Python: features of each word, forward-backward, calibration."""
+    known = {int(h): w for h, w in zip(model.vocabulary.hashes, model.field.weight, strict=True) if h}
+    hashed = lambda data: Words(pa.array([data], pa.binary())).hashes()
+    words = [w.encode() for w in re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", pc.utf8_lower(pa.scalar(text or "")).as_py())]
+    odds = []
+    for w in words:
+        hashes = [hashed(w)[0], *[mix(hashed(w[:k]) + np.uint64(k))[0] for k in (4, 5, 6, 7) if len(w) > k]]
+        odds.append(np.exp(min(max(sum(known.get(int(h), 0.0) for h in hashes) + model.field.bias, -30), 30)))
+    move, begin = np.exp(model.field.move), np.exp(model.field.begin)
+    ahead, back, marginals = [], [], []
+    for k, x in enumerate(odds):
+        a = [(begin[y] if k == 0 else ahead[-1][0] * move[0, y] + ahead[-1][1] * move[1, y]) * (x if y else 1.0) for y in (0, 1)]
+        ahead.append([v / max(a) for v in a])
+    for k in range(len(odds) - 1, -1, -1):
+        b = [1.0, 1.0] if k == len(odds) - 1 else [move[y, 0] * back[-1][0] + move[y, 1] * odds[k + 1] * back[-1][1] for y in (0, 1)]
+        back.append([v / max(b) for v in b])
+    for a, b in zip(ahead, reversed(back), strict=True):
+        marginals.append(a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]))
+    peak = min(max(max(marginals, default=0.0), 1e-6), 1 - 1e-6)
+    x = (1.0, np.log(peak / (1 - peak)) / 5, np.log1p(sum(marginals)), np.log1p(len(words)) / 5)
+    return 1 / (1 + np.exp(-sum(w * v for w, v in zip(model.calibration, x, strict=True))))
+
+
 def test_toxicity(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("klmnop") for _ in range(5)) for _ in range(400)]
@@ -357,7 +427,7 @@ def test_toxicity(spark):
         rnd.shuffle(w)
         rows.append((k, " ".join(w), "x"))
         labels.append((k, int(toxic)))
-    rows += [(900, None, "x"), (901, "", "x"), (None, "zarq zarq", "x"), (902, "klm " * 3000, "x")]
+    rows += [(900, None, "x"), (901, "", "x"), (None, "zarq zarq", "x"), (902, "klm " * 3000, "x"), (903, "İİ 🙂é (ZARQ zibble)! ÀÀ", "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string").repartition(3)
     known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id bigint, toxic int")
     model = toxicity.train_on(docs, known)
@@ -366,32 +436,105 @@ def test_toxicity(spark):
     held = [(got[k].predicted, t) for k, t in labels if zlib.crc32(str(k).encode()) % 4 == 2]
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
     assert got[900].score == got[901].score and got[900].predicted == 0
-    found = toxicity.spans(docs.filter("doc_id < 400"), model).collect()
     text = dict((i, t) for i, t, _ in rows)
-    assert found and sum(any(b in text[r.id].encode()[r.start : r.end].decode() for b in bad) for r in found) >= 0.9 * len(found)
+    found = [(text[i][x.start : x.end].lower(), x.score) for i, r in got.items() if i not in (None, 900) for x in r.spans]
+    assert found and all(x >= 0.5 for _, x in found) and sum(any(b in t for b in bad) for t, _ in found) >= 0.9 * len(found)
+    assert [(text[903][x.start : x.end], text[903][x.start - 1], text[903][x.end]) for x in got[903].spans] == [("ZARQ zibble", "(", ")")]
+    for i, t in text.items():
+        assert abs(got[i].score - plain_score(model, t)) < 1e-9, i
     assert toxicity.without_toxic(docs, model).columns == docs.columns
     assert toxicity.train_on(docs, known.limit(0)) is None
     assert {r.score for r in toxicity.scores(docs, None).collect()} == {0.0}
 
 
-def test_pipeline_stages(spark, tmp_path):
+def pipeline_rows():
+    """Rows and labels: toxic and clean texts, the corpus, a repeated id with other texts."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("klmnop") for _ in range(5)) for _ in range(400)]
+    rows, labels = [(i, t) for i, t in corpus()], []
+    for k in range(1000, 1300):
+        toxic = k % 4 == 0
+        w = [rnd.choice(words) for _ in range(30)] + ([rnd.choice(["zarq", "zibble", "zonker"]) for _ in range(4)] if toxic else [])
+        rnd.shuffle(w)
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(toxic)))
+    rows += [(1299, "another text of that id"), (1299, "another text of that id"), (1298, dict(rows)[1])]
+    return rows, labels
+
+
+def plain_pipeline(rows, model, tok):
+    """Pieces (doc_id, piece, start, length, crc) that the pipeline must give, in plain Python."""
+    rows = [(i, t) for i, t in rows if plain_score(model, t) < 0.3]
+    seen, kept = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        if i is None or norm not in seen:
+            kept.append((i, t))
+            seen |= {norm} if i is not None else set()
+    sets = []
+    for i, t in kept:
+        w = (t or "").encode().lower().split()
+        sets.append(set() if i is None or not w else {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(kept)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(kept)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = [r for k, r in enumerate(kept) if find(k) == k]
+    first = {}
+    windows = [[tuple(w[s : s + 20]) for s in range(len(w) - 19)] for w in ((t or "").encode().split() for _, t in kept)]
+    for (i, _), found in zip(kept, windows, strict=True):
+        for s, k in enumerate(found) if i is not None else ():
+            first[k] = min(first.get(k, (i, s)), (i, s))
+    out = []
+    for (i, t), found in zip(kept, windows, strict=True):
+        parts = re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", (t or "").encode())
+        gone, own = set(), set()
+        for s, k in enumerate(found):
+            if k in own if i is None else first[k] < (i, s):
+                gone |= set(range(s, s + 20))
+            own.add(k)
+        tail = (t or "").encode()[len(b"".join(parts)) :]
+        text = (b"".join(p for k, p in enumerate(parts) if k not in gone) + tail).decode()
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
+        out += [(i, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.pieces_of(len(ids), 1024))]
+    return out
+
+
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus() if i is not None][:-1]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    docs.dropDuplicates(["doc_id"]).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows, labels = pipeline_rows()
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
-    assert kept.columns == docs.columns and kept.count() == docs.count()
-    exact = corpus_pipeline.drop_exact_copies(spark, kept, str(tmp_path))
-    want = {r.id for r in exact_dedup.exact_groups(docs).filter("kept").collect()}
-    assert {r.doc_id for r in exact.collect()} == want and exact.columns == docs.columns
-    near = corpus_pipeline.drop_near_copies(spark, exact, str(tmp_path))
-    assert {r.doc_id for r in near.collect()} == {r.id for r in minhash.near_groups(exact).filter("kept").collect()}
-    cut = corpus_pipeline.cut_repeats(spark, near, str(tmp_path))
-    lengths = {r.doc_id: (r.n_chars, len(r.text)) for r in cut.collect()}
-    assert all(n == m for n, m in lengths.values()) and len(lengths) == near.count()
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(lengths)
-    assert len(corpus_pipeline.STAGES) == 5
+    model = toxicity.train_on(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    want = plain_pipeline(rows, model, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    gone = {i for i, _, toxic in labels if toxic} - {r.doc_id for r in got}
+    assert len(gone) >= 0.9 * sum(toxic for *_, toxic in labels) and {r.piece for r in got if r.doc_id == 1299} == {0}
+    assert sum(r.doc_id == 1299 for r in got) == 2
+    at = defaultdict(int)
+    for sequence, offset, length in sorted((r.sequence_id, r.offset, r.length) for r in got):
+        assert offset == at[sequence]
+        at[sequence] += length
+    assert max(at.values()) <= 1024
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
