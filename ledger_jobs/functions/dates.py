@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledger_jobs.functions.text import let, trim
+from ledger_jobs.functions.text import UNICODE_SPACE, let
 
 # Month names by their first letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -13,20 +13,25 @@ FULL_MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 )
 _NAME = "(" + "|".join(sorted({*MONTHS, *FULL_MONTHS}, key=len, reverse=True)) + ")"
+_D, _W = r"\d{1,2}", "[A-Za-z]{3,9}"
 #: Dates as they stand in lines: year first, numbers, day-month-year with a name, month name first.
-IN_LINE = (
-    r"(?i)\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:\b|T)|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
-    r"|\d{1,2}[\s-][A-Za-z]{3,9}[\s-]\d{2,4}\b|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{2,4}\b)"
+_LINE_SHAPES = (
+    rf"\d{{4}}[-/]{_D}[-/]{_D}(?:\b|T)",
+    rf"{_D}[-/.]{_D}[-/.]\d{{2,4}}\b",
+    rf"{_D}[\s-]{_W}[\s-]\d{{2,4}}\b",
+    rf"{_W}\s+{_D},?\s+\d{{2,4}}\b",
 )
-_MONTH_3 = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-YEARLESS = rf"(?i)\b(?:(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH_3}|{_MONTH_3}\s+(\d{{1,2}})(?:st|nd|rd|th)?)\b"
+IN_LINE = r"(?i)\b(" + "|".join(_LINE_SHAPES) + ")"
+_MONTH_3 = "(" + "|".join(MONTHS) + ")[a-z]*"
+_NTH = r"(\d{1,2})(?:st|nd|rd|th)?"
+YEARLESS = rf"(?i)\b(?:{_NTH}\s+{_MONTH_3}|{_MONTH_3}\s+{_NTH})\b"
 CLOCK = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b"
 
 
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or null if there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return let(text, lambda t: F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")))
+    dash = F.lit("-")
+    return F.concat(year.cast("string"), dash, month.cast("string"), dash, day.cast("string")).try_cast("date")
 
 
 def month_number(name: Column) -> Column:
@@ -39,48 +44,73 @@ def _int(text: Column) -> Column:
     return text.try_cast("int")
 
 
-def _full_year(text: Column) -> Column:
-    """Two digits below 70 are of this century, others of the last."""
-    return F.when(F.length(text) == 2, _int(text) + F.when(_int(text) < 70, 2000).otherwise(1900)).when(F.length(text) == 4, _int(text))
+_SPACE = UNICODE_SPACE
+#: What may stand around a date in a cell: white space, and a clock time behind it.
+_AROUND = rf"(?s)^{_SPACE}*%s(?:[T\s]+\d{{1,2}}:\d{{2}}.*)?{_SPACE}*T*$"
+# Years from 1990 to 2100 only; of two digits, those below 70 are of this century.
+_YEAR, _NEW, _OLD = r"(199\d|20\d{2}|2100)", r"([0-6]\d)", r"(9\d)"
+#: Numeric shapes and how they read as year-month-day, day first before month first.
+_SHAPES = tuple(
+    (_AROUND % shape, read)
+    for shape, read in (
+        (rf"{_YEAR}([-/])({_D})\2({_D})", "$1-$3-$4"),
+        (rf"({_D})([/.-])({_D})\2{_YEAR}", "$4-$3-$1"),
+        (rf"({_D})([/-])({_D})\2{_YEAR}", "$4-$1-$3"),
+        (rf"({_D})([/-])({_D})\2{_NEW}", "20$4-$3-$1"),
+        (rf"({_D})([/-])({_D})\2{_OLD}", "19$4-$3-$1"),
+        (rf"{_YEAR}(\d{{2}})(\d{{2}})", "$1-$2-$3"),
+    )
+)
+_GAP = r"(?:\s*|-)"
+_NAMED = (
+    (_AROUND % rf"({_D}){_GAP}(?i:{_NAME}){_GAP}(199\d|20\d{{2}}|2100|[0-69]\d)", 3, 2, 1),
+    (_AROUND % rf"(?i:{_NAME})\s*({_D}),\s*{_YEAR}", 3, 1, 2),
+)
 
 
 def parse_date(raw: Column) -> Column:
     """The date in a cell: ISO, day first before month first, with names, or eight digits; a clock
     time behind it is dropped.  Years outside 1990 to 2100 are no dates."""
-    bare = trim(F.regexp_replace(trim(raw), r"[T\s]+\d{1,2}:\d{2}.*$", ""))
-    return let(F.regexp_replace(bare, "T+$", ""), _date_of)
+    # every branch is guarded by what the cell starts with, so that other text costs two looks
+    numeric = F.coalesce(*[F.when(raw.rlike(p), F.regexp_replace(raw, p, read).try_cast("date")) for p, read in _SHAPES])
 
+    def named(pattern: str, y: int, m: int, d: int) -> Column:
+        part = lambda k: F.regexp_extract(raw, pattern, k)
+        century = F.when(F.length(part(y)) == 4, "").when(part(y) < "70", "20").otherwise("19")
+        return F.when(raw.rlike(pattern), make_date(F.concat(century, part(y)), month_number(part(m)), part(d)))
 
-#: Order of year, month and day in numeric dates, by their shape.
-_SHAPES = (
-    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3), (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
-    (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", 4, 3, 1), (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", 4, 1, 3),
-    (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$", 4, 3, 1), (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
-)
-_NAMED = ((rf"(?i)^(\d{{1,2}})(?:\s*|-){_NAME}(?:\s*|-)(\d{{4}}|\d{{2}})$", 3, 2, 1), (rf"(?i)^{_NAME}\s*(\d{{1,2}}),\s*(\d{{4}})$", 3, 1, 2))
+    return F.when(raw.rlike(rf"^{_SPACE}*(?:\d{{1,2}}[-/.]\d|\d{{4}}[-/]\d|\d{{8}})"), numeric).when(
+        raw.rlike(rf"^{_SPACE}*(?:\d{{1,2}}{_GAP})?[A-Za-z]{{3}}"), F.coalesce(*[named(*n) for n in _NAMED])
+    )
 
 
-def _date_of(s: Column) -> Column:
-    def form(pattern: str, y: int, m: int, d: int, name: bool) -> Column:
-        group = lambda k: F.regexp_extract(s, pattern, k)
-        parts = F.struct(group(y).alias("y"), group(m).alias("m"), group(d).alias("d"))
-        month = (lambda p: month_number(p.m)) if name else (lambda p: _int(p.m))
-        date = let(parts, lambda p: make_date(_full_year(p.y), month(p), _int(p.d)))
-        return F.when(s.rlike(pattern), let(date, lambda x: F.when(F.year(x).between(1990, 2100), x)))
+def find_date(line: Column) -> Column:
+    """The first date in a line."""
 
-    numeric = F.coalesce(*[form(*shape, name=False) for shape in _SHAPES])
-    return F.when(s.rlike("[A-Za-z]"), F.coalesce(*[form(*shape, name=True) for shape in _NAMED])).otherwise(numeric)
+    def rest(first: Column) -> Column:
+        later = F.filter(F.transform(F.regexp_extract_all(line, F.lit(IN_LINE), F.lit(1)), parse_date), lambda d: d.isNotNull())
+        return F.coalesce(parse_date(first), F.when(first != "", F.get(later, F.lit(0))))
 
+    return F.when(line.rlike(r"\d"), let(F.regexp_extract(line, IN_LINE, 1), rest))
 
-def find_date(line: Column) -> Column:
-    """The first date in a line."""
-    found = F.transform(F.regexp_extract_all(line, F.lit(IN_LINE), F.lit(1)), parse_date)
-    return F.try_element_at(F.filter(found, lambda d: d.isNotNull()), F.lit(1))
 
+def find_date_span(line: Column) -> Column:
+    """The first date in a line and where it stands: ``struct<date, start, stop>`` in characters."""
+    found, between = F.regexp_extract_all(line, F.lit(IN_LINE), F.lit(1)), F.split(line, IN_LINE, -1)
 
-def find_yearless_date(line: Column, year: Column) -> Column:
-    """The first date without a year ("5 Oct", "Oct 5th"), in ``year``; a figure that is glued to
-    it makes it no date."""
+    def first(x: Column) -> Column:
+        def placed(t: Column, i: Column) -> Column:
+            start = F.char_length(F.array_join(F.slice(x.gaps, F.lit(1), i + 1), "")) + F.char_length(F.array_join(F.slice(x.found, F.lit(1), i), ""))
+            return F.struct(parse_date(t).alias("date"), start.cast("int").alias("start"), (start + F.char_length(t)).cast("int").alias("stop"))
+
+        return F.get(F.filter(F.transform(x.found, placed), lambda d: d.date.isNotNull()), F.lit(0))
+
+    return F.when(line.rlike(IN_LINE), let(F.struct(found.alias("found"), between.alias("gaps")), first))
+
+
+def find_yearless_span(line: Column, year: Column) -> Column:
+    """The first date without a year ("5 Oct", "Oct 5th"), in ``year``, and where it stands:
+    ``struct<date, start, stop>``; a figure that is glued to it makes it no date."""
     whole = F.regexp_extract(line, YEARLESS, 0)
     group = lambda k: F.regexp_extract(line, YEARLESS, k)
     day = _int(F.coalesce(F.nullif(group(1), F.lit("")), group(4)))
@@ -88,7 +118,12 @@ def find_yearless_date(line: Column, year: Column) -> Column:
     at = F.position(whole, line)
     before, after = F.substring(line, F.lit(1), at - 1), F.substring(line, at + F.length(whole), F.lit(2))
     glued = before.rlike("[.,/:-]$") | after.rlike("^[.,/:-][0-9]")
-    return F.when((whole != "") & ~glued, make_date(year, month, day))
+    span = F.struct(make_date(year, month, day).alias("date"), (at - 1).alias("start"), (at - 1 + F.char_length(whole)).alias("stop"))
+    return F.when(line.rlike(YEARLESS), F.when(~glued, let(span, lambda x: F.when(x.date.isNotNull(), x))))
+
+
+def find_yearless_date(line: Column, year: Column) -> Column:
+    return find_yearless_span(line, year).date
 
 
 def find_time(line: Column) -> Column:

@@ -1,12 +1,13 @@
-"""Currency of a statement: symbols and names counted over its lines.
+"""Currency of a statement: symbols and names counted over its text.
 
-One pass counts all fifteen currencies per line; sums per statement are combined before they are
-shuffled.  Only the first 256 KiB of a statement's text are looked at.
+One pass counts all fifteen currencies per row of text (a whole block, a line or a row of cells);
+sums per statement are combined before they are shuffled.  Only the first 256 KiB of a statement
+are looked at; they are cut from the text where it lies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 256 * 1024
@@ -36,30 +37,32 @@ def _quoted(text: str) -> str:
     return rf"\Q{text}\E"
 
 
-def line_score(line: Column, symbol: str, words: tuple[str, ...]) -> Column:
-    """Points of one currency in a line; symbols that are only letters do not count."""
-    score = F.lit(0)
+def score(text: Column, low: Column, symbol: str, words: tuple[str, ...]) -> Column:
+    """Points of one currency in a text (and the same in lower case); symbols that are only letters
+    do not count."""
+    points = F.lit(0)
     if not (symbol.isascii() and symbol.isalnum()):
-        score = score + SYMBOL_POINTS * F.regexp_count(line, F.lit(_quoted(symbol)))
-    for word in words:
-        whole = f"(?<![a-z0-9]){_quoted(word)}(?![a-z0-9])"
-        score = score + WORD_POINTS * F.regexp_count(F.lower(line), F.lit(whole))
-    return score
+        points = points + SYMBOL_POINTS * F.regexp_count(text, F.lit(_quoted(symbol)))
+    whole = f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, words))})(?![a-z0-9])"
+    return points + WORD_POINTS * F.regexp_count(low, F.lit(whole))
 
 
-def sampled(lines: DataFrame) -> DataFrame:
-    """The lines of each statement that start in its first 256 KiB."""
-    before = Window.partitionBy("doc_id").orderBy("block_no", "line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("at", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))).filter(F.col("at") < SAMPLE_BYTES).drop("at")
+def sampled(text: Column, at: Column) -> Column:
+    """The part of a text, before which ``at`` bytes of its statement stand, in the sample."""
+    left = F.greatest(SAMPLE_BYTES - at, F.lit(0)).cast("int")
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), left).cast("string"))
+    return F.when(F.octet_length(text) <= left, text).otherwise(cut)
 
 
-def detect(lines: DataFrame) -> DataFrame:
-    """One row per statement of (doc_id, block_no, line_no, line): symbol, code, name, confidence
-    (share of all points), detected_by.  Ties go to the earlier definition."""
-    scores = [F.sum(line_score(F.col("line"), d[0], d[3])).alias(f"s{k}") for k, d in enumerate(DEFINITIONS)]
+def detect(texts: DataFrame) -> DataFrame:
+    """One row per statement of (doc_id, at, text), ``at`` being the bytes of the statement before a
+    text: symbol, code, name, confidence (share of all points), detected_by.  Ties go to the
+    earlier definition."""
+    rows = texts.select("doc_id", sampled(F.col("text"), F.col("at")).alias("line")).withColumn("low", F.lower("line"))
+    scores = [F.sum(score(F.col("line"), F.col("low"), d[0], d[3])).alias(f"s{k}") for k, d in enumerate(DEFINITIONS)]
     word = r"(?<![a-z0-9])sort code(?![a-z0-9])"
-    hint = F.bool_or(F.lower("line").rlike(word) | F.col("line").rlike(SORT_CODE)).alias("hint")
-    summed = sampled(lines).groupBy("doc_id").agg(*scores, hint)
+    hint = F.bool_or(F.col("low").rlike(word) | F.col("line").rlike(SORT_CODE)).alias("hint")
+    summed = rows.groupBy("doc_id").agg(*scores, hint)
     points = F.array(*[F.col(f"s{k}") for k in range(len(DEFINITIONS))])
     best = F.array_max(points)
     pick = (F.array_position(points, best) - 1).cast("int")

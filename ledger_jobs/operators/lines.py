@@ -1,34 +1,32 @@
-"""Statements as text: rows that start with a date and time, and lines with amounts.
+"""Statements as text: rows that start with a date and time, columns, and lines with amounts.
 
-Lines come as ``doc_id, block_no, source, line_no, line``.
+Texts come as ``doc_id, block_no, source, text``, one row per block; what a block is read as is told
+from its text before it is taken apart, so only column statements are shuffled, once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions.dates import find_date, find_time
 from ledger_jobs.functions.money import SYMBOLS, find_amounts, parse_amount, without_amounts
 from ledger_jobs.functions.text import classify_text, clean, trim
-from ledger_jobs.operators.tables import BLOCK, with_ts
-
-ROW_START = r"\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\s+\d{1,2}:\d{2}:\d{2}"
-ROW_PREFIX = rf"^\s*{ROW_START}\s+\d{{1,2}}\s+[A-Za-z]{{3,9}}\s+\d{{4}}\s*"
+from ledger_jobs.operators import columns
+from ledger_jobs.operators.tables import BLOCK, PARSED
+from ledger_jobs.sources.shared import kept
+
+# What a wrapped row starts with (day and clock time, then the day it counts for), and
+# its figures, of which a missing one is two dashes.
+_DAY = r"\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}"
+ROW_START = _DAY + r"\s+\d{1,2}(?::\d{2}){2}"
+ROW_PREFIX = rf"^\s*{ROW_START}\s+{_DAY}\s*"
 FIGURE = r"--|\d[\d,]*\.\d{2}"
 #: Row starts from which a block counts as wrapped rows.
 LEAST_STARTS = 5
 _MARK = "\x01"
 
 
-def joined_blocks(lines: DataFrame) -> DataFrame:
-    """One text per block, with the number of its row starts."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    text = F.array_join(F.transform(ordered, lambda x: x.line), "\n")
-    out = lines.groupBy(*BLOCK, "source").agg(text.alias("text"))
-    return out.withColumn("starts", F.regexp_count("text", F.lit(ROW_START)))
-
-
 def first_account(text: Column) -> Column:
     """Up to the second "total credit", which opens the next account's section."""
     head = F.substring_index(F.lower(text), "total credit", 2)
@@ -36,11 +34,11 @@ def first_account(text: Column) -> Column:
     return F.when(twice, F.substring(text, F.lit(1), F.char_length(head))).otherwise(text)
 
 
-def wrapped_rows(blocks: DataFrame) -> DataFrame:
-    """Transactions of blocks whose rows start with a date and time and run over several lines:
+def wrapped_rows(texts: DataFrame) -> DataFrame:
+    """Transactions of texts whose rows start with a date and time and run over several lines:
     the last three figures (or ``--``) are money out, money in and balance."""
     marked = F.regexp_replace(first_account(F.col("text")), f"({ROW_START})", f"{_MARK}$1")
-    rows = blocks.select(*BLOCK, "source", F.posexplode(F.slice(F.split(marked, _MARK), 2, 2_000_000_000)).alias("line_no", "row"))
+    rows = texts.select(*BLOCK, "source", F.posexplode(F.slice(F.split(marked, _MARK), 2, 2_000_000_000)).alias("line_no", "row"))
     rows = rows.withColumn("row", clean(F.col("row")))
     rows = rows.withColumn("figures", F.regexp_extract_all("row", F.lit(f"({FIGURE})"), F.lit(1))).filter(F.size("figures") >= 3)
     figure = lambda k: F.nullif(F.abs(parse_amount(F.when(F.element_at("figures", k) != "--", F.element_at("figures", k))).value), F.lit(0.0))
@@ -71,17 +69,27 @@ def scanned_lines(lines: DataFrame) -> DataFrame:
     return out.filter("description <> ''")
 
 
-def accounts(lines: DataFrame) -> DataFrame:
+def accounts(texts: DataFrame) -> DataFrame:
     """(doc_id, warning) of statements with more than one opening balance in a block."""
-    counts = lines.groupBy(*BLOCK).agg(F.count_if(F.lower("line").contains("opening balance")).alias("n"))
     text = "This statement contains more than one account; analysing only the first (primary) account."
-    return counts.filter("n >= 2").select("doc_id").distinct().withColumn("warning", F.lit(text))
-
-
-def transactions(lines: DataFrame) -> DataFrame:
-    """Transactions of all text blocks: wrapped rows where at least five start, else lines."""
-    blocks = joined_blocks(lines)
-    wrapped = blocks.filter(F.col("starts") >= LEAST_STARTS)
-    plain = lines.join(wrapped.select(*BLOCK), BLOCK, "left_anti")
-    found = wrapped_rows(wrapped).unionByName(scanned_lines(plain))
-    return with_ts(found.withColumn("txn_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_no", "line_no")).cast("long")))
+    return texts.filter(columns.accounts_in(F.col("text")) >= 2).select("doc_id").distinct().withColumn("warning", F.lit(text))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    others = [c for c in texts.columns if c not in ("text", "line_no", "line")]
+    return texts.select(*others, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def transactions(texts: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """Transactions of all text blocks: wrapped rows where at least five start, columns where
+    three lines have figures and rows are found that way, else lines.  ``as_of_year`` is the year of
+    dates without one in statements that name no year at all."""
+    text = F.col("text")
+    starts = F.regexp_count(text, F.lit(ROW_START))
+    wrapped, rest = texts.filter(starts >= LEAST_STARTS), texts.filter(starts < LEAST_STARTS)
+    tabular = columns.is_column_statement(text)
+    placed = rest.filter(tabular).withColumn("period_end", columns.period_end(text))
+    found = kept(columns.transactions(lines_of(placed.select(*BLOCK, "source", "text", "period_end")), as_of_year).select(*PARSED))
+    fallback = rest.filter(tabular).join(found.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(rest.filter(~tabular))
+    scanned = scanned_lines(lines_of(fallback.select(*BLOCK, "source", "text")))
+    return found.unionByName(wrapped_rows(wrapped).select(*PARSED)).unionByName(scanned.select(*PARSED))

@@ -39,7 +39,7 @@ def passes(keyword: bool = True) -> Column:
 def meet(txns: DataFrame, searches: DataFrame, condition: Column, first: str = "date_from", last: str = "date_to") -> DataFrame:
     """Pairs of ``t`` and ``q`` that fulfil the condition, which for searches that have both a
     ``first`` and a ``last`` date must hold only for transactions from one to the other."""
-    if searches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few(searches):
         return txns.alias("t").join(F.broadcast(searches.alias("q")), condition)
     month, lo, hi = F.trunc("date", "month"), F.col(first), F.col(last)
     months = txns.select(month.alias("m")).distinct()
@@ -102,40 +102,53 @@ def matched_list(matched: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
     )
 
 
-def notices(txns: DataFrame, searches: DataFrame, matched: DataFrame, symbol: Column | None = None) -> DataFrame:
+def few(searches: DataFrame) -> bool:
+    return searches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def every_pair(docs: DataFrame, searches: DataFrame) -> DataFrame:
+    """Each statement with each search: where every one of them gets a result."""
+    return docs.join(F.broadcast(searches) if few(searches) else searches, how="cross")
+
+
+def notices(txns: DataFrame, searches: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, notices): blank searches, anchors found and not found, and ranges that
-    the statement does not cover.  One row for each pair that has a notice."""
-    symbol = F.lit("") if symbol is None else symbol
+    the statement does not cover.  One row for each pair that has a notice.  ``symbols``: doc_id and
+    currency symbol.
+
+    Each kind is found on its own: blank searches and anchored ones meet every statement, as they
+    have a notice there; a range meets those statements whose dates it misses, in which nothing can
+    match it.
+    """
     docs = txns.groupBy("doc_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    counts = matched.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    docs = docs.withColumn("symbol", F.lit("")) if symbols is None else docs.join(symbols, "doc_id", "left").withColumn("symbol", F.coalesce("symbol", F.lit("")))
     empty = (F.col("keyword") == "") & F.col("anchor").isNull()
     for c in ("date_from", "direction", "amount_min", "amount_max"):
         empty = empty & F.col(c).isNull()
-    small = searches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = docs.join(F.broadcast(searches) if small else searches, how="cross")
-    pairs = pairs.join(resolve_anchors(txns, searches), KEYS, "left").join(counts, KEYS, "left")
+    told = lambda pairs, rank, text: pairs.select(*KEYS, F.lit(rank).alias("rank"), text.alias("notice"))
+    blank = told(every_pair(docs, searches.filter(empty).select("query_id")), 0, F.lit("No search term provided, analysing ALL transactions."))
+
+    asked = searches.filter("anchor IS NOT NULL").select("query_id", "anchor")
+    anchored = every_pair(docs, asked).join(resolve_anchors(txns, searches), KEYS, "left")
     a = F.col("anchor_txn")
     side = F.when(F.col("anchor.around"), "either side of").when(F.col("anchor.after"), "after").otherwise("before")
     clock = F.format_string(" %02d:%02d", F.floor(a.time_sec / 3600).cast("int"), F.floor(a.time_sec % 3600 / 60).cast("int"))
     found = F.concat(
         F.lit("Anchored "), side, F.lit(" “"), truncate(a.description, 60), F.lit("” on "), a.date.cast("string"),
-        F.when(a.time_sec.isNotNull(), clock).otherwise(""), F.lit(" ("), fmt_money(symbol, a.amount), F.lit("). Showing transactions within "),
+        F.when(a.time_sec.isNotNull(), clock).otherwise(""), F.lit(" ("), fmt_money(F.col("symbol"), a.amount), F.lit("). Showing transactions within "),
         F.col("anchor.window_hours").cast("string"), F.lit(" hours."),
     )
     name = F.when(F.col("anchor.keyword") == "", F.lit("any")).otherwise(F.concat(F.lit("“"), F.col("anchor.keyword"), F.lit("”")))
-    figure = F.coalesce(F.concat(F.lit(", "), fmt_money(symbol, F.col("anchor.amount"))), F.lit(""))
+    figure = F.coalesce(F.concat(F.lit(", "), fmt_money(F.col("symbol"), F.col("anchor.amount"))), F.lit(""))
     lost = F.concat(F.lit("Couldn't find the anchor transaction ("), name, figure, F.lit("). Showing results without it."))
-    outside = F.col("n").isNull() & ((F.col("date_from") > F.col("hi")) | (F.col("date_to") < F.col("lo")))
+    anchors = told(anchored, 1, F.when(a.isNull(), lost).otherwise(found))
+
+    ranged = searches.filter("date_from IS NOT NULL AND date_to IS NOT NULL").select("query_id", "date_from", "date_to")
+    missed = docs.join(F.broadcast(ranged) if few(ranged) else ranged, (F.col("date_from") > F.col("hi")) | (F.col("date_to") < F.col("lo")))
     range_ = F.format_string(
         "This statement covers %s to %s, so nothing falls in the dates you asked for (%s to %s). Try naming the months, for example \"%s\".",
         *[F.col(c).cast("string") for c in ("lo", "hi", "date_from", "date_to")], F.date_format("hi", "MMMM yyyy"),
     )
-    all_ = F.array_compact(
-        F.array(
-            F.when(empty, F.lit("No search term provided, analysing ALL transactions.")),
-            F.when(F.col("anchor").isNotNull() & a.isNull(), lost),
-            F.when(a.isNotNull(), found),
-            F.when(outside, range_),
-        )
-    )
-    return pairs.select(*KEYS, all_.alias("notices")).filter(F.size("notices") > 0)
+    every = blank.unionByName(anchors).unionByName(told(missed, 2, range_))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "notice"))), lambda x: x.notice)
+    return every.groupBy(*KEYS).agg(ordered.alias("notices"))

@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def window_starts(keys: np.ndarray, times: np.ndarray, window: int, last_key=None, last_start: int = 0) -> np.ndarray:
-    """Start of the window of each row, for rows sorted by key and time that may continue a key."""
+def window_starts(keys: np.ndarray, times: np.ndarray, window: int, goes_on: bool = False, last_start: int = 0) -> np.ndarray:
+    """Start of the window of each row, for rows sorted by key and time; with ``goes_on`` the first
+    key is one whose last window opened at ``last_start``."""
     out = np.empty(len(times), np.int64)
     i, n = 0, len(times)
     bounds = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, n)
     for stop in bounds.tolist():
-        start = last_start if last_key is not None and keys[i] == last_key else None
+        start = last_start if goes_on and i == 0 else None
         while i < stop:
             if start is None or times[i] - start >= window:
                 start = int(times[i])
@@ -39,20 +40,21 @@ def rate_limit(requests: DataFrame, key: str, ts: str, window: int, most: int, o
     schema = pa.schema([("key", pa.string()), ("id", pa.int64()), ("ts", pa.int64()), ("window_start", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_start, seen = None, 0, 0
+        last_key, last_start, seen, any_yet = None, 0, 0, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ts"))
-            starts = window_starts(keys, times, window, last_key, last_start)
+            goes_on = any_yet and keys[0] == last_key  # a null key is a key like others
+            starts = window_starts(keys, times, window, goes_on, last_start)
             new = np.ones(len(starts), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1])
-            new[0] = last_key is None or keys[0] != last_key or starts[0] != last_start
+            new[0] = not goes_on or starts[0] != last_start
             first = np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))
             n = np.arange(len(starts)) - first + 1
             if not new[0]:
                 n[: int(np.argmax(new)) if new.any() else len(n)] += seen
-            last_key, last_start, seen = keys[-1], int(starts[-1]), int(n[-1])
+            last_key, last_start, seen, any_yet = keys[-1], int(starts[-1]), int(n[-1]), True
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), batch.column("ts"), pa.array(starts), pa.array(n)], schema=schema)
 
     counted = (

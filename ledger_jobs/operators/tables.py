@@ -1,7 +1,7 @@
 """Tables of statements: find the header or infer the columns, then read rows as transactions.
 
 Cells come as ``doc_id, block_no, source, line_no, cells``; a block is one table.  Each cell is
-parsed once, as date and as money, and the result is checkpointed: header search, inference and
+parsed once, as date and as money, and the result is written: header search, inference and
 reading all start from it.  Column maps are small (one row per block, from its first 30 or 200
 rows) and are joined back by block.
 """
@@ -17,9 +17,12 @@ from ledger_jobs.functions.dates import find_date, find_time, parse_date
 from ledger_jobs.functions.money import find_amounts, parse_amount
 from ledger_jobs.functions.text import classify_text, clean, direction_from_type, let, trim
 from ledger_jobs.operators.trail import fix_directions
+from ledger_jobs.sources.shared import kept
 
 BLOCK = ["doc_id", "block_no"]
 HEADER_ROWS, INFER_ROWS = 30, 200
+#: Columns of transactions as they are read from blocks.
+PARSED = ("doc_id", "block_no", "source", "line_no", "date", "time_sec", "description", "amount", "direction", "balance", "raw")
 ROLES = ("date", "description", "debit", "credit", "amount", "balance", "type_ind")
 # Words of header cells.
 HEADER_WORDS = (
@@ -35,7 +38,7 @@ def parse_cells(cells: DataFrame) -> DataFrame:
     def one(c: Column) -> Column:
         return F.struct(c.alias("cell"), (trim(c) != "").alias("filled"), parse_date(c).alias("date"), parse_amount(c).alias("money"))
 
-    return cells.select(*BLOCK, "source", "line_no", F.transform("cells", one).alias("parsed")).checkpoint()
+    return kept(cells.select(*BLOCK, "source", "line_no", F.transform("cells", one).alias("parsed")))
 
 
 def header_score(parsed: Column) -> Column:
@@ -49,28 +52,39 @@ def header_score(parsed: Column) -> Column:
     return F.when(F.exists(parsed, lambda x: x.date.isNotNull()), 0).otherwise(F.size(F.filter(parsed, titled)))
 
 
-def header_role(low: Column) -> Column:
-    """Role of a header cell, by the first rule that fits; null for none."""
-    has = lambda *words: low.rlike("|".join(words))
-    both = (low.contains("debit") & low.contains("credit")) | has("dr/cr", "cr/dr")
-    return (
-        F.when(low == "", None).when(has("balance"), "balance")
-        .when(both | (low == "type") | low.endswith(" type") | has("indicator"), "type_ind")
-        .when(has("withdraw", "debit", "money out", "paid out") | low.isin("dr", "out"), "debit")
-        .when(has("deposit", "credit", "money in", "paid in") | low.isin("cr", "in"), "credit")
-        .when(has("date", "posted"), "date").when(has("amount", "value"), "amount").when(description_rank(low) > 0, "description")
-    )
+# Titles by role, in the order in which roles are looked for: words anywhere in the
+# title, whole titles, ends of titles.
+ROLE_WORDS = (
+    ("balance", ("balance",), (), ()),
+    ("type_ind", ("debit.*credit", "credit.*debit", "dr/cr", "cr/dr", "indicator"), ("type",), (" type",)),
+    ("debit", ("withdraw", "debit", "money out", "paid out"), ("dr", "out"), ()),
+    ("credit", ("deposit", "credit", "money in", "paid in"), ("cr", "in"), ()),
+    ("date", ("date", "posted"), (), ()),
+    ("amount", ("amount", "value"), (), ()),
+)
+# How good a title is for the text that people read, and titles that never are it.
+TITLE_WORDS = (
+    (9, ("description", "narrati"), (), ()), (8, ("details", "particular"), (), ()), (7, ("memo",), (), ()),
+    (6, ("counter party", "counterparty", "payee", "merchant"), ("name",), ()), (4, ("reference",), (), ()),
+    (3, ("transaction",), (), ()), (2, ("notes",), (), ()),
+)
+NO_TITLE = (("^account",), ("id",), (" id",))
+
+
+def _titled(low: Column, anywhere: tuple[str, ...], whole: tuple[str, ...], ends: tuple[str, ...]) -> Column:
+    return low.rlike("|".join([*anywhere, *[f"^{w}$" for w in whole], *[f"{e}$" for e in ends]]))
 
 
 def description_rank(low: Column) -> Column:
     """How good a title is for the column that people read; 0 is none."""
-    has = lambda *words: low.rlike("|".join(words))
-    return (
-        F.when(low.startswith("account") | low.endswith(" id") | (low == "id"), 0)
-        .when(has("description", "narrati"), 9).when(has("details", "particular"), 8).when(has("memo"), 7)
-        .when(has("counter party", "counterparty", "payee", "merchant") | (low == "name"), 6)
-        .when(has("reference"), 4).when(has("transaction"), 3).when(has("notes"), 2).otherwise(0)
-    )
+    ranked = reduce(lambda c, r: c.when(_titled(low, *r[1:]), r[0]), TITLE_WORDS, F.when(_titled(low, *NO_TITLE), 0))
+    return ranked.otherwise(0)
+
+
+def header_role(low: Column) -> Column:
+    """Role of a header cell, by the first rule that fits; null for none."""
+    found = reduce(lambda c, r: c.when(_titled(low, *r[1:]), r[0]), ROLE_WORDS, F.when(low == "", None))
+    return found.when(description_rank(low) > 0, "description")
 
 
 def header_maps(cells: DataFrame) -> DataFrame:
@@ -112,10 +126,9 @@ def column_maps(cells: DataFrame) -> DataFrame:
 
 
 def transactions(cells: DataFrame) -> DataFrame:
-    """Transactions of all tables: ``doc_id, txn_seq, block_no, source, line_no, date, time_sec,
-    ts, description, amount, direction, balance, raw``."""
+    """Transactions of all tables, with the columns ``PARSED``."""
     cells = parse_cells(cells)
-    maps = column_maps(cells).checkpoint()
+    maps = kept(column_maps(cells))
     rows = cells.join(maps, BLOCK).filter((F.col("line_no") >= F.col("start")) & F.exists("parsed", lambda x: x.filled))
 
     def at(role: str) -> Column:
@@ -148,26 +161,41 @@ def transactions(cells: DataFrame) -> DataFrame:
         F.col("balance_cell.money.value").alias("balance"), clean(F.col("joined")).alias("raw"),
         (F.col("single") & ~F.col("sided") & ~F.col("signed")).alias("unsigned"),
     ).filter("amount > 0")
-    out = out.withColumn("txn_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_no", "line_no")).cast("long"))
-    out = out.checkpoint()
+    out = kept(out.withColumn("txn_seq", F.col("line_no").cast("long")))
     fixed = fix_directions(out.filter("unsigned")).unionByName(out.filter("NOT unsigned"))
-    return with_ts(fixed.drop("unsigned"))
+    return fixed.select(*PARSED)
 
 
-def with_ts(txns: DataFrame) -> DataFrame:
-    """The canonical columns; ``ts`` where there are a date and a clock time."""
+def sequenced(parsed: DataFrame) -> DataFrame:
+    """The canonical columns: parsed transactions numbered by block and line within their statement,
+    with ``ts`` where there are a date and a clock time."""
     clock = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("time_sec").cast("decimal(18,6)"))
     ts = F.when(F.col("date").isNotNull() & F.col("time_sec").isNotNull(), F.col("date").cast("timestamp_ntz") + clock)
-    return txns.withColumn("ts", ts).select(
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_no", "line_no")).cast("long")
+    return parsed.withColumns({"txn_seq": seq, "ts": ts}).select(
         "doc_id", "txn_seq", "block_no", "source", "line_no", "date", "time_sec", "ts", "description", "amount", "direction", "balance", "raw"
     )
 
 
 def primary_sheets(rows: DataFrame) -> DataFrame:
     """Of each workbook's sheets that are not blank, the rows of the one with the most rows (the
-    first of equals); rows are ``workbook, sheet_no, sheet, line_no, cells``."""
+    first of equals), with the names of the others in sheet order (``skipped``); rows are
+    ``workbook, sheet_no, sheet, line_no, cells``."""
     filled = rows.withColumn("filled", F.exists("cells", lambda c: trim(c) != ""))
     sizes = filled.groupBy("workbook", "sheet_no", "sheet").agg(F.count("*").alias("n"), F.bool_or("filled").alias("filled")).filter("filled")
-    best = F.max_by("sheet_no", F.col("n") * 100_000 - F.col("sheet_no")).alias("sheet_no")
-    chosen = sizes.groupBy("workbook").agg(best, F.sort_array(F.collect_list("sheet")).alias("sheets"))
+    best = F.max_by("sheet_no", F.struct("n", -F.col("sheet_no"))).alias("sheet_no")
+    names = F.transform(F.sort_array(F.collect_list(F.struct("sheet_no", "sheet"))), lambda x: x.sheet)
+    chosen = sizes.groupBy("workbook").agg(best, names.alias("sheets"))
     return rows.join(chosen, ["workbook", "sheet_no"]).withColumn("skipped", F.array_remove("sheets", F.col("sheet"))).drop("sheets")
+
+
+def skipped_sheets(primary: DataFrame) -> DataFrame:
+    """(doc_id, warning) of workbooks of which sheets were left out."""
+    named = primary.filter(F.size("skipped") > 0).groupBy("workbook").agg(F.first("skipped").alias("skipped"))
+    text = F.concat(F.lit("Analysed the largest sheet; skipped: "), F.array_join("skipped", ", "))
+    return named.select(F.col("workbook").alias("doc_id"), text.alias("warning"))
+
+
+def sheet_cells(primary: DataFrame) -> DataFrame:
+    """The rows of primary sheets as cells of one block per workbook."""
+    return primary.select(F.col("workbook").alias("doc_id"), F.lit(0).alias("block_no"), F.col("sheet").alias("source"), "line_no", "cells")

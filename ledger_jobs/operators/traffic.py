@@ -30,6 +30,15 @@ def clean_visits(visits: DataFrame, salt: str) -> DataFrame:
     )
 
 
+def clean_analyses(analyses: DataFrame, salt: str) -> DataFrame:
+    """Analyses with visitor id and hashed address; addresses do not stay."""
+    figures = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("size_bytes", "scanned", "matched")]
+    return analyses.select(
+        "ts", web.clean_visitor(F.col("visitor")).alias("visitor"), web.hash_ip(F.col("ip"), salt).alias("ip_hash"), "country", "region", "city",
+        web.clip(F.coalesce("file_kind", F.lit("")), 40).alias("file_kind"), *figures, F.coalesce("currency", F.lit("")).alias("currency"),
+    )
+
+
 def clean_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback within its limits; rows that say nothing are left out."""
     rows = feedback.withColumns(

@@ -2,8 +2,9 @@
 
 Consecutive transactions up to each printed balance form a group whose signed amounts must add up
 to the change of the balance.  Groups are numbered by windows over one partitioning by statement
-block, in file order and in reverse; a block of one transaction per balance is solved by an
-expression, larger groups (16 at most) by trying signs in numpy, many groups at a time.
+block, in file order and in reverse.  A group of one transaction is solved by an expression where it
+is; only the rows of larger ones (16 at most) leave, to try signs in numpy, all groups of one size
+of a batch in one pass.  Groups without a change of balance are never gathered.
 """
 
 from __future__ import annotations
@@ -22,27 +23,44 @@ def cents(x: Column) -> Column:
     return F.round(x * 100).cast("long")
 
 
-def best_signs(amounts: np.ndarray, credit: np.ndarray, delta: int) -> np.ndarray | None:
-    """Signs (credit or not) whose sum is ``delta``, with the fewest changes of the guess; of
-    several, the smallest as a binary number whose lowest digit is the first amount."""
-    k = len(amounts)
-    masks = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1 == 1
-    right = np.flatnonzero(np.where(masks, amounts, -amounts).sum(axis=1) == delta)
-    if not len(right):
-        return None
-    changes = (masks[right] != credit).sum(axis=1)
-    return masks[right[np.argmin(changes)]]
+#: Numbers that one batch of sign trials may hold.
+_TRIALS = 1 << 22
 
 
-@F.pandas_udf(_SOLVED)
-def _solve(amounts: pd.Series, credits: pd.Series, deltas: pd.Series) -> pd.Series:
-    found = (best_signs(np.asarray(a, np.int64), np.asarray(c, bool), int(d)) for a, c, d in zip(amounts, credits, deltas, strict=True))
-    return pd.Series([None if f is None else f.tolist() for f in found])
+def best_signs(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of one size (rows of ``amounts`` and of the guess ``credit``) the signs (credit or
+    not) whose sum is the group's delta, with the fewest changes of the guess; of several, the
+    smallest as a binary number whose lowest digit is the first amount.  Also whether there are any."""
+    n, k = amounts.shape
+    masks = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+    signs, found = np.zeros((n, k), bool), np.zeros(n, bool)
+    for at in range(0, n, max(1, _TRIALS >> k)):
+        part = slice(at, at + max(1, _TRIALS >> k))
+        guess = credit[part].astype(np.int64)
+        right = (2 * masks - 1) @ amounts[part].T == deltas[part]
+        changes = masks.sum(1)[:, None] + guess.sum(1) - 2 * (masks @ guess.T)
+        best = np.where(right, changes, k + 1).argmin(0)
+        signs[part], found[part] = masks[best] == 1, right.any(0)
+    return signs, found
 
 
-def _groups(txns: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
-    """Groups that end in a printed balance after a known level, walking in one direction: their
-    rows in order, and the change of the balance.
+@F.pandas_udf(_SOLVED)
+def _solve(amounts: pd.Series, credits: pd.Series, deltas: pd.Series) -> pd.Series:
+    sizes, out = amounts.map(len).to_numpy(), np.empty(len(amounts), object)
+    for k in np.unique(sizes):
+        at = np.flatnonzero(sizes == k)
+        signs, found = best_signs(
+            np.stack(amounts.iloc[at].to_list()).astype(np.int64), np.stack(credits.iloc[at].to_list()).astype(bool), deltas.iloc[at].to_numpy(np.int64)
+        )
+        for i, s, ok in zip(at, signs, found, strict=True):
+            out[i] = s.tolist() if ok else None
+    return pd.Series(out)
+
+
+def _grouped(rows: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
+    """``rows`` with the group that each is in when walked in one direction: its number (``closed``,
+    ``restarts``), its size ``k``, the change ``delta`` of the balance that it must add up to (null
+    without two balances), and for groups of one row whether that is a ``credit``.
 
     A group is what lies between two balances; a balance known before a row starts another one,
     and what was open is left without an end.
@@ -50,38 +68,34 @@ def _groups(txns: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
     walk = Window.partitionBy(*keys).orderBy(F.desc("txn_seq") if reverse else F.asc("txn_seq"))
     before = walk.rowsBetween(Window.unboundedPreceding, -1)
     known = F.lit(None).cast("long") if reverse else cents(F.col("known_before"))
-    rows = txns.withColumns({"level": cents(F.col("balance")), "known": known})
     rows = rows.withColumns(
         {
             "closed": F.count("level").over(before),
-            "restarts": F.count("known").over(walk.rowsBetween(Window.unboundedPreceding, 0)),
+            "restarts": F.count(known).over(walk.rowsBetween(Window.unboundedPreceding, 0)),
             "previous": F.last("level", ignorenulls=True).over(before),
+            "known": known,
         }
     )
-    place = -F.col("txn_seq") if reverse else F.col("txn_seq")
-    item = F.struct(place.alias("at"), "txn_seq", cents(F.col("amount")).alias("cents"), (F.col("direction") == "credit").alias("credit"))
-    grouped = rows.groupBy(*keys, "closed", "restarts").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
-        F.count("*").alias("k"),
-        (F.max("level") - F.coalesce(F.max("known"), F.max("previous"))).alias("delta"),
+    group = Window.partitionBy(*keys, "closed", "restarts")
+    rows = rows.withColumns(
+        {"k": F.count("*").over(group), "delta": F.max("level").over(group) - F.coalesce(F.max("known").over(group), F.max("previous").over(group))}
     )
-    return grouped.filter("delta IS NOT NULL")
+    one = F.when((F.col("k") == 1) & (F.col("delta") == F.col("cents")), True).when((F.col("k") == 1) & (F.col("delta") == -F.col("cents")), False)
+    way = F.struct("closed", "restarts", "k", "delta", one.alias("credit"))
+    return rows.withColumn("back" if reverse else "forth", way).drop("closed", "restarts", "previous", "known", "k", "delta")
 
 
-def _solved(txns: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
-    """(keys, txn_seq, solved_direction) of every transaction of the groups; null if not solved."""
-    grouped = _groups(txns, keys, reverse)
-    one = grouped.filter("k = 1").withColumn(
-        "signs",
-        F.when(F.col("delta") == F.col("items")[0].cents, F.array(F.lit(True)))
-        .when(F.col("delta") == -F.col("items")[0].cents, F.array(F.lit(False))),
-    )
-    some = grouped.filter(F.col("k").between(2, MOST)).withColumn("signs", _solve("items.cents", "items.credit", "delta"))
-    many = grouped.filter(F.col("k") > MOST).withColumn("signs", F.lit(None).cast(_SOLVED))
-    zipped = F.transform("items", lambda x, i: F.struct(x.txn_seq.alias("txn_seq"), F.get("signs", i).alias("sign")))
-    flat = one.unionByName(some).unionByName(many).select(*keys, F.explode(zipped).alias("x"))
-    direction = F.when(F.col("x.sign").isNotNull(), F.when(F.col("x.sign"), "credit").otherwise("debit"))
-    return flat.select(*keys, "x.txn_seq", direction.alias("solved_direction"))
+def _hard(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, txn_seq, forth_credit, back_credit) of the rows in groups of two to ``MOST``."""
+    ways = F.array(*[F.struct(F.lit(w).alias("way"), F.col(w).alias("g")) for w in ("forth", "back")])
+    rows = rows.select(*keys, "txn_seq", "cents", "guess", F.explode(ways).alias("w")).select(*keys, "txn_seq", "cents", "guess", "w.way", "w.g.*")
+    rows = rows.filter(F.col("k").between(2, MOST) & F.col("delta").isNotNull())
+    place = F.when(F.col("way") == "back", -F.col("txn_seq")).otherwise(F.col("txn_seq"))
+    items = F.array_sort(F.collect_list(F.struct(place.alias("at"), "txn_seq", "cents", "guess"))).alias("items")
+    solved = rows.groupBy(*keys, "way", "closed", "restarts", "delta").agg(items).withColumn("signs", _solve("items.cents", "items.guess", "delta"))
+    flat = solved.filter("signs IS NOT NULL").select(*keys, "way", F.explode(F.arrays_zip("items.txn_seq", "signs").cast("array<struct<txn_seq: bigint, sign: boolean>>")).alias("x"))
+    sign = [F.max(F.when(F.col("way") == w, F.col("x.sign"))).alias(f"{w}_credit") for w in ("forth", "back")]
+    return flat.groupBy(*keys, F.col("x.txn_seq").alias("txn_seq")).agg(*sign)
 
 
 def fix_directions(txns: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_no")) -> DataFrame:
@@ -93,14 +107,15 @@ def fix_directions(txns: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_no
     """
     by = list(keys)
     rows = txns if "known_before" in txns.columns else txns.withColumn("known_before", F.lit(None).cast("double"))
-    tried = {way: _solved(rows, by, way) for way in (False, True)}
-    both = tried[False].withColumn("reverse", F.lit(False)).unionByName(tried[True].withColumn("reverse", F.lit(True)))
-    counts = both.groupBy(*by).agg(
-        *[F.count(F.when(F.col("reverse") == way, F.col(c))).alias(f"{n}_{int(way)}") for way in (False, True) for n, c in (("solved", "solved_direction"), ("checked", "txn_seq"))]
-    )
-    use = F.col("solved_1") > F.col("solved_0")
-    solved, checked = (F.when(use, F.col(f"{n}_1")).otherwise(F.col(f"{n}_0")) for n in ("solved", "checked"))
-    trusted = counts.filter((solved >= 2) & (solved * 10 >= checked * 6)).select(*by, use.alias("reverse"))
-    chosen = both.join(trusted, [*by, "reverse"]).filter("solved_direction IS NOT NULL").select(*by, "txn_seq", "solved_direction")
-    out = txns.join(chosen, [*by, "txn_seq"], "left")
-    return out.withColumn("direction", F.coalesce("solved_direction", "direction")).select(*txns.columns)
+    rows = rows.withColumns({"level": cents(F.col("balance")), "cents": cents(F.col("amount")), "guess": F.col("direction") == "credit"})
+    rows = _grouped(_grouped(rows, by, False), by, True)
+    hard = _hard(rows, by)
+    rows = rows.join(hard, [*by, "txn_seq"], "left")
+    block = Window.partitionBy(*by)
+    rows = rows.withColumns({w: F.struct(f"{w}.delta", F.coalesce(f"{w}.credit", f"{w}_credit").alias("credit")) for w in ("forth", "back")})
+    counts = {f"{w}_{n}": F.count(f"{w}.{c}").over(block) for w in ("forth", "back") for n, c in (("solved", "credit"), ("checked", "delta"))}
+    rows = rows.withColumns(counts)
+    use = F.col("back_solved") > F.col("forth_solved")
+    solved, checked, credit = (F.when(use, F.col(f"back{x}")).otherwise(F.col(f"forth{x}")) for x in ("_solved", "_checked", ".credit"))
+    proven = F.when((solved >= 2) & (solved * 10 >= checked * 6), F.when(credit, "credit").when(~credit, "debit"))
+    return rows.withColumn("direction", F.coalesce(proven, "direction")).select(*txns.columns)

@@ -121,10 +121,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as lines of statements, with a price line each."""
+def priced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as texts of statements, with a price line each."""
     d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    symbols = F.array(*map(F.lit, ("£", "€", "$", "usd", "₦", "zar", "")))
-    price = F.concat(F.lit("price "), F.get(symbols, (F.col("doc_id") % 7).cast("int")), F.lit(" 12.50"))
-    text = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.concat(F.array(price), F.split("text", "\n"))).alias("line_no", "line"))
-    return text.select("doc_id", F.lit(0).alias("block_no"), "line_no", "line")
+    symbols = F.array(*map(F.lit, ("£", "€", "$", "usd", "₦", "zar", "", "sort code")))
+    price = F.concat(F.lit("price "), F.get(symbols, (F.col("doc_id") % 8).cast("int")), F.lit(" 12.50"))
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).cast("long").alias("at"), F.concat_ws("\n", price, "text").alias("text"))

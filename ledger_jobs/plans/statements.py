@@ -1,43 +1,116 @@
-"""W1: directories of statement files to transactions, currencies and results."""
+"""W1 and W2: directories of statement files to transactions, and searches to result documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_jobs.operators import currency, lines, stats, tables
+from ledger_jobs.functions.formats import human_size
+from ledger_jobs.functions.money import fmt_money
+from ledger_jobs.operators import currency, lines, match, stats, tables
 from ledger_jobs.sources import files, records
+from ledger_jobs.sources.shared import kept
+
+SIDES = ("debit", "credit")
+NO_TRANSACTIONS = "No transactions could be parsed from this file."
+
+
+class Statements(NamedTuple):
+    """Tables of one corpus: ``files`` (one row per statement: doc_id, kind, size_bytes, parts,
+    warnings), transactions, and one row of currency per statement."""
+
+    files: DataFrame
+    txns: DataFrame
+    currencies: DataFrame
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, warnings) of all files and archive members below a path.
+    """(members, texts) of all files and archive members below a path, each written once."""
+    members = kept(files.expand(files.load(spark, path)))
+    return members.drop("content"), kept(files.kinds(files.decode(members)))
+
+
+def transactions(cells: DataFrame, blocks: DataFrame, as_of_year: int) -> DataFrame:
+    """Transactions of tables and of blocks of text, in the order of their statement."""
+    return tables.sequenced(tables.transactions(cells).unionByName(lines.transactions(blocks, as_of_year)))
+
+
+def parse(members: DataFrame, texts: DataFrame, as_of_year: int) -> Statements:
+    """Everything that is known of a corpus before anybody searches it."""
+    cells, blocks = records.table_cells(texts)
+    cells = kept(cells)
+    rows = cells.filter("cells IS NOT NULL")
+    txns = kept(transactions(rows, blocks, as_of_year))
+    looked_at = rows.select("doc_id", "at", F.array_join("cells", " ").alias("text")).unionByName(blocks.select("doc_id", F.col("offset").alias("at"), "text"))
+    return Statements(_files(members, texts, cells, blocks, txns), txns, currency.detect(looked_at))
+
+
+def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataFrame, txns: DataFrame) -> DataFrame:
+    """One row per statement, with the names of its parts and its warnings in their order."""
+    named = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "part"))), lambda x: x.part), lambda p: p.isNotNull())
+    docs = members.groupBy("doc_id").agg(F.max("size_bytes").alias("size_bytes"), F.array_distinct(named).alias("parts"))
+    kinds = texts.groupBy("doc_id").agg(F.min_by("kind", "block_no").alias("kind"))
+    place = lambda rank, warning: (F.lit(rank).alias("rank"), F.col("block_no"), warning.alias("warning"))
+    binary = F.concat(F.lit("Unsupported binary file type for '"), "source", F.lit("'."))
+    found = members.filter("warning IS NOT NULL").select("doc_id", *place(0, F.col("warning")))
+    found = found.unionByName(texts.filter("kind = 'binary'").select("doc_id", *place(0, binary)))
+    found = found.unionByName(cells.filter("warning IS NOT NULL").select("doc_id", *place(0, F.col("warning"))))
+    empty = docs.join(txns.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("rank"), F.lit(0).alias("block_no"), F.lit(NO_TRANSACTIONS).alias("warning"))
+    several = lines.accounts(blocks).select("doc_id", F.lit(2).alias("rank"), F.lit(0).alias("block_no"), "warning")
+    every = found.unionByName(empty).unionByName(several)
+    warnings = every.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block_no", "warning"))), lambda w: w.warning).alias("warnings"))
+    kind = F.when(F.size("parts") > 0, "archive").otherwise(F.coalesce("kind", F.lit("unknown")))
+    return docs.join(kinds, "doc_id", "left").join(warnings, "doc_id", "left").select(
+        "doc_id", kind.alias("kind"), "size_bytes", "parts", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")
+    )
+
+
+def results(found: Statements) -> DataFrame:
+    """One row per statement: currency, both sides, net as text, warnings; zeros without transactions."""
+    summary = stats.with_empty(stats.summarise(found.txns, "doc_id"), found.files, "doc_id")
+    return stats.formatted(summary.join(found.currencies, "doc_id", "left"), F.coalesce("symbol", F.lit("")))
+
 
-    ``texts`` are used several times; write them once and read them back for a large corpus."""
-    members = files.expand(files.load(spark, path))
-    texts = files.kinds(files.decode(members))
-    bad = texts.filter("kind = 'binary'").select("doc_id", F.concat(F.lit("Unsupported binary file type for '"), "doc_id", F.lit("'.")).alias("warning"))
-    return texts, members.filter("warning IS NOT NULL").select("doc_id", "warning").unionByName(bad)
+def search_results(found: Statements, searches: DataFrame) -> DataFrame:
+    """The nested result document of every statement and every (interpreted) search: file, currency,
+    what the search was understood as, summary, both sides, the first matches, warnings."""
+    q = kept(searches)
+    docs = found.files.join(found.currencies, "doc_id", "left")
+    matched = match.matches(found.txns, q)
+    summary = stats.summarise(matched, *match.KEYS)
+    item = F.struct("rank", "date", "time", "description", "amount", "direction", "source")
+    listed = match.matched_list(matched).groupBy(*match.KEYS).agg(F.sort_array(F.collect_list(item)).alias("list"))
+    told = match.notices(found.txns, q, docs.select("doc_id", "symbol"))
+    scanned = found.txns.groupBy("doc_id").agg(F.count("*").alias("scanned"))
+    pairs = match.every_pair(docs.withColumnRenamed("warnings", "file_warnings"), q.select("query_id", "text", "keyword", "direction", "date_from", "date_to", "human", "smart"))
+    every = stats.with_empty(summary, pairs, *match.KEYS).drop("warnings")
+    every = every.join(listed, match.KEYS, "left").join(told, match.KEYS, "left").join(scanned, "doc_id", "left")
+    return nested(stats.formatted(every, F.coalesce("symbol", F.lit(""))))
 
 
-def transactions(texts: DataFrame) -> DataFrame:
-    """Transactions of tables and of text, one set of columns."""
-    cells, rest = records.table_cells(texts)
-    return tables.transactions(cells).unionByName(lines.transactions(rest))
+def nested(rows: DataFrame) -> DataFrame:
+    """Flat results as documents."""
+    symbol = F.coalesce("symbol", F.lit(""))
 
+    def side(s: str) -> Column:
+        keys = ("total", "count", "average", "min", "max", "first", "last", "duration")
+        return F.struct(*[F.col(f"{s}_{k}").alias(k) for k in keys], fmt_money(symbol, F.col(f"{s}_total")).alias("total_text")).alias(s)
 
-def results(texts: DataFrame, txns: DataFrame) -> DataFrame:
-    """One row per statement: currency, both sides, net as text, warnings; statements without
-    transactions have zeros and a warning."""
-    cells, rest = records.table_cells(texts)
-    looked_at = records.line_text(cells).unionByName(rest.select("doc_id", "block_no", "line_no", "line"))
-    docs = texts.select("doc_id", "kind", F.octet_length("text").alias("size_bytes"))
-    summary = stats.with_empty(stats.summarise(txns, "doc_id"), docs, "doc_id")
-    return stats.formatted(summary.join(currency.detect(looked_at), "doc_id", "left"), F.coalesce("symbol", F.lit("")))
+    items = F.coalesce(F.transform("list", lambda x: x.dropFields("rank")), F.array().cast("array<struct<date: date, time: string, description: string, amount: double, direction: string, source: string>>"))
+    return rows.select(
+        "doc_id", "query_id", F.col("text").alias("query"),
+        F.struct("keyword", "direction", "date_from", "date_to", "human", "smart").alias("interpreted"),
+        F.struct(F.element_at(F.split("doc_id", "/"), -1).alias("name"), "kind", "size_bytes", human_size(F.col("size_bytes")).alias("size"), "parts").alias("file"),
+        F.struct("symbol", "code", "name", "confidence", "detected_by").alias("currency"),
+        F.struct(F.coalesce("scanned", F.lit(0)).alias("scanned"), "matched", "net", "net_text", "first_date", "last_date", "duration").alias("summary"),
+        *[side(s) for s in SIDES],
+        items.alias("matched"), (F.col("matched") > match.MOST_MATCHES).alias("truncated"),
+        F.concat("file_warnings", F.coalesce("notices", F.array().cast("array<string>"))).alias("warnings"),
+    )
 
 
-def write(results_: DataFrame, path: str) -> None:
-    """Nested result documents as JSON lines, one per statement."""
-    sides = [F.struct(*[F.col(f"{s}_{k}").alias(k) for k in ("total", "count", "average", "min", "max", "first", "last", "duration")]).alias(s) for s in ("debit", "credit")]
-    currency_ = F.struct("symbol", "code", "name", "confidence", "detected_by").alias("currency")
-    summary = F.struct("matched", "net", "net_text", "first_date", "last_date", "duration").alias("summary")
-    results_.select("doc_id", F.struct("kind", "size_bytes").alias("file"), currency_, summary, *sides, "warnings").write.mode("overwrite").json(path)
+def write(documents: DataFrame, path: str) -> None:
+    """Result documents as JSON lines."""
+    documents.write.mode("overwrite").json(path)

@@ -1,4 +1,9 @@
-"""Records in statement files as rows of cells: delimited, QIF, OFX, key and value."""
+"""Records in statement files as rows of cells: delimited, QIF, OFX, key and value.
+
+Texts come as ``doc_id, block_no, source, offset, text, kind``, one row per block.  Cells are
+``doc_id, block_no, source, line_no, at, cells, warning``: ``at`` is how many bytes of the statement
+stand before a row; rows with a warning have no cells.
+"""
 
 from __future__ import annotations
 
@@ -14,54 +19,92 @@ from ledger_jobs.functions.text import trim
 from ledger_jobs.sources.files import sniff_delimiter
 
 HEADER = ("Date", "Description", "Amount", "Balance")
-CELLS = pa.schema([("doc_id", pa.string()), ("line_no", pa.int32()), ("cells", pa.list_(pa.string()))])
+BLOCK = ["doc_id", "block_no", "source"]
+CELLS = pa.schema(
+    [("doc_id", pa.string()), ("block_no", pa.int32()), ("source", pa.string()), ("line_no", pa.int32()), ("at", pa.int64()),
+     ("cells", pa.list_(pa.string())), ("warning", pa.string())]
+)
+CELLS_DDL = "doc_id string, block_no int, source string, line_no int, at bigint, cells array<string>, warning string"
+#: Rows of cells that go out at once.
+ROWS = 5000
+LEAST_AMOUNTS = 3
+FIELD = r"(?i)^\s*(date|description|amount|balance):"
+
+
+def _readable(rows) -> Iterator[list[str] | None]:
+    """The rows of a reader; None for each that it cannot read."""
+    while True:
+        try:
+            row = next(rows)
+        except StopIteration:
+            return
+        except csv.Error:
+            row = None
+        if row != []:
+            yield row
 
 
 def _delimited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(1 << 30)
     for batch in batches:
-        for name, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "delimiter")), strict=True):
-            rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=mark) if r]
-            for start in range(0, len(rows), 5000):
-                part = rows[start : start + 5000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part)), pa.array(range(start, start + len(part)), pa.int32()), pa.array(part, pa.list_(pa.string()))], schema=CELLS
-                )
+        for doc, block, source, offset, text, mark in zip(*(batch.column(c).to_pylist() for c in (*BLOCK, "offset", "text", "delimiter")), strict=True):
+            every = list(_readable(csv.reader(io.StringIO(text, newline=""), delimiter=mark)))
+            rows = [r for r in every if r is not None]
+            warnings = [None] * len(rows)
+            if bad := len(every) - len(rows):
+                rows.append(None)
+                warnings.append(f"{bad} unreadable CSV row(s) were skipped.")
+            at = [offset]
+            for r in rows:
+                at.append(at[-1] + sum(len(c.encode()) + 1 for c in r or ()))
+            for start in range(0, len(rows), ROWS):
+                part, n = slice(start, start + ROWS), len(rows[start : start + ROWS])
+                columns = ([doc] * n, [block] * n, [source] * n, range(start, start + n), at[:-1][part], rows[part], warnings[part])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CELLS, strict=True)], schema=CELLS)
 
 
 def delimited(texts: DataFrame) -> DataFrame:
-    """Ragged records of delimited files (quotes may span lines, each file has its delimiter)."""
+    """Ragged records of delimited files (quotes may span lines, each file has its delimiter).  Rows
+    that cannot be read are counted in a warning."""
     mark = F.when(F.col("kind") == "tsv", "\t").otherwise(sniff_delimiter(F.col("text")))
-    return _as_cells(texts.select("doc_id", "text", mark.alias("delimiter")).mapInArrow(_delimited, "doc_id string, line_no int, cells array<string>"))
+    return texts.select(*BLOCK, "offset", "text", mark.alias("delimiter")).mapInArrow(_delimited, CELLS_DDL)
 
 
-def _as_cells(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), "line_no", "cells")
+def plain_text(text: Column) -> Column:
+    """Text with blanks for no-break spaces and one kind of line end, none at the end."""
+    return F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\xa0"), F.lit(" ")), "\r\n", "\n"), "\n$", "")
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
-    """Lines of text files, with blanks for no-break spaces."""
-    return texts.select(
-        "doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"),
-        F.posexplode(F.split(F.regexp_replace(F.regexp_replace("text", "\xa0", " "), "\r?\n$", ""), "\r?\n")).alias("line_no", "line"),
-    )
+    """Lines of texts, numbered from 0."""
+    return texts.select(*BLOCK, "offset", F.posexplode(F.split(plain_text(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def _with_header(records: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n, cells) with a header row first."""
-    names = records.select("doc_id").distinct().select("doc_id", F.array(*map(F.lit, HEADER)).alias("cells")) if header is None else header
-    rows = records.select("doc_id", "n", "cells").unionByName(names.select("doc_id", F.lit(-1).cast("long").alias("n"), "cells"))
-    return _as_cells(rows.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1))
+    """Records (doc_id, block_no, source, offset, n, cells) with a header row first."""
+    if header is None:
+        header = records.select(*BLOCK, "offset").distinct().withColumn("cells", F.array(*map(F.lit, HEADER)))
+    rows = records.select(*BLOCK, "offset", "n", "cells").unionByName(header.select(*BLOCK, "offset", F.lit(-1).cast("long").alias("n"), "cells"))
+    walk = Window.partitionBy(*BLOCK).orderBy("n")
+    size = F.octet_length(F.array_join("cells", " ")) + 1
+    at = F.col("offset") + F.coalesce(F.sum(size).over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select(*BLOCK, (F.row_number().over(walk) - 1).alias("line_no"), at.cast("long").alias("at"), "cells", F.lit(None).cast("string").alias("warning"))
+
+
+def _last(value: Column, when: Column) -> Column:
+    """The last value of a record's lines of one kind, empty without any."""
+    return F.coalesce(F.max_by(F.when(when, value), F.when(when, F.col("line_no"))), F.lit(""))
 
 
 def qif(texts: DataFrame) -> DataFrame:
     """QIF records: up to each ``^``; the last of equal tags counts, records without amount go."""
     lines = text_lines(texts).withColumn("line", trim(F.col("line"))).filter("line <> ''")
     lines = lines.withColumns({"tag": F.substring("line", 1, 1), "value": trim(F.expr("substring(line, 2)"))})
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*BLOCK).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("n", F.coalesce(F.count_if(F.col("tag") == "^").over(before), F.lit(0)))
-    last = lambda *tags: F.coalesce(F.max_by(F.when(F.col("tag").isin(*tags), F.col("value")), F.when(F.col("tag").isin(*tags), F.col("line_no"))), F.lit(""))
-    found = lines.groupBy("doc_id", "n").agg(
-        last("D").alias("date"), last("T", "U").alias("amount"), last("P").alias("payee"), last("M").alias("memo"), F.bool_or(F.col("tag") == "^").alias("ended")
+    tags = {"date": ("D",), "amount": ("T", "U"), "payee": ("P",), "memo": ("M",)}
+    found = lines.groupBy(*BLOCK, "offset", "n").agg(
+        *[_last(F.col("value"), F.col("tag").isin(*t)).alias(name) for name, t in tags.items()], F.bool_or(F.col("tag") == "^").alias("ended")
     )
     day = F.replace(F.replace("date", F.lit("'"), F.lit("/")), F.lit(" "))
     cells = F.array(day, trim(F.concat_ws(" ", "payee", "memo")), F.col("amount"), F.lit(""))
@@ -70,42 +113,37 @@ def qif(texts: DataFrame) -> DataFrame:
 
 def ofx(texts: DataFrame) -> DataFrame:
     """OFX and QFX: a record per STMTTRN, tags up to the next one or the end of the line."""
-    parts = texts.select("doc_id", F.posexplode(F.split("text", "(?i)<STMTTRN>")).alias("n", "part")).withColumn("n", F.col("n").cast("long"))
+    parts = texts.select(*BLOCK, "offset", F.posexplode(F.split("text", "(?i)<STMTTRN>")).alias("n", "part")).withColumn("n", F.col("n").cast("long"))
     tag = lambda name: F.replace(trim(F.regexp_extract("part", rf"(?i)<{name}>([^<\r\n]*)", 1)), F.lit("&amp;"), F.lit("&"))
     parts = parts.filter("n > 0").withColumns({"day": F.substring(tag("DTPOSTED"), 1, 8), "amount": tag("TRNAMT")})
     text = F.array_join(F.filter(F.array(tag("NAME"), tag("MEMO")), lambda x: x != ""), " ")
     records = parts.filter("amount <> ''").withColumn("cells", F.array("day", text, "amount", F.lit("")))
     code = F.regexp_extract("text", "(?i)<CURDEF>([A-Za-z]*)", 1)
     amount = F.when(code != "", F.concat(F.lit("Amount ("), code, F.lit(")"))).otherwise("Amount")
-    return _with_header(records, texts.select("doc_id", F.array(F.lit("Date"), F.lit("Description"), amount, F.lit("Balance")).alias("cells")))
+    return _with_header(records, texts.select(*BLOCK, "offset", F.array(F.lit("Date"), F.lit("Description"), amount, F.lit("Balance")).alias("cells")))
 
 
-def key_values(lines: DataFrame) -> DataFrame:
-    """Blocks of ``Date: / Description: / Amount: / Balance:`` lines in statements that have three
-    amounts at least; a date starts a record, records without amount go."""
-    field = F.regexp_extract("line", r"(?i)^\s*(date|description|amount|balance):", 1)
-    rows = lines.withColumns({"field": F.lower(field), "value": trim(F.regexp_replace("line", r"(?i)^\s*(date|description|amount|balance):", ""))}).filter("field <> ''")
-    many = rows.groupBy("doc_id").agg(F.count_if(F.col("field") == "amount").alias("k")).filter("k >= 3").select("doc_id")
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(many, "doc_id").withColumn("n", F.count_if(F.col("field") == "date").over(upto))
-    last = lambda f: F.coalesce(F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("line_no"))), F.lit("")).alias(f)
-    found = rows.groupBy("doc_id", "n").agg(*[last(f) for f in ("date", "description", "amount", "balance")])
-    return _with_header(found.filter("amount <> ''").withColumn("cells", F.array("date", "description", "amount", "balance")))
+def has_key_values(text: Column) -> Column:
+    """Whether a text has enough amount fields to be read as blocks of fields."""
+    return F.regexp_count(text, F.lit(r"(?im)^\s*amount:")) >= LEAST_AMOUNTS
 
 
-def table_cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of everything that is a table, and lines of the rest, of routed texts."""
-    of = lambda *kinds: texts.filter(F.col("kind").isin(*kinds))
-    lines = text_lines(of("text"))
-    pairs = key_values(lines)
-    cells = delimited(of("csv", "tsv")).unionByName(qif(of("qif"))).unionByName(ofx(of("ofx"))).unionByName(pairs)
-    return cells, lines.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "block_no", "source", "line_no", "line")
+def key_values(texts: DataFrame) -> DataFrame:
+    """Blocks of ``Date: / Description: / Amount: / Balance:`` lines; a date starts a record,
+    records without amount go."""
+    rows = text_lines(texts)
+    rows = rows.withColumns({"field": F.lower(F.regexp_extract("line", FIELD, 1)), "value": trim(F.regexp_replace("line", FIELD, ""))}).filter("field <> ''")
+    upto = Window.partitionBy(*BLOCK).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.count_if(F.col("field") == "date").over(upto))
+    fields = [f.lower() for f in HEADER]
+    found = rows.groupBy(*BLOCK, "offset", "n").agg(*[_last(F.col("value"), F.col("field") == f).alias(f) for f in fields])
+    return _with_header(found.filter("amount <> ''").withColumn("cells", F.array(*fields)))
 
 
-def line_text(cells: DataFrame) -> DataFrame:
-    """Rows of cells as lines, for looking at their text."""
-    return cells.select("doc_id", "block_no", "line_no", F.array_join("cells", " ").alias("line"))
-
-
-def raw_text(column: Column) -> Column:
-    return F.array_join(column, " ")
+def table_cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of everything that is a table, and the blocks of text of the rest, of routed texts."""
+    of = lambda *kinds: texts.filter(F.col("kind").isin(*kinds))
+    text = of("text").withColumn("text", plain_text(F.col("text")))
+    pairs = has_key_values(F.col("text"))
+    cells = delimited(of("csv", "tsv")).unionByName(qif(of("qif"))).unionByName(ofx(of("ofx"))).unionByName(key_values(text.filter(pairs)))
+    return cells, text.filter(~pairs).select(*BLOCK, "offset", "text")

@@ -20,6 +20,16 @@ def cleaned_visits(stream: DataFrame, places: DataFrame, salt: str) -> DataFrame
     return traffic.clean_visits(traffic.enrich_places(stream, places, F.col("country_header"), F.col("ip")), salt)
 
 
+def cleaned_analyses(stream: DataFrame, places: DataFrame, salt: str) -> DataFrame:
+    """Analyses joined to a static table of places, cleaned, without addresses."""
+    return traffic.clean_analyses(traffic.enrich_places(stream, places, F.col("country_header"), F.col("ip")), salt)
+
+
+def cleaned_feedback(stream: DataFrame) -> DataFrame:
+    """Feedback within its limits, without rows that say nothing."""
+    return traffic.clean_feedback(stream)
+
+
 def daily_counts(stream: DataFrame, ts: str = "event_time", late: str = "1 day") -> DataFrame:
     """Rows and about how many visitors per UTC day, final once the watermark has passed."""
     day = F.window(ts, "1 day")
@@ -38,16 +48,16 @@ class FixedWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (None, 0)
-        for batch in rows:
-            batch = batch.sort_values(["ts", "id"])
-            out = []
-            for ts, id_ in zip(batch["ts"].tolist(), batch["id"].tolist(), strict=True):
-                if start is None or ts - start >= self.window:
-                    start, n = ts, 0
-                n += 1
-                out.append((key[0], id_, ts, start, n, n <= self.most))
-            yield pd.DataFrame(out, columns=["key", "id", "ts", "window_start", "n", "allowed"])
+        # a trigger's requests of one key, in order; one that is older than the open window counts in it
+        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
+        out = []
+        for ts, id_ in zip(batch["ts"].tolist(), batch["id"].tolist(), strict=True):
+            if start is None or ts - start >= self.window:
+                start, n = ts, 0
+            n += 1
+            out.append((key[0], id_, ts, start, n, n <= self.most))
         self.state.update((start, n))
+        yield pd.DataFrame(out, columns=["key", "id", "ts", "window_start", "n", "allowed"])
 
     def close(self) -> None:
         pass

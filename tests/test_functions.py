@@ -55,9 +55,17 @@ def test_wording(spark):
 def test_signs():
     import numpy as np
 
-    assert trail.best_signs(np.array([5, 3]), np.array([True, True]), 2).tolist() == [True, False]
-    assert trail.best_signs(np.array([5, 5]), np.array([False, True]), 0).tolist() == [False, True]
-    assert trail.best_signs(np.array([5, 3]), np.array([True, True]), 1) is None
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 3, 7):
+        amounts, credit = rng.integers(1, 30, (50, k)), rng.random((50, k)) < 0.5
+        deltas = np.where(rng.random(50) < 0.7, np.where(rng.random((50, k)) < 0.5, amounts, -amounts).sum(1), 1000)
+        signs, found = trail.best_signs(amounts, credit, deltas)
+        for a, c, d, s, ok in zip(amounts, credit, deltas, signs, found, strict=True):
+            tried = [[(m >> i) & 1 == 1 for i in range(k)] for m in range(1 << k)]
+            right = [t for t in tried if sum(x if y else -x for x, y in zip(a, t, strict=True)) == d]
+            assert ok == bool(right)
+            if right:
+                assert s.tolist() == min(right, key=lambda t: sum(x != y for x, y in zip(t, c, strict=True)))
 
 
 @pytest.mark.parametrize(

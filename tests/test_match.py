@@ -23,7 +23,7 @@ def test_dealt_by_month_equals_broadcast(spark, monkeypatch):
     def found():
         m = match.matches(txns, q)
         listed = sorted((r.query_id, r.txn_seq) for r in m.collect())
-        return listed, sorted((r.query_id, tuple(r.notices)) for r in match.notices(txns, q, m).collect())
+        return listed, sorted((r.query_id, tuple(r.notices)) for r in match.notices(txns, q).collect())
 
     want = found()
     monkeypatch.setattr(match, "BROADCAST_ROWS", 0)
