@@ -15,7 +15,7 @@ from ledger_jobs.functions.money import fmt_money, round2
 
 
 def exact_sum(x: Column) -> Column:
-    return F.sum(x.cast("decimal(20,4)")).cast("double")
+    return F.sum(x.cast("decimal(20,4)"))
 
 
 def side_aggregates(side: str) -> list[Column]:
@@ -24,7 +24,7 @@ def side_aggregates(side: str) -> list[Column]:
     mine = F.col("direction") == side
     amount, date = F.when(mine, F.col("amount")), F.when(mine, F.col("date"))
     return [
-        F.coalesce(exact_sum(amount), F.lit(0.0)).alias(f"{side}_total"),
+        exact_sum(amount).alias(f"{side}_exact"),
         F.count(amount).alias(f"{side}_count"),
         F.coalesce(F.min(amount), F.lit(0.0)).alias(f"{side}_min"),
         F.coalesce(F.max(amount), F.lit(0.0)).alias(f"{side}_max"),
@@ -40,16 +40,18 @@ def summarise(txns: DataFrame, *keys: str) -> DataFrame:
     grouped = txns.groupBy(*keys).agg(*side_aggregates("debit"), *side_aggregates("credit"), *both)
     out = grouped
     for side in ("debit", "credit"):
-        count, total = F.col(f"{side}_count"), F.col(f"{side}_total")
+        count, exact = F.col(f"{side}_count"), F.col(f"{side}_exact")
         out = out.withColumns(
             {
-                f"{side}_average": F.when(count > 0, round2(total / count)).otherwise(0.0),
+                f"{side}_total": F.coalesce(exact.cast("double"), F.lit(0.0)),
+                f"{side}_average": F.when(count > 0, round2(exact / count).cast("double")).otherwise(0.0),
                 f"{side}_duration": duration_between(F.col(f"{side}_first"), F.col(f"{side}_last")),
             }
         )
     rounded = {f"{s}_{k}": round2(F.col(f"{s}_{k}")) for s in ("debit", "credit") for k in ("total", "min", "max")}
     net = round2(F.col("credit_total") - F.col("debit_total"))
-    return out.withColumns({"net": net} | rounded | {"duration": duration_between(F.col("first_date"), F.col("last_date"))})
+    out = out.withColumns({"net": net} | rounded | {"duration": duration_between(F.col("first_date"), F.col("last_date"))})
+    return out.drop("debit_exact", "credit_exact")
 
 
 def formatted(summary: DataFrame, symbol: Column) -> DataFrame:

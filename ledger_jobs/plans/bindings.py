@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -108,7 +108,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).filter("event_type = 'purchase'").select(
-        "id", "ts", "visitor", "country", (F.col("value") * 100).cast("long").alias("size_bytes"),
+        "id", "ts", "visitor", "country", F.round(F.col("value") * 100).cast("long").alias("size_bytes"),
         F.col("k").alias("scanned"), F.floor(F.col("k") / 2).cast("int").alias("matched"),
     )
 
@@ -127,3 +127,121 @@ def priced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = F.array(*map(F.lit, ("£", "€", "$", "usd", "₦", "zar", "", "sort code")))
     price = F.concat(F.lit("price "), F.get(symbols, (F.col("doc_id") % 8).cast("int")), F.lit(" 12.50"))
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).cast("long").alias("at"), F.concat_ws("\n", price, "text").alias("text"))
+
+
+def _statement(rows: DataFrame, head: Column, line: Column, order: str = "txn_seq") -> DataFrame:
+    """(doc_id, text): a head and the lines of each statement, in order."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), line.alias("line"))))
+    grouped = rows.groupBy("doc_id").agg(F.first(head).alias("head"), lines.alias("lines"))
+    return grouped.select("doc_id", F.concat_ws("\n", F.nullif("head", F.lit("")), F.transform("lines", lambda x: x.line)).alias("text"))
+
+
+def as_texts(statements: DataFrame, kind: Column) -> DataFrame:
+    """Rendered statements as texts of one block, as decoded files are."""
+    return statements.select(
+        "doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), F.octet_length("text").cast("long").alias("size_bytes"),
+        F.lit(0).cast("long").alias("offset"), "text", kind.alias("kind"),
+    )
+
+
+def _plain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dated_txns`` with descriptions without figures and amounts as text."""
+    t = dated_txns(spark, sf_dir)
+    shown = F.format_string("%.2f", F.col("amount"))
+    return t.withColumns(
+        {"description": F.substring("description", 3, 100), "shown": shown, "signed": F.when(F.col("direction") == "debit", F.concat(F.lit("-"), shown)).otherwise(shown)}
+    )
+
+
+#: The same in DuckDB: what every rendering of it must be read back as.
+PLAIN_SQL = f"""
+    {DATED_SQL}, plain AS (SELECT doc_id, txn_seq, date, substr(description, 3) AS description, amount, direction FROM dated)
+"""
+
+
+def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as delimited statements in four layouts, by customer: two-sided, signed with a
+    balance column before, without header, and with a type column; commas, semicolons, bars, tabs."""
+    t = _plain_orders(spark, sf_dir)
+    how = F.col("doc_id").cast("long") % 4
+    debit = F.col("direction") == "debit"
+    out, into = F.when(debit, F.col("shown")).otherwise(""), F.when(debit, "").otherwise(F.col("shown"))
+    pick = lambda *forms: F.when(how == 0, forms[0]).when(how == 1, forms[1]).when(how == 2, forms[2]).otherwise(forms[3])
+    head = pick("Booking Date,Details,Withdrawals,Deposits", "Balance;Memo;Value;Date posted", "", "Type\tAmount\tDate\tPayee")
+    line = pick(
+        F.concat_ws(",", F.date_format("date", "dd/MM/yyyy"), F.concat(F.lit('"'), "description", F.lit('"')), out, into),
+        F.concat_ws(";", F.lit("7.00"), "description", F.concat(F.lit("£"), "signed"), F.date_format("date", "d MMM yyyy")),
+        F.concat_ws("|", F.date_format("date", "yyyy-MM-dd"), "description", "signed"),
+        F.concat_ws("\t", F.when(debit, "DR").otherwise("CR"), "shown", F.date_format("date", "dd-MMM-yyyy"), "description"),
+    )
+    return as_texts(_statement(t, head, line), F.when(F.col("doc_id").cast("long") % 4 == 3, "tsv").otherwise("csv"))
+
+
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as QIF, OFX and, for customers with three orders, key and value statements."""
+    t = _plain_orders(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    how = F.when((F.col("doc_id").cast("long") % 3 == 2) & (F.col("n") >= 3), 2).otherwise(F.col("doc_id").cast("long") % 2)
+    day = F.date_format("date", "dd/MM/yyyy")
+    qif = F.concat(F.lit("D"), day, F.lit("\nT"), "signed", F.lit("\nP"), "description", F.lit("\n^"))
+    ofx = F.concat(F.lit("<STMTTRN><DTPOSTED>"), F.date_format("date", "yyyyMMdd"), F.lit("120000<TRNAMT>"), "signed", F.lit("<NAME>"), "description", F.lit("</STMTTRN>"))
+    pairs = F.concat(F.lit("Date:\xa0"), day, F.lit("\nDescription: "), "description", F.lit("\nAmount: "), "signed", F.lit("\n"))
+    pick = lambda a, b, c: F.when(how == 0, a).when(how == 1, b).otherwise(c)
+    texts = _statement(t, pick("!Type:Bank", "<OFX><CURDEF>USD", "Sender: x"), pick(qif, ofx, pairs))
+    kind = F.when(F.col("text").startswith("!"), "qif").when(F.col("text").startswith("<"), "ofx").otherwise("text")
+    return as_texts(texts, kind)
+
+
+def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as statements with columns, by user: days printed once (with years, or for every
+    second user without), every third text over two lines, the balance at the end of a day."""
+    day = Window.partitionBy("doc_id", "date").orderBy("txn_seq")
+    signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount")).cast("decimal(20,2)")
+    t = txns(spark, sf_dir).withColumns(
+        {"level": F.sum(signed).over(Window.partitionBy("doc_id").orderBy("txn_seq")) + 1000, "first": F.row_number().over(day) == 1, "last": F.lead("txn_seq").over(day).isNull()}
+    )
+    even = F.col("doc_id").cast("long") % 2 == 0
+    date = F.when(F.col("first"), F.when(even, F.date_format("date", "dd MMM yy")).otherwise(F.date_format("date", "d MMM"))).otherwise("")
+    shown, word = F.format_number("amount", 2), F.substring_index("description", " ", 1)
+    split = F.col("txn_seq") % 3 == 0
+    figures = F.concat(
+        F.lpad(F.when(F.col("direction") == "debit", shown).otherwise(""), 14, " "), F.lpad(F.when(F.col("direction") == "debit", "").otherwise(shown), 14, " "),
+        F.lpad(F.when(F.col("last"), F.format_number("level", 2)).otherwise(""), 14, " "),
+    )
+    row = lambda d, text: F.concat(F.rpad(d, 12, " "), F.rpad(text, 30, " "))
+    two = F.concat(row(date, word), F.lit("\n"), row(F.lit(""), F.substring_index("description", " ", -1)), figures)
+    line = F.when(split, two).otherwise(F.concat(row(date, F.col("description")), figures))
+    title = lambda out, into: F.lit(f"{'Date':<12}{'Details':<30}{out:>14}{into:>14}{'Balance':>14}\n")
+    opening = F.concat(F.rpad(F.lit("BALANCE BROUGHT FORWARD"), 70, " "), F.lpad(F.lit("1,000.00"), 14, " "))
+    head = F.concat(F.when(even, title("Paid out", "Paid in")).otherwise(F.concat(F.lit("Statement period 1 January 2024 to 31 January 2024\n"), title("Money out", "Money in"))), opening)
+    return as_texts(_statement(t, head, line), F.lit("text"))
+
+
+def wrapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` of users with five at least as wrapped rows with clock times; a second account
+    behind them is not read."""
+    t = txns(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).filter("n >= 5")
+    shown, debit = F.format_number("amount", 2), F.col("direction") == "debit"
+    stamp = F.concat(F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" "), F.date_format("ts", "dd MMM yyyy"))
+    figures = F.concat_ws(" ", F.when(debit, shown).otherwise("--"), F.when(debit, "--").otherwise(shown), F.format_number(F.col("amount") + 1, 2), F.lit("App"))
+    texts = _statement(t, F.lit("Total credit 5.00"), F.concat(stamp, F.lit("\n"), F.col("description"), F.lit("\n"), figures))
+    other = F.lit("\nTotal credit 6.00\n01 Feb 2024 10:00:00 01 Feb 2024\nother account\n1.00 -- 2.00 App")
+    return as_texts(texts.withColumn("text", F.concat("text", other)), F.lit("text"))
+
+
+def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as lines without dates: a text, an amount and a balance."""
+    line = F.concat_ws(" ", "description", F.format_string("$%.2f", F.col("amount")), F.format_string("%.2f", F.col("amount") + 1))
+    return as_texts(_statement(txns(spark, sf_dir), F.lit("what was paid"), line), F.lit("text"))
+
+
+def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as files: UTF-8 with and without mark, and Latin-1 where a text can be that."""
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    latin = F.col("text").rlike("^[\x01-\x7f\xa0-\xff]*$") & (F.col("doc_id") % 3 == 2)
+    utf8 = F.encode("text", "UTF-8")
+    content = F.when(latin, F.encode(F.when(latin, F.col("text")).otherwise(""), "ISO-8859-1")).when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8)
+    name = F.concat(F.lit("file"), F.get(F.array(*map(F.lit, (".csv", ".txt", "", ".TSV"))), (F.col("doc_id") % 4).cast("int")))
+    return d.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_no"), name.alias("source"), F.octet_length(content).cast("long").alias("size_bytes"),
+        F.lit(0).cast("long").alias("offset"), content.alias("content"),
+    )

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions import dates, formats, money, text, web
-from ledger_jobs.operators import currency, match, rate, search, stats, traffic, trail
+from ledger_jobs.operators import currency, lines, match, rate, search, stats, tables, traffic, trail
 from ledger_jobs.plans import bindings as b
+from ledger_jobs.plans import statements
+from ledger_jobs.sources import files, records
+from ledger_jobs.sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,10 +33,17 @@ _SUMMARY_SQL = ", ".join(
     f"coalesce(round(sum(amount::DECIMAL(20,4)) FILTER (direction = '{s}'), 2), 0)::DOUBLE AS {s}_total, "
     f"count(*) FILTER (direction = '{s}') AS {s}_count, coalesce(round(min(amount) FILTER (direction = '{s}'), 2), 0) AS {s}_min, "
     f"coalesce(round(max(amount) FILTER (direction = '{s}'), 2), 0) AS {s}_max, min(date) FILTER (direction = '{s}') AS {s}_first, "
-    f"max(date) FILTER (direction = '{s}') AS {s}_last"
+    f"max(date) FILTER (direction = '{s}') AS {s}_last, "
+    f"coalesce((2 * sum(round(amount * 100)::BIGINT) FILTER (direction = '{s}') + count(*) FILTER (direction = '{s}')) // (2 * nullif(count(*) FILTER (direction = '{s}'), 0)), 0)::DOUBLE / 100 AS {s}_average, "
+    f"(max(date) FILTER (direction = '{s}') - min(date) FILTER (direction = '{s}'))::BIGINT AS {s}_days"
     for s in SIDES
 )
-_SUMMARY = ["matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last")]]
+_SUMMARY_SQL += """, round(coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'credit'), 0)::DOUBLE - coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'debit'), 0)::DOUBLE, 2) AS net,
+    min(date) AS first_date, max(date) AS last_date, (max(date) - min(date))::BIGINT AS days"""
+_SUMMARY = [
+    "matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last", "average")], *[F.col(f"{s}_duration.days").alias(f"{s}_days") for s in SIDES],
+    "net", "first_date", "last_date", F.col("duration.days").alias("days"),
+]
 
 
 @register(f"WITH {b.TXNS_SQL} SELECT doc_id, count(*) AS matched, {_SUMMARY_SQL} FROM txns GROUP BY doc_id")
@@ -161,7 +171,33 @@ def balance_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trail.fix_directions(hidden).select("doc_id", "txn_seq", "direction")
 
 
-@register()
+_SPARSE_SQL = f"""
+    WITH {b.TXNS_SQL}, r AS (
+        SELECT doc_id, txn_seq, round(amount * 100)::BIGINT AS c,
+               CASE WHEN line_no % 3 <> 0 THEN sum(CASE WHEN direction = 'credit' THEN 1 ELSE -1 END * round(amount * 100)::BIGINT) OVER (PARTITION BY doc_id ORDER BY txn_seq) END AS level FROM txns
+    ), w AS (SELECT r.*, way, CASE WHEN way = 0 THEN txn_seq ELSE -txn_seq END AS pos FROM r, (VALUES (0), (1)) v(way)
+    ), g AS (
+        SELECT *, count(level) OVER p AS closed, last_value(level IGNORE NULLS) OVER p AS previous
+        FROM w WINDOW p AS (PARTITION BY doc_id, way ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), groups AS (
+        SELECT doc_id, way, closed, count(*)::INTEGER AS k, (max(level) - max(previous))::BIGINT AS delta, list(c ORDER BY pos) AS cs, list(txn_seq ORDER BY pos) AS seqs
+        FROM g GROUP BY doc_id, way, closed HAVING max(level) - max(previous) IS NOT NULL
+    ), masks AS (SELECT *, unnest(range(0, CASE WHEN k <= 16 THEN 1 << k ELSE 0 END)) AS mask FROM groups
+    ), solved AS (
+        SELECT doc_id, way, closed, k, seqs, arg_min(mask, (k - bit_count(mask)) * 65536 + mask) AS mask FROM masks
+        WHERE list_sum(list_transform(range(0, k), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN cs[i + 1] ELSE -cs[i + 1] END)) = delta GROUP BY doc_id, way, closed, k, seqs
+    ), counts AS (
+        SELECT doc_id, way, sum(k) AS checked, coalesce(any_value(n), 0) AS solved FROM groups LEFT JOIN (SELECT doc_id, way, sum(k) AS n FROM solved GROUP BY doc_id, way) s USING (doc_id, way) GROUP BY doc_id, way
+    ), chosen AS (
+        SELECT a.doc_id, CASE WHEN z.solved > a.solved THEN 1 ELSE 0 END AS way FROM counts a JOIN counts z ON a.doc_id = z.doc_id AND a.way = 0 AND z.way = 1
+        WHERE greatest(a.solved, z.solved) >= 2 AND greatest(a.solved, z.solved) * 10 >= CASE WHEN z.solved > a.solved THEN z.checked ELSE a.checked END * 6
+    ), signs AS (
+        SELECT s.doc_id, unnest(seqs) AS txn_seq, unnest(list_transform(range(0, k), lambda i: (mask >> i) & 1 = 1)) AS credit FROM solved s JOIN chosen c ON c.doc_id = s.doc_id AND c.way = s.way
+    ) SELECT r.doc_id, r.txn_seq, CASE WHEN coalesce(credit, true) THEN 'credit' ELSE 'debit' END AS direction FROM r LEFT JOIN signs s ON s.doc_id = r.doc_id AND s.txn_seq = r.txn_seq
+"""
+
+
+@register(_SPARSE_SQL)
 def sparse_balance_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRL-02: balances on some rows only, so that groups of several rows are solved by signs."""
     t = b.txns(spark, sf_dir)
@@ -179,21 +215,22 @@ def _currency_sql() -> str:
 
     sums = ", ".join(f"sum({points(d[0], d[3])})::BIGINT AS s{k}" for k, d in enumerate(currency.DEFINITIONS))
     rows = ", ".join(f"(s{k}, {k}, '{d[0]}', '{d[1]}')" for k, d in enumerate(currency.DEFINITIONS))
-    price = "'price ' || ['£', '€', '$', 'usd', '₦', 'zar', ''][(doc_id % 7 + 1)::INTEGER] || ' 12.50'"
+    price = "'price ' || ['£', '€', '$', 'usd', '₦', 'zar', '', 'sort code'][(doc_id % 8 + 1)::INTEGER] || ' 12.50'"
     return f"""
         WITH l AS (SELECT doc_id::VARCHAR AS doc_id, {price} || chr(10) || text AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-        s AS (SELECT doc_id, {sums} FROM l GROUP BY doc_id),
-        r AS (SELECT doc_id, d.p, d.k, d.code, sum(d.p) OVER (PARTITION BY doc_id) AS total,
+        s AS (SELECT doc_id, {sums}, bool_or(regexp_matches(lower(line), '(^|[^a-z0-9])sort code([^a-z0-9]|$)')) AS hint FROM l GROUP BY doc_id),
+        r AS (SELECT doc_id, d.p, d.k, d.code, hint, sum(d.p) OVER (PARTITION BY doc_id) AS total,
                      row_number() OVER (PARTITION BY doc_id ORDER BY d.p DESC, d.k) AS best
               FROM s, LATERAL (VALUES {rows}) d(p, k, symbol, code))
-        SELECT doc_id, CASE WHEN p > 0 THEN code ELSE 'UNKNOWN' END AS code, CASE WHEN p > 0 THEN round(p / total, 2) ELSE 0.0 END AS confidence FROM r WHERE best = 1
+        SELECT doc_id, CASE WHEN p > 0 THEN code WHEN hint THEN 'GBP' ELSE 'UNKNOWN' END AS code, CASE WHEN p > 0 THEN round(p / total, 2) WHEN hint THEN 0.6 ELSE 0.0 END AS confidence,
+               CASE WHEN p > 0 THEN 'symbol' WHEN hint THEN 'UK sort code' ELSE 'none' END AS detected_by FROM r WHERE best = 1
     """
 
 
 @register(_currency_sql())
 def currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CUR-01 to CUR-03 over the lines of all documents."""
-    return currency.detect(b.lines(spark, sf_dir)).select("doc_id", "code", "confidence")
+    """CUR-01 to CUR-03 over all documents."""
+    return currency.detect(b.priced_texts(spark, sf_dir)).select("doc_id", "code", "confidence", "detected_by")
 
 
 #: (query_id, text, as_of)
@@ -216,7 +253,7 @@ SEARCHES = [
 
 def searches(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(SEARCHES, "query_id int, text string, as_of string")
-    return search.interpret(rows.withColumn("as_of", F.to_date("as_of")))
+    return kept(search.interpret(rows.withColumn("as_of", F.to_date("as_of"))))
 
 
 _EXPECTED = """
@@ -241,12 +278,48 @@ _MATCH = """
 """
 
 
-@register(f"WITH {_EXPECTED} SELECT query_id, keyword, direction, date_from, date_to, amount_min, amount_max FROM q")
+_ASKED_SQL = """
+    WITH e AS (
+        SELECT event_id, event_id % 6 AS how, event_type AS kind, CASE WHEN event_type = 'purchase' THEN '' ELSE event_type END AS word, floor(value)::INTEGER AS v, ts::DATE AS day,
+               CASE WHEN event_type = 'purchase' THEN 'debit' END AS side, CASE WHEN event_type = 'purchase' THEN 'money out' ELSE '“' || event_type || '”' END AS said
+        FROM events
+    ), p AS (
+        SELECT event_id, CASE WHEN how IN (2, 4) THEN '' ELSE word END AS keyword,
+               CASE how WHEN 0 THEN 'debit' WHEN 2 THEN 'credit' WHEN 4 THEN side ELSE side END AS direction,
+               CASE how WHEN 1 THEN day - 10 WHEN 2 THEN day WHEN 5 THEN date_trunc('month', day)::DATE END AS date_from, CASE WHEN how IN (1, 2, 5) THEN day END AS date_to,
+               CASE how WHEN 0 THEN v::DOUBLE WHEN 1 THEN v::DOUBLE WHEN 3 THEN round(v::DOUBLE * 0.85::DOUBLE, 2) END AS amount_min,
+               CASE how WHEN 1 THEN v + 40.0 WHEN 3 THEN round(v::DOUBLE * 1.15::DOUBLE, 2) WHEN 5 THEN v + 7.0 END AS amount_max,
+               CASE WHEN how = 5 THEN '5-11' ELSE '' END AS hours, CASE WHEN how = 4 AND word <> '' THEN word END AS anchor, CASE WHEN how = 4 AND word <> '' THEN 24 END AS window_hours,
+               CASE how WHEN 0 THEN 'money out' || CASE WHEN word = '' THEN '' ELSE ' “' || word || '”' END || ' · over ' || format('{:,}', v)
+                        WHEN 1 THEN said || ' · ' || format('{:,}', v) || ' to ' || format('{:,}', v + 40) || ' · last 10 days'
+                        WHEN 2 THEN 'money in · ' || day(day) || strftime(day, ' %B %Y')
+                        WHEN 3 THEN said || ' · ' || format('{:,}', round(v::DOUBLE * 0.85::DOUBLE)::INTEGER) || ' to ' || format('{:,}', round(v::DOUBLE * 1.15::DOUBLE)::INTEGER)
+                        WHEN 4 THEN CASE WHEN word = '' THEN 'money out' ELSE '· within 24h after the “' || word || '” payment' END
+                        ELSE said || ' · 05:00-11:59 · under ' || format('{:,}', v + 7) || ' · ' || strftime(day, '%B %Y') END AS human
+        FROM e WHERE v >= 1
+    ) SELECT * FROM p
+"""
+
+
+@register(_ASKED_SQL)
 def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NLQ-01 to NLQ-07 on the saved searches without anchors, for statements that there are."""
-    there = b.txns(spark, sf_dir).agg(F.count("*").alias("n"))
-    rows = searches(spark).filter("anchor IS NULL").join(F.broadcast(there), F.col("n") > 0)
-    return rows.select("query_id", "keyword", "direction", "date_from", "date_to", F.round("amount_min", 2).alias("amount_min"), F.round("amount_max", 2).alias("amount_max"))
+    """NLQ-01 to NLQ-08: a search in words for every event, about its type, value and day."""
+    e = b.table(spark, sf_dir, "events").withColumns({"v": F.floor("value").cast("int"), "as_of": F.to_date("ts")}).filter("v >= 1")
+    kind, v, how = F.col("event_type"), F.col("v").cast("string"), F.col("event_id") % 6
+    said = (
+        F.when(how == 0, F.concat(F.lit("How much did I spend on "), kind, F.lit(" over "), v))
+        .when(how == 1, F.concat(kind, F.lit(" between "), v, F.lit(" and "), (F.col("v") + 40).cast("string"), F.lit(" last 10 days")))
+        .when(how == 2, F.concat(F.lit("all money in on the "), F.date_format("as_of", "d MMMM yyyy")))
+        .when(how == 3, F.concat(kind, F.lit(" around "), v))
+        .when(how == 4, F.concat(F.lit("everything within 24 hours after "), kind))
+        .otherwise(F.concat(kind, F.lit(" in the morning this month under "), (F.col("v") + 7).cast("string")))
+    )
+    rows = search.interpret(e.select(F.col("event_id").alias("query_id"), said.alias("text"), "as_of"))
+    hours = F.array_join(F.transform("hours", lambda h: F.concat(h.lo.cast("string"), F.lit("-"), h.hi.cast("string"))), ",")
+    return rows.select(
+        F.col("query_id").alias("event_id"), "keyword", "direction", "date_from", "date_to", F.round("amount_min", 2).alias("amount_min"), F.round("amount_max", 2).alias("amount_max"),
+        hours.alias("hours"), F.col("anchor.keyword").alias("anchor"), "anchor.window_hours", "human",
+    )
 
 
 @register(f"""
@@ -269,14 +342,15 @@ def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.query_id, t.doc_id, t.txn_seq FROM txns t JOIN a ON a.doc_id = t.doc_id AND a.r = 1
     WHERE t.txn_seq <> a.txn_seq AND CASE WHEN a.after THEN t.ts > a.ts AND epoch(t.ts) - epoch(a.ts) <= a.hours * 3600
                                           ELSE t.ts < a.ts AND epoch(a.ts) - epoch(t.ts) <= a.hours * 3600 END
+    UNION ALL
+    SELECT query_id, t.doc_id, t.txn_seq FROM txns t, (VALUES (9), (10)) q(query_id) WHERE NOT EXISTS (FROM a WHERE a.query_id = q.query_id AND a.doc_id = t.doc_id)
 """)
 def anchored_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-02, JOIN-03, JOIN-05: transactions in the hours after or before an anchor, in
-    statements in which the anchor is found."""
+    """JOIN-02, JOIN-03, JOIN-05: transactions in the hours after or before an anchor, and all of
+    statements in which the anchor is not found."""
     t, q = b.txns(spark, sf_dir), searches(spark).filter("anchor IS NOT NULL")
     q = q.withColumns({"keyword": F.lit(""), "direction": F.lit(None).cast("string")})
-    found = match.resolve_anchors(t, q).select(*match.KEYS)
-    return match.matches(t, q).join(found, match.KEYS).select(*match.KEYS, "txn_seq")
+    return match.matches(t, q).select(*match.KEYS, "txn_seq")
 
 
 @register(f"""
@@ -297,33 +371,193 @@ def dated_anchored_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {b.TXNS_SQL}, {_EXPECTED}, m AS (
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY txn_seq) AS rank, t.date, strftime(ts, '%H:%M') AS time,
                description, round(amount, 2) AS amount, t.direction, 'events' AS source FROM txns t JOIN q ON {_MATCH})
-    SELECT * FROM m WHERE rank <= 20
+    SELECT * FROM m WHERE rank <= 2000
 """)
 def matched_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-01: the first matches of every search and statement, in statement order."""
-    return match.matched_list(match.matches(b.txns(spark, sf_dir), searches(spark).filter("anchor IS NULL")), 20)
+    return match.matched_list(match.matches(b.txns(spark, sf_dir), searches(spark).filter("anchor IS NULL")))
 
 
-@register()
+@register(f"""
+    WITH {b.TXNS_SQL}, {_EXPECTED}, d AS (SELECT doc_id, min(date) AS lo, max(date) AS hi FROM txns GROUP BY doc_id), a AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY txn_seq) AS r
+        FROM txns, (VALUES (9, 'error', 'after', 24), (10, 'signup', 'before', 12)) q(query_id, word, side, hours) WHERE contains(lower(description), word)
+    ), n AS (
+        SELECT 1 AS query_id, doc_id, 'No search term provided, analysing ALL transactions.' AS notice FROM d
+        UNION ALL
+        SELECT q.query_id, d.doc_id, CASE WHEN a.doc_id IS NULL THEN 'Couldn''t find the anchor transaction (“' || q.word || '”). Showing results without it.'
+               ELSE 'Anchored ' || a.side || ' “' || description || '” on ' || date || strftime(ts, ' %H:%M') || ' (£' || format('{{:,.2f}}', amount) || '). Showing transactions within ' || hours || ' hours.' END
+        FROM d CROSS JOIN (VALUES (9, 'error'), (10, 'signup')) q(query_id, word) LEFT JOIN a ON a.doc_id = d.doc_id AND a.query_id = q.query_id AND a.r = 1
+        UNION ALL
+        SELECT query_id, doc_id, 'This statement covers ' || lo || ' to ' || hi || ', so nothing falls in the dates you asked for (' || date_from || ' to ' || date_to
+               || '). Try naming the months, for example "' || strftime(hi, '%B %Y') || '".' FROM d JOIN q ON date_from > hi OR date_to < lo
+    ) SELECT query_id, doc_id, notice FROM n
+""")
 def search_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-00, AGG-03, JOIN-05: notices of searches."""
-    t, q = b.txns(spark, sf_dir), searches(spark)
-    return match.notices(t, q, match.matches(t, q), F.lit("£"))
+    t = b.txns(spark, sf_dir)
+    pounds = b.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.lit("£").alias("symbol")).distinct()
+    return match.notices(t, searches(spark), pounds).select(*match.KEYS, F.explode("notices").alias("notice"))
+
+
+@register(f"SELECT * FROM (WITH {b.PLAIN_SQL} SELECT doc_id, txn_seq, date, description, amount, direction FROM plain)")
+def table_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, SRC-05, TAB-01 to TAB-06: orders rendered as delimited files in four layouts."""
+    cells, _ = records.table_cells(b.table_texts(spark, sf_dir))
+    return tables.sequenced(tables.transactions(cells)).select("doc_id", "txn_seq", "date", "description", "amount", "direction")
+
+
+@register("""
+    WITH d AS (SELECT DISTINCT o_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT k::VARCHAR AS doc_id, (k % 4 <> 2)::INTEGER AS start, CASE k % 4 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS date,
+           CASE k % 4 WHEN 3 THEN 3 ELSE 1 END AS description, CASE WHEN k % 4 = 0 THEN 2 END AS debit, CASE WHEN k % 4 = 0 THEN 3 END AS credit,
+           CASE k % 4 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS amount, CASE WHEN k % 4 = 1 THEN 0 END AS balance, CASE WHEN k % 4 = 3 THEN 0 END AS type_ind FROM d
+""")
+def column_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TAB-01 to TAB-04: where each layout has its columns, by titles or by what is in them."""
+    cells, _ = records.table_cells(b.table_texts(spark, sf_dir))
+    return tables.column_maps(tables.parse_cells(cells)).select("doc_id", "start", *tables.ROLES)
+
+
+@register(f"SELECT * FROM (WITH {b.PLAIN_SQL} SELECT doc_id, txn_seq, date, description, amount, direction FROM plain)")
+def record_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06 to SRC-09: orders rendered as QIF, OFX, and key and value texts."""
+    cells, _ = records.table_cells(b.record_texts(spark, sf_dir))
+    return tables.sequenced(tables.transactions(cells)).select("doc_id", "txn_seq", "date", "description", "amount", "direction")
+
+
+_PARSED_FIELDS = ("doc_id", "txn_seq", "date", "time_sec", "description", "amount", "direction", F.round("balance", 2).alias("balance"))
+
+
+@register(f"""
+    WITH {b.TXNS_SQL}, t AS (
+        SELECT *, 1000 + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 2)) OVER (PARTITION BY doc_id ORDER BY txn_seq) AS level,
+               lead(txn_seq) OVER (PARTITION BY doc_id, date ORDER BY txn_seq) IS NULL AS last FROM txns
+    ) SELECT doc_id, txn_seq, date, NULL::INTEGER AS time_sec, description, amount, direction, CASE WHEN last THEN level::DOUBLE END AS balance FROM t
+""")
+def column_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-04, TXT-01, TXT-04 to TXT-09, TRL-04: events rendered as statements with columns."""
+    _, blocks = records.table_cells(b.column_texts(spark, sf_dir))
+    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+
+
+@register(f"""
+    WITH {b.TXNS_SQL} SELECT doc_id, txn_seq, date, time_sec, description, amount, direction, round(amount + 1, 2) AS balance FROM txns
+    WHERE doc_id IN (SELECT doc_id FROM txns GROUP BY doc_id HAVING count(*) >= 5)
+""")
+def wrapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-02 to TXT-04: events rendered as wrapped rows, of which the first account counts."""
+    _, blocks = records.table_cells(b.wrapped_texts(spark, sf_dir))
+    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+
+
+@register(f"""
+    WITH {b.TXNS_SQL} SELECT doc_id, txn_seq, NULL::DATE AS date, NULL::INTEGER AS time_sec, description, amount,
+        CASE WHEN contains(description, 'purchase') THEN 'debit' ELSE 'credit' END AS direction, round(amount + 1, 2) AS balance FROM txns
+""")
+def line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-12, TXT-10: events rendered as lines without dates."""
+    _, blocks = records.table_cells(b.line_texts(spark, sf_dir))
+    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+
+
+@register("""
+    SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS digest, CASE doc_id % 4 WHEN 0 THEN 'csv' WHEN 3 THEN 'tsv' ELSE 'text' END AS kind
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+""")
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01 to SRC-03: documents as files in three encodings, decoded and routed."""
+    return files.kinds(files.decode(b.encoded_files(spark, sf_dir))).select("doc_id", F.sha2("text", 256).alias("digest"), "kind")
+
+
+@register(f"""
+    WITH {b.PLAIN_SQL}, s AS (SELECT doc_id, count(*) AS n, {_SUMMARY_SQL} FROM plain GROUP BY doc_id)
+    SELECT c_custkey::VARCHAR AS doc_id, coalesce(n, 0) AS matched, coalesce(debit_total, 0) AS debit_total, coalesce(credit_total, 0) AS credit_total, coalesce(net, 0) AS net,
+           CASE WHEN c_custkey % 4 = 1 AND n > 0 THEN 'GBP' ELSE 'UNKNOWN' END AS code, CASE WHEN n IS NULL THEN 'No transactions could be parsed from this file.' ELSE '' END AS warnings
+    FROM customer LEFT JOIN s ON doc_id = c_custkey::VARCHAR
+""")
+def statement_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03, W1: results of all customers' statements, of those without orders too."""
+    texts = b.table_texts(spark, sf_dir)
+    without = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id")).join(texts.select("doc_id"), "doc_id", "left_anti")
+    texts = kept(texts.unionByName(b.as_texts(without.withColumn("text", F.lit("Date,Details,Amount")), F.lit("csv"))))
+    members = texts.select("doc_id", "block_no", "source", F.lit(None).cast("string").alias("part"), "size_bytes", F.lit(None).cast("string").alias("warning"))
+    found = statements.results(statements.parse(members, texts, 1998))
+    return found.select("doc_id", "matched", "debit_total", "credit_total", "net", "code", F.array_join("warnings", " ").alias("warnings"))
+
+
+@register(f"""
+    WITH {b.TXNS_SQL}, {_EXPECTED}, d AS (SELECT doc_id, count(*) AS scanned, min(date) AS lo, max(date) AS hi FROM txns GROUP BY doc_id), m AS (
+        SELECT query_id, t.doc_id, count(*) AS n, round(sum(CASE WHEN t.direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 4)), 2)::DOUBLE AS net,
+               arg_min(description, txn_seq) AS top FROM txns t JOIN q ON {_MATCH} GROUP BY query_id, t.doc_id)
+    SELECT q.query_id, d.doc_id, scanned, coalesce(n, 0) AS matched, coalesce(n, 0) AS listed, coalesce(m.net, 0) AS net, top,
+           (q.query_id = 1)::INTEGER + coalesce(date_from > hi OR date_to < lo, false)::INTEGER AS warnings
+    FROM d CROSS JOIN q LEFT JOIN m ON m.query_id = q.query_id AND m.doc_id = d.doc_id
+""")
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01, W2: a nested result document for every statement and search, without matches too."""
+    t = b.txns(spark, sf_dir)
+    docs = t.groupBy("doc_id").agg(F.sum(F.octet_length("raw")).cast("long").alias("size_bytes"))
+    empty = F.array().cast("array<string>")
+    docs = docs.select("doc_id", F.lit("csv").alias("kind"), "size_bytes", empty.alias("parts"), empty.alias("warnings"))
+    names = {"symbol": "£", "code": "GBP", "name": "British Pound", "detected_by": "symbol"}
+    coins = docs.select("doc_id", *[F.lit(v).alias(k) for k, v in names.items()], F.lit(1.0).alias("confidence"))
+    found = statements.search_results(statements.Statements(docs, t, coins), searches(spark).filter("anchor IS NULL"))
+    return found.select(
+        "query_id", "doc_id", "summary.scanned", "summary.matched", F.size("matched").cast("long").alias("listed"), "summary.net", F.get("matched", F.lit(0)).description.alias("top"),
+        F.size("warnings").alias("warnings"),
+    )
+
+
+@register("""
+    WITH s AS (SELECT o_custkey, o_orderstatus, ascii(o_orderstatus) AS sheet_no, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, sheet_no) AS best FROM s)
+    SELECT o_custkey AS workbook, any_value(o_orderstatus) FILTER (best = 1) AS sheet, max(n) AS n,
+           coalesce(string_agg(o_orderstatus, ', ' ORDER BY sheet_no) FILTER (best > 1), '') AS skipped FROM r GROUP BY o_custkey
+""")
+def primary_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-11: of each customer's orders by status, the largest group, and the names of the others."""
+    o = b.table(spark, sf_dir, "orders")
+    blank = o.select("o_custkey").distinct().select(F.col("o_custkey").alias("workbook"), F.lit(0).alias("sheet_no"), F.lit("blank").alias("sheet"), F.lit(0).alias("line_no"), F.array(F.lit(" ")).alias("cells"))
+    rows = o.select(
+        F.col("o_custkey").alias("workbook"), F.ascii("o_orderstatus").alias("sheet_no"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderkey").cast("int").alias("line_no"),
+        F.array(F.format_string("%.2f", F.col("o_totalprice"))).alias("cells"),
+    )
+    found = tables.primary_sheets(rows.unionByName(blank))
+    return found.groupBy("workbook", "sheet").agg(F.count("*").alias("n"), F.first(F.array_join("skipped", ", ")).alias("skipped"))
+
+
+@register("""
+    SELECT event_id, [round(value, 2), -round(value + 1, 2)] AS amounts,
+           [7 + length(event_type), 10 + length(event_type) + length(printf('%.2f', value))] AS starts FROM events
+""")
+def strict_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-04: figures with their places and signs, beside references, dates and rates."""
+    from ledger_jobs.operators.columns import strict_amounts
+
+    e = b.table(spark, sf_dir, "events")
+    shown, more = F.format_string("%.2f", F.col("value")), F.format_string("%.2f", F.col("value") + 1)
+    line = F.concat(F.lit("5.50% £"), F.col("event_type"), F.lit(" "), shown, F.lit(" - "), more, F.lit("  x1.25 12.50/3 1.2.30"))
+    found = strict_amounts(line)
+    return e.select(
+        "event_id", F.transform(found, lambda a: F.when(a.negative, -a.value).otherwise(a.value)).alias("amounts"),
+        F.transform(found, lambda a: a.start - 1).alias("starts"),
+    )
 
 
 VISITS_SQL = f"{b.LOGS_SQL}, visits AS (SELECT * FROM logs WHERE event_type IN ('view', 'click'))"
-ANALYSES_SQL = "analyses AS (SELECT id, ts, visitor, country, (value * 100)::DECIMAL(30, 6) AS v, k FROM logs WHERE event_type = 'purchase')"
+ANALYSES_SQL = "analyses AS (SELECT id, ts, visitor, country, round(value * 100)::BIGINT AS v, k FROM logs WHERE event_type = 'purchase')"
 
 
 @register(f"""
     WITH {VISITS_SQL}, {ANALYSES_SQL}
     SELECT (SELECT count(*) FROM visits) AS visits, (SELECT count(DISTINCT visitor) FROM visits) AS visitors, (SELECT count(DISTINCT ip) FROM visits) AS ips,
            (SELECT count(*) FROM analyses) AS analyses, (SELECT count(DISTINCT visitor) FROM analyses) AS analysts,
-           (SELECT sum(k // 2)::BIGINT FROM analyses) AS matched, (SELECT sum(k)::BIGINT FROM analyses) AS scanned
+           (SELECT sum(v)::BIGINT FROM analyses) AS size_bytes, (SELECT sum(k // 2)::BIGINT FROM analyses) AS matched, (SELECT sum(k)::BIGINT FROM analyses) AS scanned
 """)
 def traffic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04: totals and distinct counts of both logs."""
-    return traffic.totals(b.visits(spark, sf_dir), b.analyses(spark, sf_dir)).drop("size_bytes")
+    return traffic.totals(b.visits(spark, sf_dir), b.analyses(spark, sf_dir))
 
 
 @register(f"WITH {VISITS_SQL} SELECT country, count(*) AS n, count(DISTINCT visitor) AS visitors FROM visits GROUP BY country ORDER BY n DESC, country LIMIT 50")
