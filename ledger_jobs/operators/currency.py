@@ -1,7 +1,7 @@
 """Currency of a statement: symbols and names counted over its text.
 
-One pass counts all fifteen currencies per row of text (a whole block, a line or a row of cells);
-sums per statement are combined before they are shuffled.  Only the first 256 KiB of a statement
+Symbols and words of all fifteen currencies are picked out of a text (a whole block, a line or a row
+of cells) in one pass each and counted among what was found; sums per statement are combined before they are shuffled.  Only the first 256 KiB of a statement
 are looked at; they are cut from the text where it lies.
 """
 
@@ -37,14 +37,31 @@ def _quoted(text: str) -> str:
     return rf"\Q{text}\E"
 
 
-def score(text: Column, low: Column, symbol: str, words: tuple[str, ...]) -> Column:
-    """Points of one currency in a text (and the same in lower case); symbols that are only letters
-    do not count."""
-    points = F.lit(0)
-    if not (symbol.isascii() and symbol.isalnum()):
-        points = points + SYMBOL_POINTS * F.regexp_count(text, F.lit(_quoted(symbol)))
-    whole = f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, words))})(?![a-z0-9])"
-    return points + WORD_POINTS * F.regexp_count(low, F.lit(whole))
+def _whole(words: tuple[str, ...]) -> str:
+    return f"(?<![a-z0-9])(?:{'|'.join(map(_quoted, words))})(?![a-z0-9])"
+
+
+def _counts(symbol: str) -> bool:
+    """Symbols that are only letters do not count."""
+    return not (symbol.isascii() and symbol.isalnum())
+
+
+def signs_in(text: Column) -> Column:
+    """The symbols of a text, ``$`` with the letter before it, in one pass."""
+    single = "".join(s for s, *_ in DEFINITIONS if len(s) == 1 and _counts(s) and s != "$")
+    longer = "|".join(_quoted(s) for s, *_ in DEFINITIONS if len(s) > 1 and _counts(s) and not s.endswith("$"))
+    return F.array_join(F.regexp_extract_all(text, F.lit(rf"[A-Z]?\$|[{single}]|{longer}"), F.lit(0)), " ")
+
+
+def words_in(text: Column) -> Column:
+    """The words of all currencies in a text, in one pass."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(_whole(tuple(w for *_, words in DEFINITIONS for w in words))), F.lit(0)), " ")
+
+
+def score(signs: Column, named: Column, symbol: str, words: tuple[str, ...]) -> Column:
+    """Points of one currency among the symbols and words of a text."""
+    points = SYMBOL_POINTS * F.regexp_count(signs, F.lit(_quoted(symbol))) if _counts(symbol) else F.lit(0)
+    return points + WORD_POINTS * F.regexp_count(named, F.lit(_whole(words)))
 
 
 def sampled(text: Column, at: Column) -> Column:
@@ -58,10 +75,10 @@ def detect(texts: DataFrame) -> DataFrame:
     """One row per statement of (doc_id, at, text), ``at`` being the bytes of the statement before a
     text: symbol, code, name, confidence (share of all points), detected_by.  Ties go to the
     earlier definition."""
-    rows = texts.select("doc_id", sampled(F.col("text"), F.col("at")).alias("line")).withColumn("low", F.lower("line"))
-    scores = [F.sum(score(F.col("line"), F.col("low"), d[0], d[3])).alias(f"s{k}") for k, d in enumerate(DEFINITIONS)]
+    rows = texts.select("doc_id", sampled(F.col("text"), F.col("at")).alias("line")).withColumns({"signs": signs_in(F.col("line")), "named": words_in(F.col("line"))})
+    scores = [F.sum(score(F.col("signs"), F.col("named"), d[0], d[3])).alias(f"s{k}") for k, d in enumerate(DEFINITIONS)]
     word = r"(?<![a-z0-9])sort code(?![a-z0-9])"
-    hint = F.bool_or(F.col("low").rlike(word) | F.col("line").rlike(SORT_CODE)).alias("hint")
+    hint = F.bool_or(F.lower("line").rlike(word) | F.col("line").rlike(SORT_CODE)).alias("hint")
     summed = rows.groupBy("doc_id").agg(*scores, hint)
     points = F.array(*[F.col(f"s{k}") for k in range(len(DEFINITIONS))])
     best = F.array_max(points)

@@ -14,7 +14,6 @@ from ledger_jobs.functions.money import SYMBOLS, find_amounts, parse_amount, wit
 from ledger_jobs.functions.text import classify_text, clean, trim
 from ledger_jobs.operators import columns
 from ledger_jobs.operators.tables import BLOCK, PARSED
-from ledger_jobs.sources.shared import kept
 
 # What a wrapped row starts with (day and clock time, then the day it counts for), and
 # its figures, of which a missing one is two dashes.
@@ -89,7 +88,8 @@ def transactions(texts: DataFrame, as_of_year: int = 2026) -> DataFrame:
     wrapped, rest = texts.filter(starts >= LEAST_STARTS), texts.filter(starts < LEAST_STARTS)
     tabular = columns.is_column_statement(text)
     placed = rest.filter(tabular).withColumn("period_end", columns.period_end(text))
-    found = kept(columns.transactions(lines_of(placed.select(*BLOCK, "source", "text", "period_end")), as_of_year).select(*PARSED))
+    found = columns.parse(lines_of(placed.select(*BLOCK, "source", "text", "period_end")), as_of_year)
     fallback = rest.filter(tabular).join(found.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(rest.filter(~tabular))
     scanned = scanned_lines(lines_of(fallback.select(*BLOCK, "source", "text")))
-    return found.unionByName(wrapped_rows(wrapped).select(*PARSED)).unionByName(scanned.select(*PARSED))
+    settled = columns.settle(found).select(*PARSED)
+    return settled.unionByName(wrapped_rows(wrapped).select(*PARSED)).unionByName(scanned.select(*PARSED))

@@ -67,7 +67,7 @@ def _grouped(rows: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
     """
     walk = Window.partitionBy(*keys).orderBy(F.desc("txn_seq") if reverse else F.asc("txn_seq"))
     before = walk.rowsBetween(Window.unboundedPreceding, -1)
-    known = F.lit(None).cast("long") if reverse else cents(F.col("known_before"))
+    known = F.lit(None).cast("long") if reverse else F.col("known_level")
     rows = rows.withColumns(
         {
             "closed": F.count("level").over(before),
@@ -106,16 +106,20 @@ def fix_directions(txns: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_no
     nothing changes unless at least two transactions and three fifths of the checked are solved.
     """
     by = list(keys)
-    rows = txns if "known_before" in txns.columns else txns.withColumn("known_before", F.lit(None).cast("double"))
-    rows = rows.withColumns({"level": cents(F.col("balance")), "cents": cents(F.col("amount")), "guess": F.col("direction") == "credit"})
+    known = F.col("known_before") if "known_before" in txns.columns else F.lit(None).cast("double")
+    # only what the trail needs goes through its windows; directions that change come back by a join
+    rows = txns.select(
+        *by, "txn_seq", cents(F.col("balance")).alias("level"), cents(known).alias("known_level"), cents(F.col("amount")).alias("cents"), (F.col("direction") == "credit").alias("guess")
+    )
     rows = _grouped(_grouped(rows, by, False), by, True)
-    hard = _hard(rows, by)
-    rows = rows.join(hard, [*by, "txn_seq"], "left")
+    rows = rows.join(_hard(rows, by), [*by, "txn_seq"], "left")
     block = Window.partitionBy(*by)
     rows = rows.withColumns({w: F.struct(f"{w}.delta", F.coalesce(f"{w}.credit", f"{w}_credit").alias("credit")) for w in ("forth", "back")})
     counts = {f"{w}_{n}": F.count(f"{w}.{c}").over(block) for w in ("forth", "back") for n, c in (("solved", "credit"), ("checked", "delta"))}
     rows = rows.withColumns(counts)
     use = F.col("back_solved") > F.col("forth_solved")
     solved, checked, credit = (F.when(use, F.col(f"back{x}")).otherwise(F.col(f"forth{x}")) for x in ("_solved", "_checked", ".credit"))
-    proven = F.when((solved >= 2) & (solved * 10 >= checked * 6), F.when(credit, "credit").when(~credit, "debit"))
-    return rows.withColumn("direction", F.coalesce(proven, "direction")).select(*txns.columns)
+    proven = rows.filter((solved >= 2) & (solved * 10 >= checked * 6) & (credit != F.col("guess")))
+    changed = proven.select(*by, "txn_seq", F.when(credit, "credit").otherwise("debit").alias("proven"))
+    out = txns.join(changed, [*by, "txn_seq"], "left")
+    return out.withColumn("direction", F.coalesce("proven", "direction")).select(*txns.columns)

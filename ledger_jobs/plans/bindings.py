@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledger_jobs.sources.shared import parallelism, spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -123,7 +125,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as texts of statements, with a price line each."""
-    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    d = spread(table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     symbols = F.array(*map(F.lit, ("£", "€", "$", "usd", "₦", "zar", "", "sort code")))
     price = F.concat(F.lit("price "), F.get(symbols, (F.col("doc_id") % 8).cast("int")), F.lit(" 12.50"))
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).cast("long").alias("at"), F.concat_ws("\n", price, "text").alias("text"))
@@ -137,8 +139,8 @@ def _statement(rows: DataFrame, head: Column, line: Column, order: str = "txn_se
 
 
 def as_texts(statements: DataFrame, kind: Column) -> DataFrame:
-    """Rendered statements as texts of one block, as decoded files are."""
-    return statements.select(
+    """Rendered statements as texts of one block, dealt as the files of a directory are."""
+    return statements.repartition(parallelism(statements.sparkSession), "doc_id").select(
         "doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), F.octet_length("text").cast("long").alias("size_bytes"),
         F.lit(0).cast("long").alias("offset"), "text", kind.alias("kind"),
     )

@@ -12,7 +12,7 @@ from ledger_jobs.operators import currency, lines, match, rate, search, stats, t
 from ledger_jobs.plans import bindings as b
 from ledger_jobs.plans import statements
 from ledger_jobs.sources import files, records
-from ledger_jobs.sources.shared import kept
+from ledger_jobs.sources.shared import kept, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,7 +85,7 @@ def formats_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values in twelve spellings of money: (event_id, value, negative, spelling)."""
-    e = b.table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 12).cast("int").alias("how"))
+    e = spread(b.table(spark, sf_dir, "events")).select("event_id", "value", (F.col("event_id") % 12).cast("int").alias("how"))
     plain, grouped = F.format_string("%.2f", F.col("value")), F.format_number("value", 2)
     european = F.translate(grouped, ",.", ".,")
     forms = [
@@ -106,7 +106,7 @@ def money_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT event_id, [round(value, 2), round(value + 1, 2)] AS amounts FROM events")
 def money_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-03: amounts found in a line beside references and dates."""
-    e = b.table(spark, sf_dir, "events")
+    e = spread(b.table(spark, sf_dir, "events"))
     line = F.concat(F.lit("ref 12345678 on 05 Jan 2024 "), F.format_string("%.2f", F.col("value")), F.lit(" balance "), F.format_string("%.2f", F.col("value") + 1))
     return e.select("event_id", F.transform(money.find_amounts(line), lambda x: x.money.value).alias("amounts"))
 
@@ -121,7 +121,7 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.y
 """)
 def dates_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-05, SCL-06, SCL-08: dates in seventeen formats and clock times parse back."""
-    e = b.table(spark, sf_dir, "events")
+    e = spread(b.table(spark, sf_dir, "events"))
     shown = F.get(F.array(*[F.date_format("ts", f) for f in DATE_FORMATS]), (F.col("event_id") % len(DATE_FORMATS)).cast("int"))
     line = F.concat(F.lit("card payment "), shown, F.lit(" shop"))
     clock = F.concat(F.lit("at "), F.date_format("ts", "HH:mm"), F.lit(" paid"))
@@ -131,7 +131,7 @@ def dates_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT event_id, ts::DATE AS found FROM events")
 def yearless_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-07: dates without a year, given the year."""
-    e = b.table(spark, sf_dir, "events")
+    e = spread(b.table(spark, sf_dir, "events"))
     line = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "d MMM")).otherwise(F.concat(F.date_format("ts", "MMMM d"), F.lit("th")))
     return e.select("event_id", dates.find_yearless_date(F.concat(F.lit("paid "), line, F.lit(" shop")), F.year("ts")).alias("found"))
 
@@ -304,7 +304,7 @@ _ASKED_SQL = """
 @register(_ASKED_SQL)
 def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NLQ-01 to NLQ-08: a search in words for every event, about its type, value and day."""
-    e = b.table(spark, sf_dir, "events").withColumns({"v": F.floor("value").cast("int"), "as_of": F.to_date("ts")}).filter("v >= 1")
+    e = spread(b.table(spark, sf_dir, "events")).withColumns({"v": F.floor("value").cast("int"), "as_of": F.to_date("ts")}).filter("v >= 1")
     kind, v, how = F.col("event_type"), F.col("v").cast("string"), F.col("event_id") % 6
     said = (
         F.when(how == 0, F.concat(F.lit("How much did I spend on "), kind, F.lit(" over "), v))
@@ -535,7 +535,7 @@ def strict_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-04: figures with their places and signs, beside references, dates and rates."""
     from ledger_jobs.operators.columns import strict_amounts
 
-    e = b.table(spark, sf_dir, "events")
+    e = spread(b.table(spark, sf_dir, "events"))
     shown, more = F.format_string("%.2f", F.col("value")), F.format_string("%.2f", F.col("value") + 1)
     line = F.concat(F.lit("5.50% £"), F.col("event_type"), F.lit(" "), shown, F.lit(" - "), more, F.lit("  x1.25 12.50/3 1.2.30"))
     found = strict_amounts(line)

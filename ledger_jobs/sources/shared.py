@@ -22,3 +22,13 @@ def kept(df: DataFrame) -> DataFrame:
     lost executor costs a re-read."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def parallelism(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before costly parsing, if its files make fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
