@@ -35,13 +35,13 @@ _SUMMARY_SQL = ", ".join(
     f"coalesce(round(max(amount) FILTER (direction = '{s}'), 2), 0) AS {s}_max, min(date) FILTER (direction = '{s}') AS {s}_first, "
     f"max(date) FILTER (direction = '{s}') AS {s}_last, "
     f"coalesce((2 * sum(round(amount * 100)::BIGINT) FILTER (direction = '{s}') + count(*) FILTER (direction = '{s}')) // (2 * nullif(count(*) FILTER (direction = '{s}'), 0)), 0)::DOUBLE / 100 AS {s}_average, "
-    f"(max(date) FILTER (direction = '{s}') - min(date) FILTER (direction = '{s}'))::BIGINT AS {s}_days"
+    f"coalesce(max(date) FILTER (direction = '{s}') - min(date) FILTER (direction = '{s}'), -1)::BIGINT AS {s}_days"
     for s in SIDES
 )
 _SUMMARY_SQL += """, round(coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'credit'), 0)::DOUBLE - coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'debit'), 0)::DOUBLE, 2) AS net,
     min(date) AS first_date, max(date) AS last_date, (max(date) - min(date))::BIGINT AS days"""
 _SUMMARY = [
-    "matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last", "average")], *[F.col(f"{s}_duration.days").alias(f"{s}_days") for s in SIDES],
+    "matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last", "average")], *[F.coalesce(f"{s}_duration.days", F.lit(-1).cast("long")).alias(f"{s}_days") for s in SIDES],
     "net", "first_date", "last_date", F.col("duration.days").alias("days"),
 ]
 
@@ -289,7 +289,7 @@ _ASKED_SQL = """
                CASE how WHEN 1 THEN day - 10 WHEN 2 THEN day WHEN 5 THEN date_trunc('month', day)::DATE END AS date_from, CASE WHEN how IN (1, 2, 5) THEN day END AS date_to,
                CASE how WHEN 0 THEN v::DOUBLE WHEN 1 THEN v::DOUBLE WHEN 3 THEN round(v::DOUBLE * 0.85::DOUBLE, 2) END AS amount_min,
                CASE how WHEN 1 THEN v + 40.0 WHEN 3 THEN round(v::DOUBLE * 1.15::DOUBLE, 2) WHEN 5 THEN v + 7.0 END AS amount_max,
-               CASE WHEN how = 5 THEN '5-11' ELSE '' END AS hours, CASE WHEN how = 4 AND word <> '' THEN word END AS anchor, CASE WHEN how = 4 AND word <> '' THEN 24 END AS window_hours,
+               CASE WHEN how = 5 THEN '5-11' ELSE '' END AS hours, CASE WHEN how = 4 AND word <> '' THEN word END AS anchor, CASE WHEN how = 4 AND word <> '' THEN 24 ELSE 0 END AS window_hours,
                CASE how WHEN 0 THEN 'money out' || CASE WHEN word = '' THEN '' ELSE ' “' || word || '”' END || ' · over ' || format('{:,}', v)
                         WHEN 1 THEN said || ' · ' || format('{:,}', v) || ' to ' || format('{:,}', v + 40) || ' · last 10 days'
                         WHEN 2 THEN 'money in · ' || day(day) || strftime(day, ' %B %Y')
@@ -318,7 +318,7 @@ def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.array_join(F.transform("hours", lambda h: F.concat(h.lo.cast("string"), F.lit("-"), h.hi.cast("string"))), ",")
     return rows.select(
         F.col("query_id").alias("event_id"), "keyword", "direction", "date_from", "date_to", F.round("amount_min", 2).alias("amount_min"), F.round("amount_max", 2).alias("amount_max"),
-        hours.alias("hours"), F.col("anchor.keyword").alias("anchor"), "anchor.window_hours", "human",
+        hours.alias("hours"), F.col("anchor.keyword").alias("anchor"), F.coalesce("anchor.window_hours", F.lit(0)).alias("window_hours"), "human",
     )
 
 
@@ -410,13 +410,14 @@ def table_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
     WITH d AS (SELECT DISTINCT o_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT k::VARCHAR AS doc_id, (k % 4 <> 2)::INTEGER AS start, CASE k % 4 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS date,
-           CASE k % 4 WHEN 3 THEN 3 ELSE 1 END AS description, CASE WHEN k % 4 = 0 THEN 2 END AS debit, CASE WHEN k % 4 = 0 THEN 3 END AS credit,
-           CASE k % 4 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 END AS amount, CASE WHEN k % 4 = 1 THEN 0 END AS balance, CASE WHEN k % 4 = 3 THEN 0 END AS type_ind FROM d
+           CASE k % 4 WHEN 3 THEN 3 ELSE 1 END AS description, CASE WHEN k % 4 = 0 THEN 2 ELSE -1 END AS debit, CASE WHEN k % 4 = 0 THEN 3 ELSE -1 END AS credit,
+           CASE k % 4 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE -1 END AS amount, CASE WHEN k % 4 = 1 THEN 0 ELSE -1 END AS balance,
+           CASE WHEN k % 4 = 3 THEN 0 ELSE -1 END AS type_ind FROM d
 """)
 def column_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TAB-01 to TAB-04: where each layout has its columns, by titles or by what is in them."""
     cells, _ = records.table_cells(b.table_texts(spark, sf_dir))
-    return tables.column_maps(tables.parse_cells(cells)).select("doc_id", "start", *tables.ROLES)
+    return tables.column_maps(tables.parse_cells(cells)).select("doc_id", "start", *[F.coalesce(r, F.lit(-1)).alias(r) for r in tables.ROLES])
 
 
 @register(f"SELECT * FROM (WITH {b.PLAIN_SQL} SELECT doc_id, txn_seq, date, description, amount, direction FROM plain)")
@@ -426,14 +427,14 @@ def record_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.sequenced(tables.transactions(cells)).select("doc_id", "txn_seq", "date", "description", "amount", "direction")
 
 
-_PARSED_FIELDS = ("doc_id", "txn_seq", "date", "time_sec", "description", "amount", "direction", F.round("balance", 2).alias("balance"))
+_PARSED_FIELDS = ("doc_id", "txn_seq", "date", F.coalesce("time_sec", F.lit(-1)).alias("time_sec"), "description", "amount", "direction", F.round("balance", 2).alias("balance"))
 
 
 @register(f"""
     WITH {b.TXNS_SQL}, t AS (
         SELECT *, 1000 + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 2)) OVER (PARTITION BY doc_id ORDER BY txn_seq) AS level,
                lead(txn_seq) OVER (PARTITION BY doc_id, date ORDER BY txn_seq) IS NULL AS last FROM txns
-    ) SELECT doc_id, txn_seq, date, NULL::INTEGER AS time_sec, description, amount, direction, CASE WHEN last THEN level::DOUBLE END AS balance FROM t
+    ) SELECT doc_id, txn_seq, date, -1 AS time_sec, description, amount, direction, CASE WHEN last THEN level::DOUBLE END AS balance FROM t
 """)
 def column_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-04, TXT-01, TXT-04 to TXT-09, TRL-04: events rendered as statements with columns."""
@@ -452,7 +453,7 @@ def wrapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-    WITH {b.TXNS_SQL} SELECT doc_id, txn_seq, NULL::DATE AS date, NULL::INTEGER AS time_sec, description, amount,
+    WITH {b.TXNS_SQL} SELECT doc_id, txn_seq, NULL::DATE AS date, -1 AS time_sec, description, amount,
         CASE WHEN contains(description, 'purchase') THEN 'debit' ELSE 'credit' END AS direction, round(amount + 1, 2) AS balance FROM txns
 """)
 def line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
