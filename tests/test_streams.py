@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledger_jobs.operators import rate
+from ledger_jobs.plans import logs
 from ledger_jobs.streaming import streams
 
 
@@ -26,3 +27,48 @@ def test_daily_counts(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(120)
     assert sorted((str(r.day), r.n) for r in spark.table("daily").collect()) == [("2024-01-01", 10), ("2024-01-02", 10), ("2024-01-03", 10)]
+
+
+DAY = 86_400
+RAW = {
+    "visits": "id bigint, ts bigint, visitor string, ip string, country_header string, path string, referrer string, user_agent string",
+    "analyses": "id bigint, ts bigint, visitor string, ip string, country_header string, file_kind string, size_bytes bigint, scanned bigint, matched bigint, currency string",
+    "feedback": "id bigint, ts bigint, visitor string, country string, stars int, would_pay string, review string, price string",
+}
+
+
+def raw_logs(spark):
+    start = 19_700 * DAY
+    visits = [(k, start + k * DAY // 2, f" v-{k}!", ("10.0.0.1", "8.8.8.8", "9.9.9.9")[k % 3], (None, "XX", "Peru")[k % 3], "/p", "https://www.a.org/x", "Mozilla Firefox") for k in range(12)]
+    analyses = [(k, start + k * DAY // 2, "v", "8.8.8.8", None, "csv", 10 * k, k, None, None) for k in range(12)]
+    feedback = [(1, start, "v", "Peru", 9, "YES", " good ", None), (2, start, "v", "Peru", 0, "", " ", None), (3, start, None, None, None, None, None, None)]
+    return {n: spark.createDataFrame(r, RAW[n]) for n, r in (("visits", visits), ("analyses", analyses), ("feedback", feedback))}
+
+
+def test_logs_by_day_and_retention(spark, tmp_path):
+    places = spark.createDataFrame([("8.8.8.8", "Chile", "r", "c")], "ip string, country string, region string, city string")
+    cleaned = logs.clean(raw_logs(spark), places, "salt")
+    path = str(tmp_path / "logs")
+    logs.append(cleaned, path)
+    visits = spark.read.parquet(f"{path}/visits")
+    assert sorted({(r.country, r.visitor[:2], r.referrer, r.device) for r in visits.collect()}) == [(c, "v-", "a.org", "Desktop · Firefox") for c in ("Chile", "Local", "Peru")]
+    assert [(r.stars, r.would_pay, r.review) for r in spark.read.parquet(f"{path}/feedback").collect()] == [(5, "yes", "good")]
+    now = 19_700 * DAY + 6 * DAY
+    logs.prune(spark, path, 2, now)
+    for name in logs.EXPIRING:
+        left = spark.read.parquet(f"{path}/{name}")
+        assert sorted(r.ts for r in left.collect()) == [19_700 * DAY + k * DAY // 2 for k in range(8, 12)]
+    assert spark.read.parquet(f"{path}/feedback").count() == 1
+
+
+def test_log_streams_equal_batches(spark, tmp_path):
+    raw = raw_logs(spark)
+    places = spark.createDataFrame([("8.8.8.8", "Chile", "r", "c")], "ip string, country string, region string, city string")
+    for name, rows in raw.items():
+        rows.repartition(2).write.parquet(str(tmp_path / "in" / name))
+    live = logs.clean({n: spark.readStream.schema(RAW[n]).parquet(str(tmp_path / "in" / n)) for n in RAW}, places, "salt")
+    for name, stream in live.items():
+        streams.append(stream, str(tmp_path / "out" / name), str(tmp_path / "cp" / name)).awaitTermination(120)
+    for name, batch in logs.clean(raw, places, "salt").items():
+        got = spark.read.parquet(str(tmp_path / "out" / name)).select(*batch.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())), name
