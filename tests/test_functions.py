@@ -17,7 +17,7 @@ def values(spark, texts, expression):
 
 def test_money(spark):
     cases = {
-        "-7.05": -7.05, "$ -1,007.05": -1007.05, "–€7.05": -7.05, "7.05 -": -7.05, "( 7.05 )": -7.05, "dr 7.05": -7.05, "7.05od": 7.05, "7.05 od": -7.05, "refund − 7.05": -7.05,
+        "-7.05": -7.05, "$ -1,007.05": -1007.05, "–€7.05": -7.05, "7.05 -": -7.05, "( 7.05 )": -7.05, "dr 7.05": -7.05, "7.05od": -7.05, "7.05food": 7.05, "7.05 od": -7.05, "refund − 7.05": -7.05,
         "7.05": 7.05, "KSh 41,900": 41900.0, "41.900,5": 41900.5, "cr 7.05": 7.05, "3,9": 3.9, "8.125": 8125.0, "8.125.000": 8125000.0, "44,100,200": 44100200.0,
         "": None, "none": None, "7-8": None, "4000000000000": None, "6.": 6.0, None: None, "99999999999999.5": None,
     }
@@ -75,8 +75,8 @@ def test_wording(spark):
 def test_sample_of_currency(spark):
     rows = spark.createDataFrame([("a", 0, "€ " * 10), ("a", currency.SAMPLE_BYTES - 4, "$1 £££"), ("b", currency.SAMPLE_BYTES, "€"), ("c", 0, "sort code C$ cad")], "doc_id string, at bigint, text string")
     got = {r.doc_id: (r.code, r.confidence) for r in currency.detect(rows).collect()}
-    assert got["b"] == ("UNKNOWN", 0.0) and got["a"] == ("EUR", round(120 / (120 + 12), 2)) or got["a"][0] == "EUR"
-    assert got["c"] == ("CAD", round(20 / 32, 2))
+    assert got["b"] == ("UNKNOWN", 0.0) and got["a"] == ("EUR", 0.91)
+    assert got["c"] == ("CAD", 0.63)
 
 
 def test_windows_of_null_keys():
@@ -102,7 +102,7 @@ def test_signs():
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("what have I spent on bread last month", {"keyword": "bread", "direction": "debit", "date_from": dt.date(2023, 7, 1), "date_to": dt.date(2023, 7, 31)}),
+        ("what did we pay for bread last month", {"keyword": "bread", "direction": "debit", "date_from": dt.date(2023, 7, 1), "date_to": dt.date(2023, 7, 31)}),
         ("7k to 9k", {"amount_min": 7000.0, "amount_max": 9000.0, "keyword": ""}),
         ("on 17-06-2023", {"amount_min": 6.0, "amount_max": 17.0, "date_from": dt.date(2023, 6, 17)}),
         ("museum an hour or so before I paid ilse 4k, between 100 and 250", {"keyword": "museum", "amount_min": 100.0, "amount_max": 250.0}),
