@@ -41,15 +41,15 @@ _SUMMARY_SQL = ", ".join(
 _SUMMARY_SQL += """, round(coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'credit'), 0)::DOUBLE - coalesce(sum(amount::DECIMAL(20,4)) FILTER (direction = 'debit'), 0)::DOUBLE, 2) AS net,
     min(date) AS first_date, max(date) AS last_date, (max(date) - min(date))::BIGINT AS days"""
 _SUMMARY = [
-    "matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last", "average")], *[F.coalesce(f"{s}_duration.days", F.lit(-1).cast("long")).alias(f"{s}_days") for s in SIDES],
-    "net", "first_date", "last_date", F.col("duration.days").alias("days"),
+    "matched", *[f"{s}_{k}" for s in SIDES for k in ("total", "count", "min", "max", "first", "last", "average")],
+    *[f"coalesce({s}_duration.days, -1L) AS {s}_days" for s in SIDES], "net", "first_date", "last_date", "duration.days AS days",
 ]
 
 
 @register(f"WITH {b.TXNS_SQL} SELECT doc_id, count(*) AS matched, {_SUMMARY_SQL} FROM txns GROUP BY doc_id")
 def statement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, AGG-02: both sides of every statement in one aggregation."""
-    return stats.summarise(b.txns(spark, sf_dir), "doc_id").select("doc_id", *_SUMMARY)
+    return stats.summarise(b.txns(spark, sf_dir), "doc_id").selectExpr("doc_id", *_SUMMARY)
 
 
 @register(f"""
@@ -330,7 +330,7 @@ def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-01, FLT-00 to FLT-05, AGG-01, AGG-02: all saved searches over all statements."""
     t, q = b.txns(spark, sf_dir), searches(spark).filter("anchor IS NULL")
-    return match.results(match.matches(t, q), t, q).select(*match.KEYS, "scanned", "truncated", *_SUMMARY)
+    return match.results(match.matches(t, q), t, q).selectExpr(*match.KEYS, "scanned", "truncated", *_SUMMARY)
 
 
 @register(f"""
@@ -427,7 +427,7 @@ def record_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.sequenced(tables.transactions(cells)).select("doc_id", "txn_seq", "date", "description", "amount", "direction")
 
 
-_PARSED_FIELDS = ("doc_id", "txn_seq", "date", F.coalesce("time_sec", F.lit(-1)).alias("time_sec"), "description", "amount", "direction", F.round("balance", 2).alias("balance"))
+_PARSED_FIELDS = ("doc_id", "txn_seq", "date", "coalesce(time_sec, -1) AS time_sec", "description", "amount", "direction", "round(balance, 2) AS balance")
 
 
 @register(f"""
@@ -439,7 +439,7 @@ _PARSED_FIELDS = ("doc_id", "txn_seq", "date", F.coalesce("time_sec", F.lit(-1))
 def column_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-04, TXT-01, TXT-04 to TXT-09, TRL-04: events rendered as statements with columns."""
     _, blocks = records.table_cells(b.column_texts(spark, sf_dir))
-    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+    return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
 
 
 @register(f"""
@@ -449,7 +449,7 @@ def column_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wrapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-02 to TXT-04: events rendered as wrapped rows, of which the first account counts."""
     _, blocks = records.table_cells(b.wrapped_texts(spark, sf_dir))
-    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+    return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
 
 
 @register(f"""
@@ -459,7 +459,7 @@ def wrapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-12, TXT-10: events rendered as lines without dates."""
     _, blocks = records.table_cells(b.line_texts(spark, sf_dir))
-    return tables.sequenced(lines.transactions(blocks, 2024)).select(*_PARSED_FIELDS)
+    return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
 
 
 @register("""
