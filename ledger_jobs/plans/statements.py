@@ -32,22 +32,27 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return members.drop("content"), kept(files.kinds(files.decode(members)))
 
 
-def transactions(cells: DataFrame, blocks: DataFrame, as_of_year: int) -> DataFrame:
-    """Transactions of tables and of blocks of text, in the order of their statement."""
-    return tables.sequenced(tables.transactions(cells).unionByName(lines.transactions(blocks, as_of_year)))
+def transactions(cells: DataFrame, blocks: DataFrame | None, as_of_year: int) -> DataFrame:
+    """Transactions of tables and of blocks of text, if any, in the order of their statement."""
+    found = tables.transactions(cells)
+    return tables.sequenced(found if blocks is None else found.unionByName(lines.transactions(blocks, as_of_year)))
 
 
 def parse(members: DataFrame, texts: DataFrame, as_of_year: int) -> Statements:
-    """Everything that is known of a corpus before anybody searches it."""
-    cells, blocks = records.table_cells(texts)
-    cells = kept(cells)
+    """Everything that is known of a corpus, whose ``texts`` are a written table, before anybody
+    searches it."""
+    kinds = records.kinds_in(texts)
+    cells, blocks = records.table_cells(texts, kinds)
+    cells, blocks = kept(cells), blocks if "text" in kinds else None
     rows = cells.filter("cells IS NOT NULL")
     txns = kept(transactions(rows, blocks, as_of_year))
-    looked_at = rows.select("doc_id", "at", F.array_join("cells", " ").alias("text")).unionByName(blocks.select("doc_id", F.col("offset").alias("at"), "text"))
+    looked_at = rows.select("doc_id", "at", F.array_join("cells", " ").alias("text"))
+    if blocks is not None:
+        looked_at = looked_at.unionByName(blocks.select("doc_id", F.col("offset").alias("at"), "text"))
     return Statements(_files(members, texts, cells, blocks, txns), txns, currency.detect(looked_at))
 
 
-def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataFrame, txns: DataFrame) -> DataFrame:
+def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataFrame | None, txns: DataFrame) -> DataFrame:
     """One row per statement, with the names of its parts and its warnings in their order."""
     named = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "part"))), lambda x: x.part), lambda p: p.isNotNull())
     docs = members.groupBy("doc_id").agg(F.max("size_bytes").alias("size_bytes"), F.array_distinct(named).alias("parts"))
@@ -58,8 +63,9 @@ def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataF
     found = found.unionByName(texts.filter("kind = 'binary'").select("doc_id", *place(0, binary)))
     found = found.unionByName(cells.filter("warning IS NOT NULL").select("doc_id", *place(0, F.col("warning"))))
     empty = docs.join(txns.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("rank"), F.lit(0).alias("block_no"), F.lit(NO_TRANSACTIONS).alias("warning"))
-    several = lines.accounts(blocks).select("doc_id", F.lit(2).alias("rank"), F.lit(0).alias("block_no"), "warning")
-    every = found.unionByName(empty).unionByName(several)
+    every = found.unionByName(empty)
+    if blocks is not None:
+        every = every.unionByName(lines.accounts(blocks).select("doc_id", F.lit(2).alias("rank"), F.lit(0).alias("block_no"), "warning"))
     warnings = every.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block_no", "warning"))), lambda w: w.warning).alias("warnings"))
     kind = F.when(F.size("parts") > 0, "archive").otherwise(F.coalesce("kind", F.lit("unknown")))
     return docs.join(kinds, "doc_id", "left").join(warnings, "doc_id", "left").select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -140,10 +141,21 @@ def key_values(texts: DataFrame) -> DataFrame:
     return _with_header(found.filter("amount <> ''").withColumn("cells", F.array(*fields)))
 
 
-def table_cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of everything that is a table, and the blocks of text of the rest, of routed texts."""
-    of = lambda *kinds: texts.filter(F.col("kind").isin(*kinds))
+def kinds_in(texts: DataFrame) -> set[str]:
+    """The kinds that occur in routed texts, of which there are at most six."""
+    return {row.kind for row in texts.select("kind").distinct().collect()}
+
+
+def table_cells(texts: DataFrame, kinds: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells of everything that is a table, and the blocks of text of the rest, of routed texts.  If
+    it is known which ``kinds`` occur, readers of others are not planned."""
+    of = lambda *names: texts.filter(F.col("kind").isin(*names))
     text = of("text").withColumn("text", plain_text(F.col("text")))
     pairs = has_key_values(F.col("text"))
-    cells = delimited(of("csv", "tsv")).unionByName(qif(of("qif"))).unionByName(ofx(of("ofx"))).unionByName(key_values(text.filter(pairs)))
+    readers = {
+        ("csv", "tsv"): lambda: delimited(of("csv", "tsv")), ("qif",): lambda: qif(of("qif")), ("ofx",): lambda: ofx(of("ofx")),
+        ("text",): lambda: key_values(text.filter(pairs)),
+    }
+    found = [read() for names, read in readers.items() if kinds is None or kinds & set(names)]
+    cells = reduce(DataFrame.unionByName, found or [delimited(of("csv", "tsv"))])
     return cells, text.filter(~pairs).select(*BLOCK, "offset", "text")
