@@ -15,6 +15,8 @@ of distinct runs, and one small row per character of a scored url, dealt by its
 make up more than a ``HOT``-th of these characters (so fewer than ``HOT`` runs) are broadcast
 instead, which changes no score.
 
+Urls of any length are cut into chunks of ``CHUNK`` characters before their runs are listed.
+
 Defined cases: null urls, and urls without ``://``, have empty host and path; they are judged by
 the model like others.  Without any ruled url of both kinds scores and cut are 0 and the verdict
 is allow.  Rows are independent of each other, so ties, repeats, null ids and extra columns
@@ -35,6 +37,8 @@ ORDER = 5
 OPEN, SHUT = "\x02", "\x03"
 #: Characters that a model takes to be possible.
 ALPHABET = 256
+#: Characters of a chunk, in which runs are looked up.
+CHUNK = 64
 #: A run is hot from this part of all scored characters on.
 HOT = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,11 +62,24 @@ def rule_of(host: Column, path: Column, rules: list[str]) -> Column:
 
 def _places(texts: DataFrame) -> DataFrame:
     """One row per character after the opening mark, with ``run``: the last ``ORDER`` characters up
-    to it, marks included, or fewer at the start."""
-    marked = texts.withColumn("marked", F.concat(F.lit(OPEN), "text", F.lit(SHUT)))
-    placed = marked.withColumn("at", F.explode(F.sequence(F.lit(2), F.char_length("marked"))))
-    run = F.expr(f"substring(marked, greatest(at - {ORDER - 1}, 1), least(at, {ORDER}))")
-    return placed.withColumn("run", run).drop("text", "marked", "at")
+    to it, marks included, or fewer at the start.
+
+    Texts are first cut into chunks, each with the last characters of the one before: a run is
+    looked up in its chunk, so that the work grows with a text's length and not with its square."""
+    marked = F.concat(F.lit(OPEN), "text", F.lit(SHUT))
+
+    def joined(chunks: Column) -> Column:
+        def one(chunk: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.right(F.get(chunks, k - 1), F.lit(ORDER - 1))).otherwise("")
+            return F.struct(F.concat(before, chunk).alias("chunk"), F.when(k > 0, ORDER).otherwise(2).alias("first"))
+
+        return F.transform(chunks, one)
+
+    pieces = F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    cut = texts.select(*[c for c in texts.columns if c != "text"], F.inline(F.flatten(F.transform(F.array(pieces), joined))))
+    placed = cut.withColumn("at", F.explode(F.sequence(F.col("first"), F.char_length("chunk"))))
+    run = F.expr(f"substring(chunk, greatest(at - {ORDER - 1}, 1), least(at, {ORDER}))")
+    return placed.withColumn("run", run).drop("chunk", "first", "at")
 
 
 def train(texts: DataFrame) -> DataFrame:

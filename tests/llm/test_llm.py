@@ -358,6 +358,8 @@ def test_urls_against_plain_model(spark, monkeypatch, hot):
     rnd = random.Random(9)
     name = lambda k: "".join(rnd.choice("abcdeé🙂") for _ in range(k))
     rows = [(k, f"http://{name(4)}.{rnd.choice(['com', 'net', 'org'])}/{rnd.choice(['en', 'es', 'fr'])}/{name(3)}") for k in range(250)]
+    # lengths around whole chunks, and long ones
+    rows += [(600 + n, "http://" + ("aé🙂.org/" * 20)[: n - 4] + ".org") for n in range(58, 70)] + [(700, "http://a.com/" + name(5000)), (701, "http://b.net/fr/" + name(3000)), (702, "http://c.org/" + name(20_000))]
     rows += [(900, None), (901, "http://zzzz.org/QQQQQ"), (902, "http://a.com"), *[(1000 + k, "http://www.example.com/en/a") for k in range(30)], (None, "http://aéb.org/fr/")]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string").repartition(3), URL_RULES).withColumn("text", F.concat("host", "path"))
     got = got.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0).collect()
