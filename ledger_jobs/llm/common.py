@@ -58,7 +58,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on, under names of its own; a null text is empty."""
+    """The two columns an operator works on, under names of its own; a null text is empty.
+
+    Ids are whole numbers of at most 64 bits: under Spark's ANSI rules others stop the job."""
     small_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("id"),

@@ -14,7 +14,8 @@ reads the last one beyond the end.  So archives need no index and a large one ma
 
 Archives are reached by their URI through pyarrow's file systems, in the shared folder.
 
-Defined cases: a null payload is empty.  A null url leaves the target out.  Records with a null id
+Defined cases: a null payload is empty.  A payload of any length is one record; the task that
+writes it and the one that owns its start hold it whole.  A null url leaves the target out.  Records with a null id
 are responses and come back with a null id.  Rows repeated under the largest id are all
 responses.  Control characters, blanks and non-ASCII characters of urls are percent-encoded.  An
 empty table gives no archive and an empty result.  Extra columns are ignored.
