@@ -68,15 +68,20 @@ def direction_from_type(cell: Column) -> Column:
     )
 
 
-def tokens_any_match(keyword: Column, *texts: Column) -> Column:
-    """Whether any word of at least three bytes of ``keyword`` is in any of the texts; without
-    such words, whether the whole keyword is.  An empty keyword matches."""
+def anchor_words(keyword: Column) -> Column:
+    """The words of at least three bytes of ``keyword``, in lower case; without any, the whole of it."""
     low = F.lower(keyword)
     words = F.filter(F.split(trim(low), f"{UNICODE_SPACE}+"), lambda w: F.octet_length(w) >= 3)
-    wanted = F.when(F.size(words) > 0, words).otherwise(F.array(low))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(low))
+
+
+def tokens_any_match(keyword: Column, *texts: Column) -> Column:
+    """Whether any of the words of ``keyword`` (``anchor_words``) is in any of the texts.  An empty
+    keyword matches."""
+    wanted = anchor_words(keyword)
 
     def within(text: Column) -> Column:
         return F.exists(wanted, lambda w: F.contains(F.lower(text), w))
 
     found = reduce(or_, map(within, texts))
-    return (low == "") | F.coalesce(found, F.lit(False))
+    return (F.lower(keyword) == "") | F.coalesce(found, F.lit(False))

@@ -1,9 +1,8 @@
 """Saved searches applied to transactions: filters, anchors, windows around anchors, results.
 
 Searches and transactions meet in a join whose condition is the conjunction of all filters.  The
-search side is broadcast only if it has at most ``BROADCAST_ROWS`` rows; beyond that both sides
-are dealt by month, searches once per month of the range that the condition asks for, and searches
-without such a range to every month there is.  Everything after the join is keyed by (query_id, doc_id).
+search side is broadcast only if it has at most ``BROADCAST_ROWS`` rows; beyond that both sides are
+filed under equal keys (``search_index``).  Everything after the join is keyed by (query_id, doc_id).
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions.money import fmt_money, round2
-from ledger_jobs.functions.text import tokens_any_match, truncate
+from ledger_jobs.functions.text import anchor_words, tokens_any_match, truncate
+from ledger_jobs.operators import search_index
 from ledger_jobs.operators.stats import summarise
 
 BROADCAST_ROWS = 10_000
@@ -36,17 +36,28 @@ def passes(keyword: bool = True) -> Column:
     return ok
 
 
-def meet(txns: DataFrame, searches: DataFrame, condition: Column, first: str = "date_from", last: str = "date_to") -> DataFrame:
-    """Pairs of ``t`` and ``q`` that fulfil the condition, which for searches that have both a
-    ``first`` and a ``last`` date must hold only for transactions from one to the other."""
+def meet(txns: DataFrame, searches: DataFrame, condition: Column, ask: search_index.Ask, filed: Column | None = None) -> DataFrame:
+    """Pairs of ``t`` and ``q`` that fulfil the condition, of which ``ask`` says what can be filed;
+    ``filed``: what is left of the condition for pairs whose word is known to stand in the text."""
     if few(searches):
         return txns.alias("t").join(F.broadcast(searches.alias("q")), condition)
-    month, lo, hi = F.trunc("date", "month"), F.col(first), F.col(last)
-    months = txns.select(month.alias("m")).distinct()
-    ranged = searches.filter(lo <= hi).withColumn("m", F.explode(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("INTERVAL 1 MONTH"))))
-    open_ = searches.filter(lo.isNull() | hi.isNull()).join(months, how="cross")
-    dealt = ranged.unionByName(open_)
-    return txns.withColumn("m", month).alias("t").join(dealt.alias("q"), F.col("t.m").eqNullSafe(F.col("q.m")) & condition)
+    return search_index.meet(txns, searches, condition if filed is None else filed, ask)
+
+
+def asked() -> search_index.Ask:
+    """What a search asks of the transactions that it matches."""
+    word = F.lower("keyword")
+    words = F.when(word == "", F.array().cast("array<string>")).otherwise(F.array(word))
+    return search_index.Ask(words, *[F.col(c) for c in ("date_from", "date_to", "amount_min", "amount_max", "direction", "hours")])
+
+
+def asked_of_anchors() -> search_index.Ask:
+    """What a search asks of its anchor; the amount a little wider, against rounding."""
+    word, amount, day = F.lower("anchor.keyword"), F.col("anchor.amount"), F.col("anchor.on_date")
+    words = F.when(word == "", F.array().cast("array<string>")).otherwise(anchor_words(F.col("anchor.keyword")))
+    apart = F.greatest(amount * 0.02, F.lit(50.0)) + 0.01
+    none = F.array().cast("array<struct<lo: int, hi: int>>")
+    return search_index.Ask(words, day, day, amount - apart, amount + apart, F.lit(None).cast("string"), none)
 
 
 def resolve_anchors(txns: DataFrame, searches: DataFrame) -> DataFrame:
@@ -56,7 +67,7 @@ def resolve_anchors(txns: DataFrame, searches: DataFrame) -> DataFrame:
     fits = t("date").isNotNull() & (q("on_date").isNull() | (t("date") == q("on_date")))
     fits = fits & (q("amount").isNull() | (F.abs(t("amount") - q("amount")) <= F.greatest(q("amount") * 0.02, F.lit(50.0))))
     fits = fits & tokens_any_match(q("keyword"), t("description"), t("raw"))
-    found = meet(txns, searches.filter("anchor IS NOT NULL"), fits, "anchor.on_date", "anchor.on_date")
+    found = meet(txns, searches.filter("anchor IS NOT NULL"), fits, asked_of_anchors())
     row = F.struct("t.txn_seq", "t.date", "t.time_sec", "t.ts", "t.source", "t.line_no", "t.description", "t.amount")
     return found.groupBy("q.query_id", "t.doc_id").agg(F.min_by(row, F.col("t.txn_seq")).alias("anchor_txn"))
 
@@ -78,9 +89,7 @@ def in_window() -> Column:
 
 def matches(txns: DataFrame, searches: DataFrame) -> DataFrame:
     """Matched transactions with query_id; searches whose anchor is not found run without it."""
-    pairs = meet(txns, searches, passes()).select("q.query_id", "q.anchor", "t.*")
-    if "m" in pairs.columns:
-        pairs = pairs.drop("m")
+    pairs = meet(txns, searches, passes(), asked(), passes(keyword=False)).select("q.query_id", "q.anchor", *[f"t.{c}" for c in txns.columns])
     plain = pairs.filter("anchor IS NULL").drop("anchor")
     anchored = pairs.filter("anchor IS NOT NULL").join(resolve_anchors(txns, searches), KEYS, "left").filter(in_window())
     return plain.unionByName(anchored.drop("anchor", "anchor_txn"))

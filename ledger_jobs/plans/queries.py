@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions import dates, formats, money, text, web
-from ledger_jobs.operators import currency, lines, match, rate, search, stats, tables, traffic, trail
+from ledger_jobs.operators import currency, lines, match, rate, search, search_index, stats, tables, traffic, trail
 from ledger_jobs.plans import bindings as b
 from ledger_jobs.plans import statements
 from ledger_jobs.sources import files, records
@@ -296,16 +296,15 @@ _ASKED_SQL = """
                         WHEN 3 THEN said || ' · ' || format('{:,}', round(v::DOUBLE * 0.85::DOUBLE)::INTEGER) || ' to ' || format('{:,}', round(v::DOUBLE * 1.15::DOUBLE)::INTEGER)
                         WHEN 4 THEN CASE WHEN word = '' THEN 'money out' ELSE '· within 24h after the “' || word || '” payment' END
                         ELSE said || ' · 05:00-11:59 · under ' || format('{:,}', v + 7) || ' · ' || strftime(day, '%B %Y') END AS human
-        FROM e WHERE v >= 1
+        FROM e
     ) SELECT * FROM p
 """
 
 
-@register(_ASKED_SQL)
-def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NLQ-01 to NLQ-08: a search in words for every event, about its type, value and day."""
-    e = spread(b.table(spark, sf_dir, "events")).withColumns({"v": F.floor("value").cast("int"), "as_of": F.to_date("ts")}).filter("v >= 1")
-    kind, v, how = F.col("event_type"), F.col("v").cast("string"), F.col("event_id") % 6
+def asked(spark: SparkSession, sf_dir: str, how: Column) -> DataFrame:
+    """A search in words for every event, about its type, value and day, interpreted."""
+    e = spread(b.table(spark, sf_dir, "events")).withColumns({"v": F.floor("value").cast("int"), "as_of": F.to_date("ts")})
+    kind, v = F.col("event_type"), F.col("v").cast("string")
     said = (
         F.when(how == 0, F.concat(F.lit("How much did I spend on "), kind, F.lit(" over "), v))
         .when(how == 1, F.concat(kind, F.lit(" between "), v, F.lit(" and "), (F.col("v") + 40).cast("string"), F.lit(" last 10 days")))
@@ -314,7 +313,13 @@ def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(how == 4, F.concat(F.lit("everything within 24 hours after "), kind))
         .otherwise(F.concat(kind, F.lit(" in the morning this month under "), (F.col("v") + 7).cast("string")))
     )
-    rows = search.interpret(e.select(F.col("event_id").alias("query_id"), said.alias("text"), "as_of"))
+    return search.interpret(e.select(F.col("event_id").alias("query_id"), said.alias("text"), "as_of"))
+
+
+@register(_ASKED_SQL)
+def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NLQ-01 to NLQ-08: a search in words for every event, about its type, value and day."""
+    rows = asked(spark, sf_dir, F.col("event_id") % 6)
     hours = F.array_join(F.transform("hours", lambda h: F.concat(h.lo.cast("string"), F.lit("-"), h.hi.cast("string"))), ",")
     return rows.select(
         F.col("query_id").alias("event_id"), "keyword", "direction", "date_from", "date_to", F.round("amount_min", 2).alias("amount_min"), F.round("amount_max", 2).alias("amount_max"),
@@ -322,6 +327,29 @@ def interpreted_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# without anchors, and with bounds that are not rounded
+_MANY_SQL = _ASKED_SQL.replace("event_id % 6 AS how", "CASE WHEN event_id % 6 = 4 THEN 5 ELSE event_id % 6 END AS how")
+_MANY_SQL = _MANY_SQL.replace("THEN round(v::DOUBLE * 0.85::DOUBLE, 2)", "THEN v::DOUBLE * 0.85::DOUBLE").replace("THEN round(v::DOUBLE * 1.15::DOUBLE, 2)", "THEN v::DOUBLE * 1.15::DOUBLE")
+
+
+@register(f"""
+    WITH q AS ({_MANY_SQL}), {b.TXNS_SQL}
+    SELECT event_id, count(DISTINCT doc_id) AS statements, count(*) AS matched,
+           round(sum(CASE WHEN t.direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 4)), 2)::DOUBLE AS net
+    FROM q JOIN txns t ON (q.direction IS NULL OR q.direction = t.direction) AND (date_from IS NULL OR t.date BETWEEN date_from AND date_to)
+        AND (amount_min IS NULL OR t.amount >= amount_min) AND (amount_max IS NULL OR t.amount <= amount_max)
+        AND (hours = '' OR time_sec // 3600 BETWEEN 5 AND 11) AND (keyword = '' OR contains(t.description, keyword))
+    GROUP BY event_id
+""")
+def many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-01, FLT-01: as many searches as there are events, filed under keys, over all statements."""
+    q = kept(asked(spark, sf_dir, F.when(F.col("event_id") % 6 == 4, 5).otherwise(F.col("event_id") % 6)))
+    found = search_index.meet(b.txns(spark, sf_dir), q, match.passes(keyword=False), match.asked())
+    signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    each = found.select(F.col("q.query_id").alias("event_id"), "t.doc_id", "t.direction", "t.amount").groupBy("event_id", "doc_id").agg(F.count("*").alias("n"), stats.exact_sum(signed).alias("net"))
+    return each.groupBy("event_id").agg(F.count("*").alias("statements"), F.sum("n").alias("matched"), F.round(F.sum("net"), 2).cast("double").alias("net"))
+
+
 @register(f"""
     WITH {b.TXNS_SQL}, {_EXPECTED}, scanned AS (SELECT doc_id, count(*) AS scanned FROM txns GROUP BY doc_id)
     SELECT query_id, doc_id, any_value(scanned) AS scanned, count(*) AS matched, count(*) > 2000 AS truncated, {_SUMMARY_SQL.replace("direction", "t.direction")}

@@ -1,22 +1,27 @@
-"""Searches that are broadcast and searches that are dealt by month give the same rows."""
+"""Searches that are broadcast and searches that are filed under keys give the same rows."""
 
 import datetime as dt
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledger_jobs.operators import match, search
+from ledger_jobs.operators import match, search, search_index
 
 TEXTS = ["everything in january after rent", "everything after rent", "everything before rent", "everything in march after rent", "shop", "", "everything in february", "everything after lottery"]
 
 
-def test_dealt_by_month_equals_broadcast(spark, monkeypatch):
+TXNS = "doc_id string, txn_seq bigint, block_no int, source string, line_no int, date date, time_sec int, ts timestamp_ntz, description string, amount double, direction string, balance double, raw string"
+
+
+def test_filed_equals_broadcast(spark, monkeypatch):
     days = [(2023, 12, 31, 22, "rent"), (2024, 1, 1, 9, "shop"), (2024, 1, 20, 9, "shop"), (2024, 2, 3, 8, "cash"), (2024, 3, 1, 23, "rent"), (2024, 3, 2, 7, "shop")]
     rows = [
         ("d", k, 0, "s", k, dt.date(y, m, d), h * 3600, dt.datetime(y, m, d, h), text, 10.0 * (k + 1), "debit", None, text)
         for k, (y, m, d, h, text) in enumerate(days)
     ] + [("d", 9, 0, "s", 9, None, None, None, "shop", 5.0, "debit", None, "shop")]
-    schema = "doc_id string, txn_seq bigint, block_no int, source string, line_no int, date date, time_sec int, ts timestamp_ntz, description string, amount double, direction string, balance double, raw string"
-    txns = spark.createDataFrame(rows, schema)
+    txns = spark.createDataFrame(rows, TXNS)
     asked = spark.createDataFrame(list(enumerate(TEXTS)), "query_id int, text string").withColumn("as_of", F.lit("2024-01-31").cast("date"))
     q = search.interpret(asked).cache()
 
@@ -29,3 +34,62 @@ def test_dealt_by_month_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(match, "BROADCAST_ROWS", 0)
     assert [k for i, k in want[0] if i == 0] == [1] and len(want[1]) > 3
     assert found() == want
+
+
+def some_txns(rnd):
+    rows = []
+    for k in range(400):
+        day = rnd.choice([None, dt.date(2024, 1, 1) + dt.timedelta(rnd.randint(-500, 500)), dt.date(1969, 12, rnd.randint(1, 31))])
+        clock = rnd.choice([None, rnd.randint(0, 86399)])
+        stamp = None if day is None or clock is None else dt.datetime.combine(day, dt.time()) + dt.timedelta(seconds=clock)
+        text = rnd.choice([None, "", "Rent paid", "coffee SHOP", "éclair ßtraße", "grocery shop coffee", "cafe 12"])
+        rows.append((f"d{k % 7}", k, 0, "s", k, day, clock, stamp, text, rnd.choice([0.0, 0.01, 9.99, 50.0, 1234.5, 1e12, -3.0]), rnd.choice(["debit", "credit", None]), None, rnd.choice([text, "ref 12345 shop", None])))
+    return rows
+
+
+def some_searches(rnd, schema):
+    rows = []
+    for k in range(300):
+        first = dt.date(2024, 1, 1) + dt.timedelta(rnd.randint(-500, 500))
+        spans = [(None, None), (first, first + dt.timedelta(rnd.choice([0, 1, 6, 30, 365, 4000]))), (first, None), (first, first - dt.timedelta(1)), (dt.date(1969, 12, 3), dt.date(1970, 1, 2))]
+        bands = [(None, None), (None, 50.0), (9.99, None), (0.01, 9.99), (50.0, 50.0), (9.0, 3.0), (-5.0, 0.0)]
+        anchor = rnd.choice([None, None, ("coffee shop", 50.0, True, False, 48, None), ("", 9.0, False, False, 24, first), ("xy", None, False, True, 24, None), ("Rent", 1200.0, True, False, 24 * 30, None)])
+        values = {
+            "query_id": k, "text": "", "keyword": rnd.choice(["", "", "shop", "RENT", "o", "straße", "ref 12", "nothing like it", "cafe 12"]), "direction": rnd.choice([None, "debit", "credit"]),
+            "hours": rnd.choice([[], [], [(20, 23), (0, 5)], [(5, 11)]]), "human": "", "smart": False, "as_of": first,
+        }
+        values |= dict(zip(("date_from", "date_to"), rnd.choice(spans), strict=True)) | dict(zip(("amount_min", "amount_max"), rnd.choice(bands), strict=True))
+        names = ("keyword", "amount", "after", "around", "window_hours", "on_date")
+        values["anchor"] = None if anchor is None else dict(zip(names, anchor, strict=True))
+        rows.append(tuple(values[f.name] for f in schema))
+    return rows
+
+
+@pytest.mark.parametrize("automaton", [True, False])
+def test_every_kind_of_search(spark, monkeypatch, automaton):
+    rnd = random.Random(3)
+    txns = spark.createDataFrame(some_txns(rnd), TXNS).repartition(3)
+    schema = search.interpret(spark.createDataFrame([(1, "")], "query_id int, text string").withColumn("as_of", F.current_date())).schema
+    q = spark.createDataFrame(some_searches(rnd, schema), schema)
+
+    def found():
+        anchors = match.resolve_anchors(txns, q).select("query_id", "doc_id", "anchor_txn.txn_seq").collect()
+        return sorted((r.query_id, r.doc_id, r.txn_seq) for r in match.matches(txns, q).collect()), sorted(map(tuple, anchors))
+
+    want = found()
+    assert len(want[0]) > 2000 and len(want[1]) > 50
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(search_index, "AUTOMATON_BYTES", 1 << 20 if automaton else 0)
+    assert found() == want
+    plan = match.matches(txns, q)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cover_is_a_partition(spark):
+    ranges = [(a, b) for a in (-9, -1, 0, 1, 5, 8, 1023, 19_000) for b in (-5, -1, 0, 7, 8, 9, 1024, 4095, 19_999)] + [(-(1 << 21), 1 << 21), (0, (1 << 22) - 1)]
+    df = spark.createDataFrame(ranges, "a bigint, b bigint").select("a", "b", search_index.cover(F.col("a"), F.col("b"), 0).alias("cells"))
+    for a, b, cells in df.collect():
+        parts = sorted((c.cell << c.level, ((c.cell + 1) << c.level) - 1) for c in cells)
+        assert (not parts) == (a > b) and len(parts) <= 2 * max(1, math.ceil(math.log2(max(2, b - a + 2))))
+        if parts:
+            assert parts[0][0] == a and parts[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:], strict=False))
