@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ledger_jobs.functions.dates import find_date, find_time
 from ledger_jobs.functions.money import SYMBOLS, find_amounts, parse_amount, without_amounts
 from ledger_jobs.functions.text import classify_text, clean, trim
-from ledger_jobs.operators import columns
+from ledger_jobs.operators import columns, scanner
 from ledger_jobs.operators.tables import BLOCK, PARSED
+from ledger_jobs.sources.shared import kept, spread
 
 # What a wrapped row starts with (day and clock time, then the day it counts for), and
 # its figures, of which a missing one is two dashes.
@@ -84,11 +85,13 @@ def transactions(texts: DataFrame, as_of_year: int = 2026) -> DataFrame:
     three lines have figures and rows are found that way, else lines.  ``as_of_year`` is the year of
     dates without one in statements that name no year at all."""
     text = F.col("text")
-    starts = F.regexp_count(text, F.lit(ROW_START))
-    wrapped, rest = texts.filter(starts >= LEAST_STARTS), texts.filter(starts < LEAST_STARTS)
-    tabular = columns.is_column_statement(text)
-    placed = rest.filter(tabular).withColumn("period_end", columns.period_end(text))
-    found = columns.parse(lines_of(placed.select(*BLOCK, "source", "text", "period_end")), as_of_year)
+    how = texts.select(*BLOCK, "source", "text", F.regexp_count(text, F.lit(ROW_START)).alias("starts"), scanner.describe(text, columns.PERIOD_LINES).alias("about"))
+    # told once, and written with the texts: three ways of reading start from here
+    told = kept(how.filter("text IS NOT NULL").select(*BLOCK, "source", "text", "starts", "about.*"))
+    wrapped, rest = told.filter(F.col("starts") >= LEAST_STARTS), told.filter(F.col("starts") < LEAST_STARTS)
+    tabular = F.col("figure_lines") >= columns.LEAST_LINES
+    placed = spread(rest.filter(tabular).select(*BLOCK, "source", "text", "period_end"))
+    found = columns.parse(lines_of(placed), as_of_year)
     fallback = rest.filter(tabular).join(found.select(*BLOCK).distinct(), BLOCK, "left_anti").unionByName(rest.filter(~tabular))
     scanned = scanned_lines(lines_of(fallback.select(*BLOCK, "source", "text")))
     settled = columns.settle(found).select(*PARSED)
