@@ -120,25 +120,19 @@ def every_pair(docs: DataFrame, searches: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(searches) if few(searches) else searches, how="cross")
 
 
-def notices(txns: DataFrame, searches: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, notices): blank searches, anchors found and not found, and ranges that
-    the statement does not cover.  One row for each pair that has a notice.  ``symbols``: doc_id and
-    currency symbol.
-
-    Each kind is found on its own: blank searches and anchored ones meet every statement, as they
-    have a notice there; a range meets those statements whose dates it misses, in which nothing can
-    match it.
-    """
-    docs = txns.groupBy("doc_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    docs = docs.withColumn("symbol", F.lit("")) if symbols is None else docs.join(symbols, "doc_id", "left").withColumn("symbol", F.coalesce("symbol", F.lit("")))
+def says_nothing() -> Column:
+    """Whether a search has no condition that anybody would write in words."""
     empty = (F.col("keyword") == "") & F.col("anchor").isNull()
     for c in ("date_from", "direction", "amount_min", "amount_max"):
         empty = empty & F.col(c).isNull()
-    told = lambda pairs, rank, text: pairs.select(*KEYS, F.lit(rank).alias("rank"), text.alias("notice"))
-    blank = told(every_pair(docs, searches.filter(empty).select("query_id")), 0, F.lit("No search term provided, analysing ALL transactions."))
+    return empty
+
+
+BLANK_NOTICE = "No search term provided, analysing ALL transactions."
+
 
-    asked = searches.filter("anchor IS NOT NULL").select("query_id", "anchor")
-    anchored = every_pair(docs, asked).join(resolve_anchors(txns, searches), KEYS, "left")
+def anchor_notice() -> Column:
+    """Where the anchor of a search was found, or that it was not (``anchor_txn`` is null)."""
     a = F.col("anchor_txn")
     side = F.when(F.col("anchor.around"), "either side of").when(F.col("anchor.after"), "after").otherwise("before")
     clock = F.format_string(" %02d:%02d", F.floor(a.time_sec / 3600).cast("int"), F.floor(a.time_sec % 3600 / 60).cast("int"))
@@ -150,14 +144,49 @@ def notices(txns: DataFrame, searches: DataFrame, symbols: DataFrame | None = No
     name = F.when(F.col("anchor.keyword") == "", F.lit("any")).otherwise(F.concat(F.lit("“"), F.col("anchor.keyword"), F.lit("”")))
     figure = F.coalesce(F.concat(F.lit(", "), fmt_money(F.col("symbol"), F.col("anchor.amount"))), F.lit(""))
     lost = F.concat(F.lit("Couldn't find the anchor transaction ("), name, figure, F.lit("). Showing results without it."))
-    anchors = told(anchored, 1, F.when(a.isNull(), lost).otherwise(found))
+    return F.when(a.isNull(), lost).otherwise(found)
 
-    ranged = searches.filter("date_from IS NOT NULL AND date_to IS NOT NULL").select("query_id", "date_from", "date_to")
-    missed = docs.join(F.broadcast(ranged) if few(ranged) else ranged, (F.col("date_from") > F.col("hi")) | (F.col("date_to") < F.col("lo")))
-    range_ = F.format_string(
+
+def misses_range() -> Column:
+    """Whether the dates of a statement (``lo`` to ``hi``) lie outside those of a search."""
+    return (F.col("date_from") > F.col("hi")) | (F.col("date_to") < F.col("lo"))
+
+
+def range_notice() -> Column:
+    return F.format_string(
         "This statement covers %s to %s, so nothing falls in the dates you asked for (%s to %s). Try naming the months, for example \"%s\".",
         *[F.col(c).cast("string") for c in ("lo", "hi", "date_from", "date_to")], F.date_format("hi", "MMMM yyyy"),
     )
-    every = blank.unionByName(anchors).unionByName(told(missed, 2, range_))
+
+
+def notices_of_pair() -> Column:
+    """All notices of a search and a statement, given side by side with ``anchor_txn``, ``lo`` and ``hi``."""
+    ranged = F.col("date_from").isNotNull() & F.col("date_to").isNotNull() & misses_range()
+    return F.array_compact(F.array(F.when(says_nothing(), F.lit(BLANK_NOTICE)), F.when(F.col("anchor").isNotNull(), anchor_notice()), F.when(ranged, range_notice())))
+
+
+def spans(txns: DataFrame) -> DataFrame:
+    """(doc_id, scanned, lo, hi): transactions of each statement, and its first and last date."""
+    return txns.groupBy("doc_id").agg(F.count("*").alias("scanned"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+
+
+def notices(txns: DataFrame, searches: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, notices): blank searches, anchors found and not found, and ranges that
+    the statement does not cover.  One row for each pair that has a notice.  ``symbols``: doc_id and
+    currency symbol.
+
+    Each kind is found on its own: blank searches and anchored ones meet every statement, as they
+    have a notice there; a range meets those statements whose dates it misses, in which nothing can
+    match it.
+    """
+    docs = spans(txns).drop("scanned")
+    docs = docs.withColumn("symbol", F.lit("")) if symbols is None else docs.join(symbols, "doc_id", "left").withColumn("symbol", F.coalesce("symbol", F.lit("")))
+    told = lambda pairs, rank, text: pairs.select(*KEYS, F.lit(rank).alias("rank"), text.alias("notice"))
+    blank = told(every_pair(docs, searches.filter(says_nothing()).select("query_id")), 0, F.lit(BLANK_NOTICE))
+    anchored = every_pair(docs, searches.filter("anchor IS NOT NULL").select("query_id", "anchor")).join(resolve_anchors(txns, searches), KEYS, "left")
+    anchors = told(anchored, 1, anchor_notice())
+    ranged = searches.filter("date_from IS NOT NULL AND date_to IS NOT NULL").select("query_id", "date_from", "date_to")
+    missed = docs.join(F.broadcast(ranged) if few(ranged) else ranged, misses_range())
+    every = blank.unionByName(anchors).unionByName(told(missed, 2, range_notice()))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "notice"))), lambda x: x.notice)
     return every.groupBy(*KEYS).agg(ordered.alias("notices"))

@@ -515,6 +515,27 @@ def statement_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "matched", "debit_total", "credit_total", "net", "code", F.array_join("warnings", " ").alias("warnings"))
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> statements.Statements:
+    t = b.txns(spark, sf_dir)
+    docs = t.groupBy("doc_id").agg(F.sum(F.octet_length("raw")).cast("long").alias("size_bytes"))
+    empty = F.array().cast("array<string>")
+    docs = docs.select("doc_id", F.lit("csv").alias("kind"), "size_bytes", empty.alias("parts"), empty.alias("warnings"))
+    names = {"symbol": "£", "code": "GBP", "name": "British Pound", "detected_by": "symbol"}
+    coins = docs.select("doc_id", *[F.lit(v).alias(k) for k, v in names.items()], F.lit(1.0).alias("confidence"))
+    return statements.Statements(docs, t, coins)
+
+
+@register(f"""
+    WITH {b.TXNS_SQL}, {_EXPECTED}
+    SELECT query_id, t.doc_id, count(*) AS matched, least(count(*), 2000) AS listed, arg_max(description, txn_seq) AS last
+    FROM txns t JOIN q ON {_MATCH} GROUP BY query_id, t.doc_id
+""")
+def sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01, SNK-03: results of statements and searches as they are stored, only where there are matches."""
+    found = statements.sparse_results(_statements(spark, sf_dir), searches(spark).filter("anchor IS NULL")).found
+    return found.select("query_id", "doc_id", "matched", F.size("list").cast("long").alias("listed"), F.element_at("list", -1).description.alias("last"))
+
+
 @register(f"""
     WITH {b.TXNS_SQL}, {_EXPECTED}, d AS (SELECT doc_id, count(*) AS scanned, min(date) AS lo, max(date) AS hi FROM txns GROUP BY doc_id), m AS (
         SELECT query_id, t.doc_id, count(*) AS n, round(sum(CASE WHEN t.direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 4)), 2)::DOUBLE AS net,
@@ -525,13 +546,7 @@ def statement_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01, W2: a nested result document for every statement and search, without matches too."""
-    t = b.txns(spark, sf_dir)
-    docs = t.groupBy("doc_id").agg(F.sum(F.octet_length("raw")).cast("long").alias("size_bytes"))
-    empty = F.array().cast("array<string>")
-    docs = docs.select("doc_id", F.lit("csv").alias("kind"), "size_bytes", empty.alias("parts"), empty.alias("warnings"))
-    names = {"symbol": "£", "code": "GBP", "name": "British Pound", "detected_by": "symbol"}
-    coins = docs.select("doc_id", *[F.lit(v).alias(k) for k, v in names.items()], F.lit(1.0).alias("confidence"))
-    found = statements.search_results(statements.Statements(docs, t, coins), searches(spark).filter("anchor IS NULL"))
+    found = statements.search_results(_statements(spark, sf_dir), searches(spark).filter("anchor IS NULL"))
     return found.select(
         "query_id", "doc_id", "summary.scanned", "summary.matched", F.size("matched").cast("long").alias("listed"), "summary.net", F.get("matched", F.lit(0)).description.alias("top"),
         F.size("warnings").alias("warnings"),

@@ -79,21 +79,47 @@ def results(found: Statements) -> DataFrame:
     return stats.formatted(summary.join(found.currencies, "doc_id", "left"), F.coalesce("symbol", F.lit("")))
 
 
-def search_results(found: Statements, searches: DataFrame) -> DataFrame:
-    """The nested result document of every statement and every (interpreted) search: file, currency,
-    what the search was understood as, summary, both sides, the first matches, warnings."""
+class SearchResults(NamedTuple):
+    """Results of statements x searches without their product: one row per search (as interpreted),
+    one per statement (file, currency, scanned, first and last date), and one for each pair of them
+    with matches or with an anchor found: statistics, the first matches, the anchor."""
+
+    asked: DataFrame
+    docs: DataFrame
+    found: DataFrame
+
+
+def sparse_results(found: Statements, searches: DataFrame) -> SearchResults:
+    """Every statement and every (interpreted) search: what is written grows with the matches."""
     q = kept(searches)
-    docs = found.files.join(found.currencies, "doc_id", "left")
+    docs = found.files.join(found.currencies, "doc_id", "left").join(match.spans(found.txns), "doc_id", "left")
     matched = match.matches(found.txns, q)
-    summary = stats.summarise(matched, *match.KEYS)
     item = F.struct("rank", "date", "time", "description", "amount", "direction", "source")
     listed = match.matched_list(matched).groupBy(*match.KEYS).agg(F.sort_array(F.collect_list(item)).alias("list"))
-    told = match.notices(found.txns, q, docs.select("doc_id", "symbol"))
-    scanned = found.txns.groupBy("doc_id").agg(F.count("*").alias("scanned"))
-    pairs = match.every_pair(docs.withColumnRenamed("warnings", "file_warnings"), q.select("query_id", "text", "keyword", "direction", "date_from", "date_to", "human", "smart"))
-    every = stats.with_empty(summary, pairs, *match.KEYS).drop("warnings")
-    every = every.join(listed, match.KEYS, "left").join(told, match.KEYS, "left").join(scanned, "doc_id", "left")
-    return nested(stats.formatted(every, F.coalesce("symbol", F.lit(""))))
+    rows = stats.summarise(matched, *match.KEYS).join(listed, match.KEYS, "left").join(match.resolve_anchors(found.txns, q), match.KEYS, "full")
+    return SearchResults(q, docs.withColumnRenamed("warnings", "file_warnings"), rows)
+
+
+def spelled_out(results: SearchResults) -> DataFrame:
+    """The nested result document of every statement and every search, those without matches too:
+    file, currency, what the search was understood as, summary, both sides, the first matches, warnings."""
+    asked = results.asked.select("query_id", "text", "keyword", "direction", "date_from", "date_to", "amount_min", "amount_max", "human", "smart", "anchor")
+    every = stats.with_empty(results.found, match.every_pair(results.docs, asked), *match.KEYS).drop("warnings")
+    every = every.withColumn("symbol", F.coalesce("symbol", F.lit(""))).withColumn("notices", F.when(F.col("scanned").isNotNull(), match.notices_of_pair()))
+    return nested(stats.formatted(every, F.col("symbol")))
+
+
+def search_results(found: Statements, searches: DataFrame) -> DataFrame:
+    return spelled_out(sparse_results(found, searches))
+
+
+def write_sparse(results: SearchResults, path: str) -> None:
+    for name, table in results._asdict().items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_sparse(spark: SparkSession, path: str) -> SearchResults:
+    return SearchResults(*[spark.read.parquet(f"{path}/{name}") for name in SearchResults._fields])
 
 
 def nested(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledger_jobs.operators import match, search, search_index
+from ledger_jobs.plans import statements
 
 TEXTS = ["everything in january after rent", "everything after rent", "everything before rent", "everything in march after rent", "shop", "", "everything in february", "everything after lottery"]
 
@@ -93,3 +94,41 @@ def test_cover_is_a_partition(spark):
         assert (not parts) == (a > b) and len(parts) <= 2 * max(1, math.ceil(math.log2(max(2, b - a + 2))))
         if parts:
             assert parts[0][0] == a and parts[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(parts, parts[1:], strict=False))
+
+
+def test_sparse_results_hold_all(spark, tmp_path):
+    rnd = random.Random(5)
+    txns = spark.createDataFrame(some_txns(rnd), TXNS).repartition(3).cache()
+    schema = search.interpret(spark.createDataFrame([(1, "")], "query_id int, text string").withColumn("as_of", F.current_date())).schema
+    q = spark.createDataFrame(some_searches(rnd, schema)[:60], schema)
+    files = spark.createDataFrame([(f"d{k}", "csv", 10, [], []) for k in range(9)], "doc_id string, kind string, size_bytes bigint, parts array<string>, warnings array<string>")
+    coins = spark.createDataFrame([("d0", "£", "GBP", "British Pound", 1.0, "symbol")], "doc_id string, symbol string, code string, name string, confidence double, detected_by string")
+    results = statements.sparse_results(statements.Statements(files, txns, coins), q)
+    statements.write_sparse(results, str(tmp_path / "out"))
+    stored = statements.read_sparse(spark, str(tmp_path / "out"))
+    hits = {(r.query_id, r.doc_id) for r in match.matches(txns, q).select("query_id", "doc_id").distinct().collect()}
+    anchors = {(r.query_id, r.doc_id) for r in match.resolve_anchors(txns, q).collect()}
+    kept = [(r.query_id, r.doc_id) for r in stored.found.select("query_id", "doc_id").collect()]
+    assert sorted(kept) == sorted(hits | anchors) and len(kept) < 60 * 9
+    told = {(r.query_id, r.doc_id): r.notices for r in match.notices(txns, q, coins.select("doc_id", "symbol")).collect()}
+    every = statements.spelled_out(stored).collect()
+    assert len(every) == 60 * 9 and {(r.query_id, r.doc_id) for r in every if r.summary.matched} == hits
+    assert all(r.warnings == told.get((r.query_id, r.doc_id), []) for r in every) and sum(bool(r.warnings) for r in every) > 50
+    assert all((r.summary.matched, r.debit.total, r.matched, r.summary.scanned) == (0, 0.0, [], 0) for r in every if r.doc_id in ("d7", "d8"))
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_cut_lists(spark, monkeypatch, most):
+    """The list ends after ``most`` matches in statement order, and the result says so."""
+    txns = spark.createDataFrame(some_txns(random.Random(6)), TXNS)
+    q = search.interpret(spark.createDataFrame([(1, ""), (2, "shop")], "query_id int, text string").withColumn("as_of", F.lit("2024-01-31").cast("date")))
+    found = match.matches(txns, q).cache()
+    sequence = {}
+    for r in found.orderBy("query_id", "doc_id", "txn_seq").collect():
+        sequence.setdefault((r.query_id, r.doc_id), []).append(r.description)
+    got = {}
+    for r in match.matched_list(found, most).orderBy("query_id", "doc_id", "rank").collect():
+        got.setdefault((r.query_id, r.doc_id), []).append((r["rank"], r.description))
+    assert got == {k: list(enumerate(v[:most], 1)) for k, v in sequence.items()}
+    monkeypatch.setattr(match, "MOST_MATCHES", most)
+    assert {(r.query_id, r.doc_id): r.truncated for r in match.results(found, txns, q).collect()} == {k: len(v) > most for k, v in sequence.items()}
