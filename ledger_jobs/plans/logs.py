@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledger_jobs.operators import traffic
+from ledger_jobs.sources import log_tables
 from ledger_jobs.streaming import streams
 
 #: Logs that expire; feedback is kept.
@@ -21,25 +20,17 @@ def clean(logs: dict[str, DataFrame], places: DataFrame, salt: str) -> dict[str,
     }
 
 
-def append(cleaned: dict[str, DataFrame], path: str) -> None:
-    """Appends batches to the tables below a path, partitioned by UTC day."""
+def append(cleaned: dict[str, DataFrame], path: str, run: str) -> None:
+    """Appends batches to the tables below a path; repeating a ``run`` changes nothing."""
     for name, rows in cleaned.items():
-        rows.withColumn("day", F.to_date(F.timestamp_seconds("ts"))).repartition("day").write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
+        log_tables.append(rows, f"{path}/{name}", run)
+
+
+def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return log_tables.read(spark, f"{path}/{name}")
 
 
 def prune(spark: SparkSession, path: str, older_than_days: int, now: int) -> None:
-    """Drops the days of visits and analyses that are over so many days before ``now`` (epoch
-    seconds) and rewrites the one day that is over in part; other days are not touched."""
-    edge = F.to_date(F.timestamp_seconds(F.lit(now - max(older_than_days, 1) * 86_400)))
+    """Visits and analyses over so many days (one at least) before ``now`` (epoch seconds) expire."""
     for name in EXPIRING:
-        table = spark.read.parquet(f"{path}/{name}")
-        days = table.select("day", edge.alias("edge")).filter("day <= edge").distinct().collect()  # a row a day
-        for row in days:
-            folder = f"{path}/{name}/day={row.day}"
-            if row.day == row.edge:
-                rest = traffic.retained(spark.read.parquet(folder), older_than_days, F.lit(now))
-                rest.write.mode("overwrite").parquet(f"{path}/.{name}-edge")
-                spark.read.schema(rest.schema).parquet(f"{path}/.{name}-edge").write.mode("overwrite").parquet(folder)
-            else:
-                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        log_tables.expire(spark, f"{path}/{name}", now - max(older_than_days, 1) * 86_400)

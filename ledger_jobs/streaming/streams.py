@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledger_jobs.operators import traffic
+from ledger_jobs.sources import log_tables
 
 
 def cleaned_visits(stream: DataFrame, places: DataFrame, salt: str) -> DataFrame:
@@ -38,13 +39,16 @@ def daily_counts(stream: DataFrame, ts: str = "event_time", late: str = "1 day")
 
 
 class FixedWindow(StatefulProcessor):
-    """Window start and count of a key, forgotten when nothing comes for ``keep_ms``."""
+    """Window start and count of a key.  A timer in event time forgets a key ``keep`` seconds after its
+    last request: by then its window is over, so whoever comes back starts a new one either way, and a
+    replay of the stream expires the same keys at the same rows."""
 
-    def __init__(self, window: int, most: int, keep_ms: int):
-        self.window, self.most, self.keep_ms = window, most, keep_ms
+    def __init__(self, window: int, most: int, keep: int):
+        self.window, self.most, self.keep = window, most, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start bigint, n bigint", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.state = handle.getValueState("window", "start bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (None, 0)
@@ -57,21 +61,36 @@ class FixedWindow(StatefulProcessor):
             n += 1
             out.append((key[0], id_, ts, start, n, n <= self.most))
         self.state.update((start, n))
+        forget = (max(start, out[-1][2]) + self.keep) * 1000
+        for timer in list(self.handle.listTimers()):
+            if timer < forget:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(forget)
         yield pd.DataFrame(out, columns=["key", "id", "ts", "window_start", "n", "allowed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def rate_limit(stream: DataFrame, window: int, most: int, keep_ms: int | None = None) -> DataFrame:
+def rate_limit(stream: DataFrame, window: int, most: int, late: str = "1 hour") -> DataFrame:
     """Streams of (key, id, ts) with the number of each request in its window and whether it is
-    allowed; state of a key lives for two windows after its last request."""
-    processor = FixedWindow(window, most, keep_ms or 2_000 * window)
+    allowed.  Requests more than ``late`` behind the newest are dropped, as are those of 1970 (the
+    first watermark) and before; a key is forgotten two windows after its last request, once the
+    watermark is there."""
     schema = "key string, id bigint, ts bigint, window_start bigint, n bigint, allowed boolean"
-    return stream.groupBy("key").transformWithStateInPandas(processor, schema, "Update", "ProcessingTime")
+    timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", late)
+    return timed.groupBy("key").transformWithStateInPandas(FixedWindow(window, most, 2 * window), schema, "Update", "EventTime")
+
+
+def append(stream: DataFrame, table: str, name: str, checkpoint: str):
+    """Appends a stream to a table of logs (``logs.append``), each batch once: a batch that is tried
+    again after a crash replaces what its first try has written."""
 
+    def put(rows: DataFrame, batch: int) -> None:
+        log_tables.append(rows, table, f"{name}-{batch}")
 
-def append(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts"):
-    """Appends to a table partitioned by day, so that retention drops whole folders."""
-    dated = stream.withColumn("day", F.to_date(F.timestamp_seconds(ts)))
-    return dated.writeStream.partitionBy("day").option("checkpointLocation", checkpoint).format("parquet").trigger(availableNow=True).start(path)
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

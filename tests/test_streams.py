@@ -1,14 +1,16 @@
 """Streams give what batches give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledger_jobs.operators import rate
 from ledger_jobs.plans import logs
+from ledger_jobs.sources import log_tables
 from ledger_jobs.streaming import streams
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rows = [(f"k{i % 3}", i, i * 7 + (i % 5)) for i in range(200)]
+    rows = [(f"k{i % 3}", i, 10_000 + i * 7 + (i % 5)) for i in range(200)]
     data = spark.createDataFrame(rows, "key string, id bigint, ts bigint")
     for part in range(2):
         data.filter(F.floor(F.col("id") / 100) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -45,20 +47,30 @@ def raw_logs(spark):
     return {n: spark.createDataFrame(r, RAW[n]) for n, r in (("visits", visits), ("analyses", analyses), ("feedback", feedback))}
 
 
-def test_logs_by_day_and_retention(spark, tmp_path):
+def test_logs_by_day_and_retention(spark, tmp_path, monkeypatch):
     places = spark.createDataFrame([("8.8.8.8", "Chile", "r", "c")], "ip string, country string, region string, city string")
     cleaned = logs.clean(raw_logs(spark), places, "salt")
     path = str(tmp_path / "logs")
-    logs.append(cleaned, path)
-    visits = spark.read.parquet(f"{path}/visits")
+    logs.append(cleaned, path, "run-1")
+    logs.append(cleaned, path, "run-1")  # again, as after a crash
+    visits = logs.stored(spark, path, "visits")
+    assert visits.count() == 12
     assert sorted({(r.country, r.visitor[:2], r.referrer, r.device) for r in visits.collect()}) == [(c, "v-", "a.org", "Desktop · Firefox") for c in ("Chile", "Local", "Peru")]
-    assert [(r.stars, r.would_pay, r.review) for r in spark.read.parquet(f"{path}/feedback").collect()] == [(5, "yes", "good")]
-    now = 19_700 * DAY + 6 * DAY
+    assert [(r.stars, r.would_pay, r.review) for r in logs.stored(spark, path, "feedback").collect()] == [(5, "yes", "good")]
+    now, want = 19_700 * DAY + 6 * DAY + 600, [19_700 * DAY + k * DAY // 2 for k in range(9, 12)]  # within the day of rows 8 and 9
+    with monkeypatch.context() as broken:
+        broken.setattr(log_tables, "drop_expired", lambda *_: 1 / 0)
+        for name in logs.EXPIRING:
+            with pytest.raises(ZeroDivisionError):  # a crash before anything is deleted
+                log_tables.expire(spark, f"{path}/{name}", now - 2 * DAY)
+            assert sorted(r.ts for r in logs.stored(spark, path, name).collect()) == want
     logs.prune(spark, path, 2, now)
+    logs.prune(spark, path, 3, now)  # a limit never moves back
     for name in logs.EXPIRING:
-        left = spark.read.parquet(f"{path}/{name}")
-        assert sorted(r.ts for r in left.collect()) == [19_700 * DAY + k * DAY // 2 for k in range(8, 12)]
-    assert spark.read.parquet(f"{path}/feedback").count() == 1
+        assert sorted(r.ts for r in logs.stored(spark, path, name).collect()) == want
+        assert sorted(p.name for p in (tmp_path / "logs" / name).glob("day=*")) == ["day=2023-12-13", "day=2023-12-14"]
+    logs.append({"visits": cleaned["visits"].limit(0)}, path, "run-2")
+    assert logs.stored(spark, path, "visits").count() == 3 and logs.stored(spark, path, "feedback").count() == 1
 
 
 def test_log_streams_equal_batches(spark, tmp_path):
@@ -68,7 +80,52 @@ def test_log_streams_equal_batches(spark, tmp_path):
         rows.repartition(2).write.parquet(str(tmp_path / "in" / name))
     live = logs.clean({n: spark.readStream.schema(RAW[n]).parquet(str(tmp_path / "in" / n)) for n in RAW}, places, "salt")
     for name, stream in live.items():
-        streams.append(stream, str(tmp_path / "out" / name), str(tmp_path / "cp" / name)).awaitTermination(120)
+        streams.append(stream, str(tmp_path / "out" / name), "live", str(tmp_path / "cp" / name)).awaitTermination(120)
     for name, batch in logs.clean(raw, places, "salt").items():
-        got = spark.read.parquet(str(tmp_path / "out" / name)).select(*batch.columns)
+        got = log_tables.read(spark, str(tmp_path / "out" / name)).select(*batch.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect())), name
+
+
+def test_batch_tried_again_is_in_the_table_once(spark, tmp_path, monkeypatch):
+    """The query dies after a batch is written and before it is committed, and starts again."""
+    rows = spark.range(40).select("id", (F.lit(19_700 * DAY) + F.col("id") * 7_000).alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("id bigint, ts bigint").parquet(str(tmp_path / "in"))
+    table, write = str(tmp_path / "out"), log_tables.append
+
+    def dies(*args):
+        write(*args)
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(log_tables, "append", dies)
+    with pytest.raises(Exception, match="gone"):
+        streams.append(source(), table, "live", str(tmp_path / "cp")).awaitTermination(120)
+    assert log_tables.read(spark, table).count() == 40
+    monkeypatch.setattr(log_tables, "append", write)
+    streams.append(source(), table, "live", str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.id for r in log_tables.read(spark, table).collect()) == list(range(40))
+
+
+def test_keys_expire_in_event_time(spark, tmp_path):
+    """A key is forgotten once the watermark is two windows past it, rows behind the watermark are
+    dropped, and a query that starts again goes on counting."""
+    batches = [
+        [("a", 1, 1000), ("a", 2, 1010), ("b", 3, 1020)],
+        [("a", 4, 1030)],  # after a restart: the third of its window
+        [("c", 5, 5000)],  # the watermark moves to 4990
+        [("a", 6, 900), ("d", 7, 5001)],  # behind the watermark
+        [("a", 8, 5020), ("c", 9, 5021)],
+    ]
+    got, kept = [], []
+
+    def put(rows, _):
+        got.extend(tuple(r) for r in rows.select("key", "id", "window_start", "n").collect())
+
+    for batch in batches:
+        spark.createDataFrame(batch, "key string, id bigint, ts bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("key string, id bigint, ts bigint").parquet(str(tmp_path / "in"))
+        query = streams.rate_limit(stream, 60, 3, "10 seconds").writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.awaitTermination(120)
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert sorted(got, key=lambda r: r[1]) == [("a", 1, 1000, 1), ("a", 2, 1000, 2), ("b", 3, 1000 + 20, 1), ("a", 4, 1000, 3), ("c", 5, 5000, 1), ("d", 7, 5001, 1), ("a", 8, 5020, 1), ("c", 9, 5000, 2)]
+    assert kept == [2, 2, 1, 2, 3]  # a and b went when c moved the watermark
