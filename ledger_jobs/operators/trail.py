@@ -3,8 +3,8 @@
 Consecutive transactions up to each printed balance form a group whose signed amounts must add up
 to the change of the balance.  Groups are numbered by windows over one partitioning by statement
 block, in file order and in reverse.  A group of one transaction is solved by an expression where it
-is; only the rows of larger ones (16 at most) leave, to try signs in numpy, all groups of one size
-of a batch in one pass.  Groups without a change of balance are never gathered.
+is; only the rows of larger ones (16 at most) leave, to try signs in numpy: all groups of one size
+of a batch in one pass, or, from nine rows on, each by two halves of its signs.  Groups without a change of balance are never gathered.
 """
 
 from __future__ import annotations
@@ -23,16 +23,18 @@ def cents(x: Column) -> Column:
     return F.round(x * 100).cast("long")
 
 
-#: Numbers that one batch of sign trials may hold.
-_TRIALS = 1 << 22
+#: Numbers that one batch of sign trials may hold, and the size from which groups are tried by halves.
+_TRIALS, HALVED = 1 << 22, 9
 
 
-def best_signs(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups of one size (rows of ``amounts`` and of the guess ``credit``) the signs (credit or
-    not) whose sum is the group's delta, with the fewest changes of the guess; of several, the
-    smallest as a binary number whose lowest digit is the first amount.  Also whether there are any."""
+def _masks(k: int) -> np.ndarray:
+    return (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+
+
+def _whole(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_signs`` by all signs of all groups at once."""
     n, k = amounts.shape
-    masks = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+    masks = _masks(k)
     signs, found = np.zeros((n, k), bool), np.zeros(n, bool)
     for at in range(0, n, max(1, _TRIALS >> k)):
         part = slice(at, at + max(1, _TRIALS >> k))
@@ -44,6 +46,34 @@ def best_signs(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> t
     return signs, found
 
 
+def _by_halves(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_signs`` by meeting in the middle: the sums of the later half are sorted, each with its
+    fewest changes and smallest number first, and each sum of the earlier half looks up what it lacks."""
+    n, k = amounts.shape
+    half = k // 2
+    low, high = _masks(half), _masks(k - half)
+    signs, found = np.zeros((n, k), bool), np.zeros(n, bool)
+    early, late = amounts[:, :half] @ (2 * low - 1).T, amounts[:, half:] @ (2 * high - 1).T
+    for g in range(n):
+        changed_low, changed_high = (low != credit[g, :half]).sum(1), (high != credit[g, half:]).sum(1)
+        order = np.lexsort((changed_high, late[g]))  # stable: of equal ones the smallest number is first
+        sums = late[g][order]
+        at = np.searchsorted(sums, deltas[g] - early[g])
+        i = np.flatnonzero((at < len(sums)) & (sums[np.minimum(at, len(sums) - 1)] == deltas[g] - early[g]))
+        if len(i):
+            j = order[at[i]]
+            best = np.lexsort((i, j, changed_low[i] + changed_high[j]))[0]
+            signs[g], found[g] = np.concatenate((low[i[best]], high[j[best]])) == 1, True
+    return signs, found
+
+
+def best_signs(amounts: np.ndarray, credit: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of one size (rows of ``amounts`` and of the guess ``credit``) the signs (credit or
+    not) whose sum is the group's delta, with the fewest changes of the guess; of several, the
+    smallest as a binary number whose lowest digit is the first amount.  Also whether there are any."""
+    return (_whole if amounts.shape[1] < HALVED else _by_halves)(amounts, credit, deltas)
+
+
 @F.pandas_udf(_SOLVED)
 def _solve(amounts: pd.Series, credits: pd.Series, deltas: pd.Series) -> pd.Series:
     sizes, out = amounts.map(len).to_numpy(), np.empty(len(amounts), object)
