@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledger_jobs.functions.formats import human_size
 from ledger_jobs.functions.money import fmt_money
 from ledger_jobs.operators import currency, lines, match, stats, tables
-from ledger_jobs.sources import files, records
+from ledger_jobs.sources import files, large_files, records
 from ledger_jobs.sources.shared import kept
 
 SIDES = ("debit", "credit")
@@ -26,24 +26,43 @@ class Statements(NamedTuple):
     currencies: DataFrame
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str, without: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, texts) of all files and archive members below a path, each written once."""
-    members = kept(files.expand(files.load(spark, path)))
+    loaded = files.load(spark, path)
+    members = kept(files.expand(loaded.filter(~F.col("doc_id").isin(without)) if without else loaded))
     return members.drop("content"), kept(files.kinds(files.decode(members)))
 
 
+def read_and_parse(spark: SparkSession, path: str, as_of_year: int, large_bytes: int = large_files.LARGE_BYTES) -> Statements:
+    """W1 over a folder: delimited files over ``large_bytes`` are read by many tasks each, if they have
+    a record per line, and all other files whole."""
+    large = large_files.listed(spark, path, large_bytes)
+    paths = [r.doc_id for r in large.select("doc_id").collect()]
+    if not paths:
+        return parse(*read(spark, path), as_of_year)
+    cells, others = large_files.cells(spark, paths)
+    members, texts = read(spark, path, [p for p in paths if p not in others])
+    large = large.filter(~F.col("doc_id").isin(others)) if others else large
+    none = F.lit(None).cast("string")
+    place = ["doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), none.alias("part"), "size_bytes", F.lit(0).cast("bigint").alias("offset")]
+    members = members.unionByName(large.select(*place, none.alias("warning")))
+    # such a file's text is in the cells; an empty one stands for its kind
+    empty = large.select("doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), "size_bytes", F.lit(0).cast("bigint").alias("offset"), F.lit("").alias("text"))
+    return parse(members, texts.unionByName(files.kinds(empty)), as_of_year, cells)
+
+
 def transactions(cells: DataFrame, blocks: DataFrame | None, as_of_year: int) -> DataFrame:
     """Transactions of tables and of blocks of text, if any, in the order of their statement."""
     found = tables.transactions(cells)
     return tables.sequenced(found if blocks is None else found.unionByName(lines.transactions(blocks, as_of_year)))
 
 
-def parse(members: DataFrame, texts: DataFrame, as_of_year: int) -> Statements:
+def parse(members: DataFrame, texts: DataFrame, as_of_year: int, more_cells: DataFrame | None = None) -> Statements:
     """Everything that is known of a corpus, whose ``texts`` are a written table, before anybody
-    searches it."""
+    searches it.  ``more_cells``: cells of files that are not among the texts."""
     kinds = records.kinds_in(texts)
     cells, blocks = records.table_cells(texts, kinds)
-    cells, blocks = kept(cells), blocks if "text" in kinds else None
+    cells, blocks = kept(cells if more_cells is None else cells.unionByName(more_cells)), blocks if "text" in kinds else None
     rows = cells.filter("cells IS NOT NULL")
     txns = kept(transactions(rows, blocks, as_of_year))
     looked_at = rows.select("doc_id", "at", F.array_join("cells", " ").alias("text"))

@@ -32,7 +32,7 @@ LEAST_AMOUNTS = 3
 FIELD = r"(?i)^\s*(date|description|amount|balance):"
 
 
-def _readable(rows) -> Iterator[list[str] | None]:
+def readable(rows) -> Iterator[list[str] | None]:
     """The rows of a reader; None for each that it cannot read."""
     while True:
         try:
@@ -49,7 +49,7 @@ def _delimited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(1 << 30)
     for batch in batches:
         for doc, block, source, offset, text, mark in zip(*(batch.column(c).to_pylist() for c in (*BLOCK, "offset", "text", "delimiter")), strict=True):
-            every = list(_readable(csv.reader(io.StringIO(text, newline=""), delimiter=mark)))
+            every = list(readable(csv.reader(io.StringIO(text, newline=""), delimiter=mark)))
             rows = [r for r in every if r is not None]
             warnings = [None] * len(rows)
             if bad := len(every) - len(rows):
