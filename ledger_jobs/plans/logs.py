@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledger_jobs.operators import traffic
 from ledger_jobs.sources import log_tables
 from ledger_jobs.streaming import streams
 
@@ -26,6 +27,11 @@ def append(cleaned: dict[str, DataFrame], path: str, run: str) -> None:
         log_tables.append(rows, f"{path}/{name}", run)
 
 
+def append_sketches(cleaned: dict[str, DataFrame], path: str, run: str) -> None:
+    """Sketches of a batch's visits beside the tables; those of all batches of a day are merged when read."""
+    log_tables.append(traffic.sketches(cleaned["visits"]).drop("day"), f"{path}/visit_sketches", run)
+
+
 def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     return log_tables.read(spark, f"{path}/{name}")
 

@@ -628,6 +628,19 @@ def visits_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.by_day(b.visits(spark, sf_dir))
 
 
+@register(f"""
+    WITH {VISITS_SQL} SELECT country, count(*) AS n, count(DISTINCT visitor) AS visitors, true AS near FROM visits GROUP BY country
+""")
+def sketched_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-05, STR-03: visitors of each country from sketches of its days, beside the exact number;
+    ``near`` is within 4 %, over four standard errors, or within one visitor."""
+    v = b.visits(spark, sf_dir)
+    about = traffic.from_sketches(kept(traffic.sketches(v)), "country").select("country", "n", F.col("visitors").alias("about"))
+    exact = v.groupBy("country").agg(F.count_distinct("visitor").alias("visitors"))
+    near = F.abs(F.col("about") - F.col("visitors")) <= F.greatest(F.col("visitors") * 0.04, F.lit(1.0))
+    return about.join(exact, "country").select("country", "n", "visitors", near.alias("near"))
+
+
 @register(f"WITH {VISITS_SQL} SELECT id, ts, substr(visitor, 1, 8) AS visitor, country FROM visits ORDER BY id DESC LIMIT 80")
 def newest_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-02."""

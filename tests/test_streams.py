@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledger_jobs.operators import rate
+from ledger_jobs.operators import rate, traffic
 from ledger_jobs.plans import logs
 from ledger_jobs.sources import log_tables
 from ledger_jobs.streaming import streams
@@ -129,3 +129,23 @@ def test_keys_expire_in_event_time(spark, tmp_path):
         kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
     assert sorted(got, key=lambda r: r[1]) == [("a", 1, 1000, 1), ("a", 2, 1000, 2), ("b", 3, 1000 + 20, 1), ("a", 4, 1000, 3), ("c", 5, 5000, 1), ("d", 7, 5001, 1), ("a", 8, 5020, 1), ("c", 9, 5000, 2)]
     assert kept == [2, 2, 1, 2, 3]  # a and b went when c moved the watermark
+
+
+def test_sketches_merge_over_days_and_batches(spark, tmp_path):
+    """Counts from stored sketches lie within four standard errors, however batches cut the days."""
+    rows = spark.range(200_000).select(
+        "id", (F.lit(19_700 * DAY) + F.col("id") % (3 * DAY)).alias("ts"), F.concat(F.lit("v"), (F.col("id") * 7919 % 60_000).cast("string")).alias("visitor"),
+        F.concat(F.lit("a"), (F.col("id") % 9).cast("string")).alias("ip_hash"), F.when(F.col("id") % 5 == 0, "Peru").otherwise("Chile").alias("country"),
+    )
+    for part in range(3):
+        logs.append_sketches({"visits": rows.filter(F.col("id") % 3 == part)}, str(tmp_path), f"run-{part}")
+    logs.append_sketches({"visits": rows.filter("id % 3 = 1")}, str(tmp_path), "run-1")  # again
+    stored = logs.stored(spark, str(tmp_path), "visit_sketches")
+    error = 4 * 1.04 / 2 ** (traffic.SKETCH / 2)
+    for keys in ((), ("country",), ("day",), ("day", "country")):
+        dated = rows.withColumn("day", F.to_date(F.timestamp_seconds("ts")))
+        want = {tuple(r[k] for k in keys): r for r in dated.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("visitor").alias("visitors"), F.count_distinct("ip_hash").alias("ips")).collect()}
+        got = {tuple(r[k] for k in keys): r for r in traffic.from_sketches(stored, *keys).collect()}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            assert r.n == want[k].n and r.ips == want[k].ips and abs(r.visitors - want[k].visitors) <= error * want[k].visitors
