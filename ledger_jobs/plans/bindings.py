@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -247,3 +253,32 @@ def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_no"), name.alias("source"), F.octet_length(content).cast("long").alias("size_bytes"),
         F.lit(0).cast("long").alias("offset"), content.alias("content"),
     )
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "kind")), strict=True):
+            name, data, how = f"{doc}.{kind}", text.encode(), int(doc) % 3
+            box = io.BytesIO()
+            if how == 1:
+                with tarfile.open(fileobj=box, mode="w:gz") as tar:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+            else:
+                with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as plain:
+                    plain.writestr(name, data)
+            content = box.getvalue()
+            if how == 2:
+                box = io.BytesIO()
+                with zipfile.ZipFile(box, "w", zipfile.ZIP_STORED) as outer:
+                    outer.writestr("bad.csv", b"damaged below")
+                    outer.writestr("inner.zip", content)
+                content = box.getvalue().replace(b"damaged below", b"damaged here!", 1)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{doc}{('.zip', '.tgz', '')[how]}"]), pa.array([content], pa.binary())], names=["doc_id", "content"])
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_texts`` as files of archives: zip, tar and gzip, and, without an ending, a zip with a
+    damaged member and another zip inside."""
+    return table_texts(spark, sf_dir).select("doc_id", "text", "kind").mapInArrow(_packed, "doc_id string, content binary")

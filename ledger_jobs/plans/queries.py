@@ -499,6 +499,30 @@ def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.kinds(files.decode(b.encoded_files(spark, sf_dir))).select("doc_id", F.sha2("text", 256).alias("digest"), "kind")
 
 
+def _of_archives(spark: SparkSession, sf_dir: str) -> statements.Statements:
+    members = kept(files.expand(b.archives(spark, sf_dir)))
+    return statements.parse(members.drop("content"), kept(files.kinds(files.decode(members))), 1998)
+
+
+@register(f"SELECT * FROM (WITH {b.PLAIN_SQL} SELECT doc_id, txn_seq, date, description, amount, direction FROM plain)")
+def archived_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SET-02: orders in archives, some nested and with damaged members, read back."""
+    found = _of_archives(spark, sf_dir).txns.withColumn("doc_id", F.substring_index("doc_id", ".", 1))
+    return found.select("doc_id", "txn_seq", "date", "description", "amount", "direction")
+
+
+@register("""
+    WITH d AS (SELECT DISTINCT o_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+    f AS (SELECT k, k || CASE WHEN k % 4 = 3 THEN '.tsv' ELSE '.csv' END AS member FROM d)
+    SELECT k || ['.zip', '.tgz', ''][(k % 3 + 1)::INTEGER] AS doc_id, 'archive' AS kind, CASE WHEN k % 3 = 2 THEN member || ', inner.zip' ELSE member END AS parts,
+           CASE WHEN k % 3 = 2 THEN 'Archive member ''bad.csv'' unreadable: Bad CRC-32 for file ''bad.csv''' ELSE '' END AS warnings FROM f
+""")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SET-01: what archives hold, and warnings of members that cannot be read."""
+    found = _of_archives(spark, sf_dir).files
+    return found.select("doc_id", "kind", F.array_join("parts", ", ").alias("parts"), F.array_join("warnings", ", ").alias("warnings"))
+
+
 @register(f"""
     WITH {b.PLAIN_SQL}, s AS (SELECT doc_id, count(*) AS n, {_SUMMARY_SQL} FROM plain GROUP BY doc_id)
     SELECT c_custkey::VARCHAR AS doc_id, coalesce(n, 0) AS matched, coalesce(debit_total, 0) AS debit_total, coalesce(credit_total, 0) AS credit_total, coalesce(net, 0) AS net,
