@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions.formats import human_size
@@ -71,6 +71,24 @@ def parse(members: DataFrame, texts: DataFrame, as_of_year: int, more_cells: Dat
     return Statements(_files(members, texts, cells, blocks, txns), txns, currency.detect(looked_at))
 
 
+def parse_sheets(sheets: DataFrame, as_of_year: int) -> Statements:
+    """Workbooks whose sheets are already rows of cells (``workbook, sheet_no, sheet, line_no, cells``):
+    each is a statement, read from its largest sheet, with a warning that names the others."""
+    primary = kept(tables.primary_sheets(sheets))
+    width = F.aggregate("cells", F.lit(0).cast("bigint"), lambda n, c: n + F.coalesce(F.octet_length(c), F.lit(0)) + 1)
+    before = F.sum(width).over(Window.partitionBy("doc_id").orderBy("line_no")) - width
+    none = F.lit(None).cast("string")
+    cells = tables.sheet_cells(primary).select("doc_id", "block_no", "source", "line_no", before.alias("at"), "cells", none.alias("warning"))
+    told = tables.skipped_sheets(primary).select(
+        "doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source"), F.lit(0).alias("line_no"), F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("array<string>").alias("cells"), "warning"
+    )
+    books = kept(sheets.groupBy(F.col("workbook").cast("string").alias("doc_id")).agg(F.sum(width).alias("size_bytes")))
+    place = ["doc_id", F.lit(0).alias("block_no"), F.col("doc_id").alias("source")]
+    members = books.select(*place, none.alias("part"), "size_bytes", F.lit(0).cast("bigint").alias("offset"), none.alias("warning"))
+    texts = books.select(*place, "size_bytes", F.lit(0).cast("bigint").alias("offset"), F.lit("").alias("text"), F.lit("spreadsheet").alias("kind"))
+    return parse(members, texts, as_of_year, cells.unionByName(told))
+
+
 def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataFrame | None, txns: DataFrame) -> DataFrame:
     """One row per statement, with the names of its parts and its warnings in their order."""
     named = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "part"))), lambda x: x.part), lambda p: p.isNotNull())
@@ -94,7 +112,8 @@ def _files(members: DataFrame, texts: DataFrame, cells: DataFrame, blocks: DataF
 
 def results(found: Statements) -> DataFrame:
     """One row per statement: currency, both sides, net as text, warnings; zeros without transactions."""
-    summary = stats.with_empty(stats.summarise(found.txns, "doc_id"), found.files, "doc_id")
+    named = found.files.withColumnRenamed("warnings", "file_warnings")  # these tell of empty statements too
+    summary = stats.with_empty(stats.summarise(found.txns, "doc_id"), named, "doc_id").drop("warnings").withColumnRenamed("file_warnings", "warnings")
     return stats.formatted(summary.join(found.currencies, "doc_id", "left"), F.coalesce("symbol", F.lit("")))
 
 
