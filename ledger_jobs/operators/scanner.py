@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ledger_jobs.functions.dates import FULL_MONTHS, MONTHS
 from ledger_jobs.functions.money import SYMBOLS
+from ledger_jobs.operators import wording
+from ledger_jobs.operators.wording import Phrase, Wording
 
 BETWEEN = "\x00"
 #: White space of patterns, and white space in the Unicode sense.
@@ -47,37 +49,10 @@ LABELS = {
     "date": ("date",),
 }
 _LABEL = {x: re.compile(rf"(?<!{_LETTER}){x}(?!{_LETTER})") for labels in LABELS.values() for x in labels}
-# Wording of summary lines, each as words of which one from every group follows the other.
-SUMMARY = (
-    (("brought", "carried"), ("forward",)),
-    (("opening", "closing", "start", "starting", "end", "ending", "previous", "new", "final"), ("balance",)),
-)
-BALANCE_AT = ("on", "at", rf"as{_S}+at", "b/f", "c/f")
-TOTAL_OF = ("paid", "money", "payments?", "receipts?", "debits?", "credits?", "withdrawals?", "deposits?", r"in\b", r"out\b", "amount")
-OPENING = (("brought",), ("forward",)), (("opening", "start", "starting", "previous"), ("balance",))
-# Wording of lines that are no transactions unless they have a date of their own.
-NOISE_WORDS = ("aer", "ear", "apr", "gross", "iban", "bic", "swift", "fscs", "limit")
-NOISE_PHRASES = (
-    "overdraft", rf"interest{_S}+rate", rf"sort{_S}*code", rf"account{_S}+(?:number|no\b|name)", rf"page{_S}+[0-9]+",
-    rf"compensation{_S}+scheme", rf"statement{_S}+(?:period|date|number|no\b)", "%", rf"protected{_S}+up{_S}+to",
-)
-
-
-def _either(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-def _phrases(groups) -> str:
-    return "|".join(f"{_S}+".join(_either(g) for g in words) for words in groups)
-
-
-IS_SUMMARY = re.compile(rf"\b(?:{_phrases(SUMMARY)}|balance{_S}+{_either(BALANCE_AT)}\b|total{_S}+{_either(TOTAL_OF)}|totals?{_S}*:)")
-IS_OPENING = re.compile(rf"\b(?:b/f|{_phrases(OPENING)})")
-IS_NOISE = re.compile(rf"\b{_either(NOISE_WORDS)}\b|{_either(NOISE_PHRASES)}")
-#: Words without one of which a line cannot match.
-SUMMARY_HINT, OPENING_HINT = re.compile("forward|balance|total"), re.compile("forward|balance|b/f")
-NOISE_HINT = re.compile("|".join((*NOISE_WORDS, *(re.match("[a-z]+|%", p)[0] for p in NOISE_PHRASES))))
-HEADER_HINT = re.compile("date|balance")
+SUMMARY = wording.Wording(wording.SUMMARY, ("forward", "balance", "total"))
+OPENING = wording.Wording(wording.OPENING, ("forward", "balance", "b/f"))
+NOISE = wording.Wording(wording.NOISE, tuple(dict.fromkeys(Phrase.of(p).words[0] for p in wording.NOISE)))
+HEADER_HINTS = ("date", "balance")
 
 _D, _W = "[0-9]{1,2}", "[a-z]{3,9}"
 #: Dates as they stand in lines: year first, numbers, day-month-year with a name, month name first.
@@ -93,7 +68,7 @@ YEARLESS = (
     (re.compile(rf"([0-9](?<!\w[0-9])[0-9]?){_NTH}{_S}+({_MONTH})[a-z]*\b"), 2, 1),
     (re.compile(rf"({_MONTH})(?<!\w[a-z]{{3}})[a-z]*{_S}+([0-9]{{1,2}}){_NTH}\b"), 1, 2),
 )
-_NAME = _either(tuple(sorted({*MONTHS, *FULL_MONTHS}, key=len, reverse=True)))
+_NAME = "(?:" + "|".join(sorted({*MONTHS, *FULL_MONTHS}, key=len, reverse=True)) + ")"
 _GAP = rf"(?:{_S}*|-)"
 _ISO = re.compile(rf"([0-9]{{4}})([-/])({_D})\2({_D})t*")
 _FIGURES = re.compile(rf"({_D})([-/.])({_D})\2([0-9]{{4}}|[0-9]{{2}})")
@@ -173,16 +148,23 @@ class Lines:
     def low_line(self, k: int) -> str:
         return self.low[self.start[k] : self.start[k] + len(self.lines[k])]
 
-    def first(self, pattern: re.Pattern, hint: re.Pattern) -> dict[int, re.Match]:
-        """The first match of each line, looked for where a hint stands."""
-        hinted = np.unique(self.finds(hint, self.low)[0]).tolist()
-        return {k: m for k in hinted if (m := pattern.search(self.low_line(k)))}
+    def hinted(self, *hints: str) -> list[int]:
+        """The lines in which one of some pieces of text stands."""
+        return np.unique(self.finds(re.compile("|".join(map(re.escape, hints))), self.low)[0]).tolist()
 
-    def has(self, pattern: re.Pattern, hint: re.Pattern) -> np.ndarray:
+    def has(self, words: Wording) -> np.ndarray:
         found = np.zeros(len(self.lines), bool)
-        found[list(self.first(pattern, hint))] = True
+        found[[k for k in self.hinted(*words.hints) if words.said(self.low_line(k))]] = True
         return found
 
+    def ends(self, words: Wording) -> np.ndarray:
+        """Where the first phrase of each line ends; -1 where there is none."""
+        out = np.full(len(self.lines), -1, np.int32)
+        for k in self.hinted(*words.hints):
+            if found := words.find(self.low_line(k)):
+                out[k] = found[1]
+        return out
+
     def figures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, start, stop, value, negative) of all figures.  Negative is what has a minus or a
         bracket before it (also before its symbol), or a minus, DR or OD behind it."""
@@ -205,7 +187,7 @@ class Lines:
         something; else the places are null."""
         out: list[dict | None] = [None] * len(self.lines)
         with_figures = set(self.finds(FIGURE, self.text)[0].tolist())
-        for k in self.first(HEADER_HINT, HEADER_HINT):
+        for k in self.hinted(*HEADER_HINTS):
             if k in with_figures:
                 continue
             line = self.lines[k]
@@ -284,13 +266,11 @@ def said(lines: list[str], ends: list[dt.date | None], as_of_year: int) -> dict[
     found = Lines(lines)
     full = found.dates()
     short = found.yearless([as_of_year if e is None else e.year for e in ends], ends)
-    opening = np.full(len(lines), -1, np.int32)
-    for k, m in found.first(IS_OPENING, OPENING_HINT).items():
-        opening[k] = m.end()
+    opening = found.ends(OPENING)
     without = lambda spans: pa.array([None if s is None else rest_of(x, s[1], s[2]) for x, s in zip(lines, spans, strict=True)], pa.string())
     return {
         "header": pa.array(found.headers(), _HEADER), "amounts": figure_lists(found), "full": _dated(full), "short": _dated(short),
-        "summary": pa.array(found.has(IS_SUMMARY, SUMMARY_HINT)), "noise": pa.array(found.has(IS_NOISE, NOISE_HINT)), "indent": pa.array(list(map(indent_of, lines)), pa.int32()),
+        "summary": pa.array(found.has(SUMMARY)), "noise": pa.array(found.has(NOISE)), "indent": pa.array(list(map(indent_of, lines)), pa.int32()),
         "opening_end": pa.array(opening, mask=opening < 0), "text_plain": pa.array([rest_of(x) for x in lines], pa.string()),
         "text_full": without(full), "text_short": without(short),
     }

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from ledger_jobs.functions import dates
-from ledger_jobs.operators import scanner
+from ledger_jobs.operators import scanner, wording
 
 D = dt.date
 LINES = [
@@ -44,6 +45,22 @@ def test_wording_and_places():
     assert take("text_plain")[:4] == ["BALANCE BROUGHT FORWARD", "Closing balance on 3 May", "total paid in", "Totals :"]
 
 
+def test_phrases_against_patterns():
+    rnd = random.Random(7)
+    tables = ((wording.SUMMARY, scanner.SUMMARY), (wording.OPENING, scanner.OPENING), (wording.NOISE, scanner.NOISE))
+    bits = sorted({w for table, _ in tables for p in table for w in p.strip("*").split(" ")} | {"x", "_", "7", "é", "forwarded", "12", ":", "a"})
+    lines = ["".join(rnd.choice(bits) + rnd.choice((" ", " ", " ", "  ", "\t", "", "x", ".")) for _ in range(rnd.randint(1, 6))) for _ in range(4000)]
+    # pairs of words that belong together, so that phrases occur often
+    lines += [rnd.choice(("", "x", " ", "9 ")) + p.strip("*").replace("#", "3").replace(" ", rnd.choice((" ", " \t", ""))) + rnd.choice(("", "s", " x", "_", "/")) for table, _ in tables for p in table for _ in range(20)]
+    for table, words in tables:
+        one = lambda p: ("" if p.startswith("*") else r"\b") + re.escape(p.strip("*")).replace(r"\ ", r"[ \t]+").replace(r"\#", "[0-9]") + ("" if p.endswith("*") else r"\b")
+        pattern = re.compile("|".join(map(one, sorted(table, key=len))))
+        expected = [m.span() if (m := pattern.search(x)) else None for x in lines]
+        assert sum(e is not None for e in expected) > 100
+        assert [x for x, e in zip(lines, expected, strict=True) if words.find(x) != e or words.said(x) != bool(e)] == []
+        assert scanner.Lines(lines).ends(words).tolist() == [e[1] if e else -1 for e in expected]
+
+
 def test_headers():
     lines = ["Date   Details   Paid out   Paid in   Balance", "Date Details Money out Money in", "date amount 5.00 balance", "Amount    Balance", "Amount Date", "credits  debits balance", "undated"]
     got = scanner.said(lines, [None] * len(lines), 2024)["header"].to_pylist()
