@@ -224,6 +224,21 @@ def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_texts(_statement(t, head, line), F.lit("text"))
 
 
+def unplaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as column statements whose labels and figures stand one space apart, so that places
+    say nothing.  By user, money out is told by a minus, by the wording, or only by the balance
+    behind each figure."""
+    how, debit = F.col("doc_id").cast("long") % 3, F.col("direction") == "debit"
+    signed = F.when(debit, -F.col("amount")).otherwise(F.col("amount")).cast("decimal(20,2)")
+    t = txns(spark, sf_dir).withColumn("level", F.sum(signed).over(Window.partitionBy("doc_id").orderBy("txn_seq")) + 1000)
+    sign, words = F.when((how == 0) & debit, "-").otherwise(""), F.when(how == 1, F.when(debit, "paid to ").otherwise("received ")).otherwise("")
+    line = F.concat_ws(
+        " ", F.date_format("date", "dd MMM yyyy"), F.concat(words, "description"), F.concat(sign, F.format_number("amount", 2)), F.when(how == 2, F.format_number("level", 2))
+    )
+    texts = _statement(t, F.lit("Date Details Amount Balance\nOpening balance 1,000.00"), line)
+    return as_texts(texts.withColumn("text", F.concat("text", F.lit("\nTotal paid in 5.00\nClosing balance 6.00"))), F.lit("text"))
+
+
 def wrapped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` of users with five at least as wrapped rows with clock times; a second account
     behind them is not read."""

@@ -381,6 +381,41 @@ def anchored_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.matches(t, q).select(*match.KEYS, "txn_seq")
 
 
+#: (query_id, text): anchors together with other conditions.
+ANCHORED = [
+    (1, "view over 100 within 24 hours after error"),
+    (2, "money out between 20 and 300 within 36 hours before signup"),
+    (3, "click in january 2024 around error within 6 hours"),
+    (4, "how much did I spend last 10 days after purchase 0.1k"),
+]
+
+
+@register(f"""
+    WITH {b.TXNS_SQL}, q(query_id, keyword, direction, amount_min, amount_max, date_from, date_to, word, least, most, side, hours) AS (VALUES
+        (1, 'view', NULL, 100.0, NULL, NULL::DATE, NULL::DATE, 'error', 0, 1e18, 'after', 24),
+        (2, '', 'debit', 20.0, 300.0, NULL, NULL, 'signup', 0, 1e18, 'before', 36),
+        (3, 'click', NULL, NULL, NULL, DATE '2024-01-01', DATE '2024-01-31', 'error', 0, 1e18, 'around', 6),
+        (4, '', 'debit', NULL, NULL, DATE '2024-01-21', DATE '2024-01-31', '', 50, 150, 'after', 12)
+    ), a AS (
+        SELECT q.query_id, t.*, row_number() OVER (PARTITION BY q.query_id, doc_id ORDER BY txn_seq) AS r
+        FROM txns t JOIN q ON contains(description, word) AND amount BETWEEN least AND most
+    )
+    SELECT q.query_id, t.doc_id, t.txn_seq FROM txns t
+    JOIN q ON (q.keyword = '' OR contains(t.description, q.keyword)) AND (q.direction IS NULL OR q.direction = t.direction) AND (q.date_from IS NULL OR t.date BETWEEN q.date_from AND q.date_to)
+        AND (q.amount_min IS NULL OR t.amount >= q.amount_min) AND (q.amount_max IS NULL OR t.amount <= q.amount_max)
+    LEFT JOIN a ON a.query_id = q.query_id AND a.doc_id = t.doc_id AND a.r = 1
+    WHERE a.txn_seq IS NULL OR (t.txn_seq <> a.txn_seq AND CASE q.side
+        WHEN 'after' THEN t.ts > a.ts AND epoch(t.ts) - epoch(a.ts) <= q.hours * 3600
+        WHEN 'before' THEN t.ts < a.ts AND epoch(a.ts) - epoch(t.ts) <= q.hours * 3600
+        ELSE t.ts <> a.ts AND abs(epoch(t.ts) - epoch(a.ts)) <= q.hours * 3600 END)
+""")
+def filtered_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02, JOIN-03, JOIN-05 with NLQ-01 to NLQ-06: anchored searches as they are interpreted, with
+    their words, direction, band and dates."""
+    asked_for = spark.createDataFrame(ANCHORED, "query_id int, text string").withColumn("as_of", F.lit("2024-01-31").cast("date"))
+    return match.matches(b.txns(spark, sf_dir), kept(search.interpret(asked_for))).select(*match.KEYS, "txn_seq")
+
+
 @register(f"""
     WITH {b.DATED_SQL}, a AS (
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY txn_seq) AS r FROM dated WHERE contains(lower(description), 'urgent')
@@ -470,6 +505,20 @@ def column_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
 
 
+@register(f"""
+    WITH {b.TXNS_SQL}, t AS (
+        SELECT *, doc_id::BIGINT % 3 AS how, count(*) OVER (PARTITION BY doc_id) AS n,
+               1000 + sum(CASE WHEN direction = 'credit' THEN amount ELSE -amount END::DECIMAL(20, 2)) OVER (PARTITION BY doc_id ORDER BY txn_seq) AS level FROM txns
+    ) SELECT doc_id, txn_seq, date, -1 AS time_sec, CASE WHEN how <> 1 THEN '' WHEN direction = 'debit' THEN 'paid to ' ELSE 'received ' END || description AS description, amount,
+             CASE WHEN how < 2 OR n > 1 THEN direction WHEN contains(description, 'purchase') THEN 'debit' ELSE 'credit' END AS direction, CASE WHEN how = 2 THEN level::DOUBLE END AS balance FROM t
+""")
+def unplaced_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-05 to TXT-09, TRL-01, TRL-04 without places: labels one space apart, direction by sign, by
+    wording or by the balance (which proves nothing for a single row)."""
+    _, blocks = records.table_cells(b.unplaced_texts(spark, sf_dir))
+    return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
+
+
 @register(f"""
     WITH {b.TXNS_SQL} SELECT doc_id, txn_seq, date, time_sec, description, amount, direction, round(amount + 1, 2) AS balance FROM txns
     WHERE doc_id IN (SELECT doc_id FROM txns GROUP BY doc_id HAVING count(*) >= 5)
@@ -485,7 +534,8 @@ def wrapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN contains(description, 'purchase') THEN 'debit' ELSE 'credit' END AS direction, round(amount + 1, 2) AS balance FROM txns
 """)
 def line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL-12, TXT-10: events rendered as lines without dates."""
+    """SCL-12, TXT-01, TXT-10: events rendered as lines without dates; statements of three lines and
+    more are tried as columns first, in which nothing is found."""
     _, blocks = records.table_cells(b.line_texts(spark, sf_dir))
     return tables.sequenced(lines.transactions(blocks, 2024)).selectExpr(*_PARSED_FIELDS)
 
