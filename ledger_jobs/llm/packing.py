@@ -1,7 +1,8 @@
 """Best-fit packing by exact-complement hashing of lengths.
 
-1. One pass tokenises the texts, cuts long ones into pieces, and numbers the pieces of each
-   length within their task.  Pieces are written; token ids go along only when asked for.
+1. One pass tokenises the texts, a block at a time, cuts long ones into pieces, and numbers the
+   pieces of each length within their task.  Pieces are written; token ids go along only when
+   asked for.
 2. The histogram of lengths (``capacity`` numbers, whatever the corpus) is all the planner needs.
    Single lengths, pairs and triples are indexed by their sums.  The gap that each longest piece
    leaves is looked up there, singles first, and what fills it exactly is consumed as often as the
@@ -18,12 +19,14 @@ null.  An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,67 +34,147 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledger_jobs.llm.common import blocks, id_text, keep, record_batch
+from ledger_jobs.llm.common import blocks, id_text, keep, record_batch, text_bytes
 
+#: Distinct pieces that a task remembers, with at most 16 times as many token ids.
 MEMO = 1_000_000
-#: White space beside a blank: there, pre-tokens depend on more than the next word.
-BESIDE = re.compile(r"\s | \s")
-SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
-#: ASCII and Latin letters, in which a run of letters ends a pre-token whatever follows.
-PLAIN = re.compile(f"[\t-\r -~{LETTERS}]*")
-PLAIN_PIECE = re.compile(f" ?[{LETTERS}]+| ?[^ {LETTERS}]+[{LETTERS}]*| ")
-
-
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+BLOCK = 1 << 22
+#: ASCII and Latin letters: a run of them ends a pre-token whatever follows, and is one by itself
+#: or with the blank before it.
+LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])"
+WORD = re.compile(rb" ?" + LETTER + rb"+")
+#: White space; beside it, pre-tokens depend on more than the next word.
+WIDE_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+BYTES = np.arange(256)
+WHITE = np.isin(BYTES, [*b"\t\n\v\f\r\x1c\x1d\x1e\x1f "])
+WIDE_LEAD = np.isin(BYTES, [0xC2, 0xE1, 0xE2, 0xE3])
+ASCII_LETTER = np.isin(BYTES, [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+ASCII_OTHER = ~ASCII_LETTER & (BYTES < 128)
+LATIN_LEAD = np.isin(BYTES, [0xC3, 0xC4, 0xC5])
+#: The character that stands for each byte in byte-level vocabularies.
+SHOWN = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+ALPHABET = "".join(chr(b if b in SHOWN else 256 + b - sum(x < b for x in SHOWN)) for b in range(256))
+
+
+def places(text: bytes, part: bytes) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where pieces of the texts ``raw[offsets[k]:offsets[k + 1]]`` start, all in ascending order.
+
+    A piece starts with each text, with a blank between two characters that are no white space, and
+    where a letter is followed by an ASCII character that is none.  Texts that hold a special token
+    are cut at blanks only.
+    """
+    white = WHITE[raw]
+    high = raw >= 128
+    letter = ASCII_LETTER[raw]
+    if high.any():
+        letter[1:] |= LATIN_LEAD[raw[:-1]] & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+        if WIDE_LEAD[raw].any():
+            for found in WIDE_WHITE.finditer(raw.data):
+                white[found.start() : found.end()] = True
+    ends = np.zeros(len(raw), bool)
+    ends[1:] = letter[:-1] & ASCII_OTHER[raw[1:]]
+    whole = raw.tobytes() if special else b""
+    for text in {int(np.searchsorted(offsets, at, side="right")) - 1 for s in special for at in places(whole, s)}:
+        ends[offsets[text] : offsets[text + 1]] = False
+    ends[1:-1] |= (raw[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+    ends[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(ends)
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, by a byte-level tokenizer file.
+    """Token ids of texts, each with the end token after it, by a byte-level tokenizer file.
 
     Pre-tokens of such a vocabulary never reach over a blank between two other characters, nor
-    from a letter into punctuation, so texts are cut there and each distinct piece is given to
-    the tokenizer once.
+    from a letter into punctuation, so texts are cut there.  A block's pieces are told apart by
+    Arrow's dictionary encoding; only distinct ones are looked up, and only new ones are given to
+    the tokenizer.  All else is done on arrays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if BESIDE.search(text):
-            return SAFE_CUT.split(text)
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return PLAIN_PIECE.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        here = set().union(*split)
-        new = [p for p in here if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            used = {p: self.memo[p] for p in here if p in self.memo}
-            recent = list(self.memo.items())[len(self.memo) // 2 :] if len(here) < MEMO // 2 else []
-            self.memo = dict(recent) | used
-            new = [p for p in here if p not in self.memo]
-        if new:
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[word] = pack_ids(got.ids)
-        find = self.memo.__getitem__
-        return [b"".join(map(find, pieces)) for pieces in split]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        rule = spec["pre_tokenizer"] or {}
+        plain = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule["add_prefix_space"]
+        #: Whether a run of letters goes to the vocabulary as it is.
+        self.words = plain and spec["normalizer"] is None and not any(map(WORD.fullmatch, self.special))
+        self.end_id = end_id
+        self._hold([b""], np.array([0, 1]), np.array([end_id], "<u4"))
+
+    def _hold(self, pieces: list[bytes], bounds: np.ndarray, ids: np.ndarray) -> None:
+        """Piece k of all that are remembered has the token ids ``ids[bounds[k]:bounds[k + 1]]``;
+        piece 0 is the end of a text."""
+        self.numbers = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.bounds, self.ids = bounds, ids
+
+    def forget(self) -> None:
+        """Keeps the later half of the pieces."""
+        half = len(self.numbers) // 2 + 1
+        bounds, ids = self.bounds[half:], self.ids[self.bounds[half] :]
+        end = np.array([self.end_id], "<u4")
+        self._hold([b"", *list(self.numbers)[half:]], np.append(0, bounds - bounds[0] + 1), np.concatenate((end, ids)))
+
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        words = [bool(self.words and WORD.fullmatch(p)) for p in pieces]
+        rest = [p.decode() for p, word in zip(pieces, words, strict=True) if not word]
+        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        tokens = self.tokenizer.model.tokenize
+        shown = codecs.charmap_decode
+        return [
+            [t.id for t in tokens(shown(p, "strict", ALPHABET)[0])] if word else next(found).ids
+            for p, word in zip(pieces, words, strict=True)
+        ]
+
+    def lookup(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of distinct pieces; those not remembered are learnt."""
+        number = lambda: np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+        found = number()
+        new = np.flatnonzero(found < 0)
+        if len(self.numbers) + len(new) > MEMO or len(self.ids) > 16 * MEMO:
+            self.forget()
+            found = number()
+            new = np.flatnonzero(found < 0)
+        if len(new):
+            words = [pieces[k] for k in new.tolist()]
+            ids = self._ids(words)
+            found[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+            self.numbers.update(zip(words, found[new].tolist(), strict=True))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(lengths)))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum()))))
+        return found
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and where those of each text begin; one more bound ends the last."""
+        raw, offsets = text_bytes(texts)
+        at = cuts(raw, offsets, self.special)
+        bounds = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        numbers = self.lookup(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)]
+        ends = np.searchsorted(at, offsets[1:])
+        numbers = np.insert(numbers, ends, 0)
+        first = self.bounds[numbers]
+        lengths = self.bounds[numbers + 1] - first
+        stops = np.cumsum(lengths)
+        ids = self.ids[np.repeat(first - stops + lengths, lengths) + np.arange(stops[-1])]
+        return ids, np.append(0, stops[ends + np.arange(len(ends))])
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
-    return Encoder(path)
+def load(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -102,15 +185,17 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = load(path), pack_ids([end_id])
+        encoder = load(path, end_id)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", BLOCK):
             ids = batch.column("id").to_pylist()
+            found, bounds = encoder.encode_block(batch.column("text"))
+            data, bounds = memoryview(found).cast("B"), (4 * bounds).tolist()
             rows = [
-                (i, k, start, length, zlib.crc32(piece := data[4 * start : 4 * (start + length)]), piece)
-                for i, data in zip(ids, (d + end for d in encoder.encode_block(batch.column("text").to_pylist())), strict=True)
-                for k, (start, length) in enumerate(pieces_of(len(data) // 4, capacity))
+                (i, k, start, length, zlib.crc32(piece := data[at + 4 * start : at + 4 * (start + length)]), piece)
+                for i, at, to in zip(ids, bounds, bounds[1:], strict=False)
+                for k, (start, length) in enumerate(pieces_of((to - at) // 4, capacity))
             ]
             id_, piece, start, length, crc, data = zip(*rows, strict=True)
             lengths = np.array(length)
@@ -120,7 +205,7 @@ def _piece_rows(path: str, capacity: int, end_id: int, with_ids: bool, schema: p
             rank[order] = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
             rank += seen[lengths]
             seen += counts
-            more = {"ids": list(data)} if with_ids else {}
+            more = {"ids": list(map(bytes, data))} if with_ids else {}
             yield record_batch(
                 schema, id=list(id_), piece=list(piece), start=list(start), length=lengths, ids_crc32=list(crc),
                 part=np.full(len(rows), part), rank=rank, **more,
