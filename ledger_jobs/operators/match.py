@@ -73,12 +73,12 @@ def resolve_anchors(txns: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def in_window() -> Column:
-    """Whether a matched row lies in its anchor's window: by clock times if both have one, else by
-    the order of lines of one source, on the same or the adjacent day.  Never the anchor itself."""
+    """Whether a matched row lies in its anchor's window: by clock times to the microsecond if both have
+    one, else by the order of lines of one source, on the same or the adjacent day.  Never the anchor itself."""
     a, after, around = F.col("anchor_txn"), F.col("anchor.after"), F.col("anchor.around")
-    apart = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(a.ts.cast("timestamp"))
-    wide = F.col("anchor.window_hours") * 3600
-    clock = F.when(around, (apart != 0) & (F.abs(apart) <= wide)).when(after, (apart > 0) & (apart <= wide)).otherwise((apart < 0) & (-apart <= wide))
+    apart, none = F.col("ts") - a.ts, F.make_dt_interval()
+    wide = F.make_dt_interval(hours=F.col("anchor.window_hours").cast("int"))
+    clock = F.when(around, (apart != none) & (F.abs(apart) <= wide)).when(after, (apart > none) & (apart <= wide)).otherwise((apart < none) & (-apart <= wide))
     days, here = F.datediff("date", a.date), F.col("source") == a.source
     later, sooner = F.col("line_no") > a.line_no, F.col("line_no") < a.line_no
     order = here & F.when(around, F.abs(days) <= 1).when(after, (days == 1) | ((days == 0) & later)).otherwise((days == -1) | ((days == 0) & sooner))

@@ -132,3 +132,15 @@ def test_cut_lists(spark, monkeypatch, most):
     assert got == {k: list(enumerate(v[:most], 1)) for k, v in sequence.items()}
     monkeypatch.setattr(match, "MOST_MATCHES", most)
     assert {(r.query_id, r.doc_id): r.truncated for r in match.results(found, txns, q).collect()} == {k: len(v) > most for k, v in sequence.items()}
+
+
+@pytest.mark.parametrize(("said", "want"), [("after rent", [4, 5]), ("before rent", [1, 2]), ("around rent within 12 hours", [1, 2, 4, 5])])
+def test_windows_to_the_microsecond(spark, said, want):
+    """Rows of the anchor's own second, and at the edges of the window, are told apart."""
+    noon, wide = dt.datetime(2024, 1, 5, 12, 0, 0, 500_000), dt.timedelta(hours=12)
+    tick = dt.timedelta(microseconds=1)
+    stamps = [noon - wide - tick, noon - wide, noon - tick, noon, noon + tick, noon + wide, noon + wide + tick]
+    rows = [("d", k, 0, "s", k, t.date(), t.hour * 3600 + t.minute * 60 + t.second, t, "rent" if t == noon else "shop", 5.0, "debit", None, "") for k, t in enumerate(stamps)]
+    asked = spark.createDataFrame([(1, f"everything {said}")], "query_id int, text string").withColumn("as_of", F.lit("2024-01-31").cast("date"))
+    found = match.matches(spark.createDataFrame(rows, TXNS), search.interpret(asked)).collect()
+    assert sorted(r.txn_seq for r in found) == want
