@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, KB (one decimal), MB or GB (two)."""
+def human_size(n: Column, gigabytes: bool = True) -> Column:
+    """Bytes as B, KB (one decimal), MB or GB (two); without ``gigabytes`` MB is the largest unit."""
     size = n.cast("double")
+    megabytes = F.format_string("%.2f MB", F.bround(size / 2.0**20, 2))
     return (
-        F.when(size >= 2.0**30, F.format_string("%.2f GB", F.bround(size / 2.0**30, 2)))
-        .when(size >= 2.0**20, F.format_string("%.2f MB", F.bround(size / 2.0**20, 2)))
+        F.when(size >= 2.0**30, F.format_string("%.2f GB", F.bround(size / 2.0**30, 2)) if gigabytes else megabytes)
+        .when(size >= 2.0**20, megabytes)
         .when(size >= 2.0**10, F.format_string("%.1f KB", F.bround(size / 2.0**10, 1)))
         .otherwise(F.format_string("%d B", n.cast("long")))
     )
