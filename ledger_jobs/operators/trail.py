@@ -110,7 +110,9 @@ def _grouped(rows: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
     rows = rows.withColumns(
         {"k": F.count("*").over(group), "delta": F.max("level").over(group) - F.coalesce(F.max("known").over(group), F.max("previous").over(group))}
     )
-    one = F.when((F.col("k") == 1) & (F.col("delta") == F.col("cents")), True).when((F.col("k") == 1) & (F.col("delta") == -F.col("cents")), False)
+    fits = lambda change: (F.col("k") == 1) & (F.col("delta") == change)
+    # an amount of zero fits either way: the guess stays
+    one = F.when(fits(F.col("cents")) & fits(-F.col("cents")), F.col("guess")).when(fits(F.col("cents")), True).when(fits(-F.col("cents")), False)
     way = F.struct("closed", "restarts", "k", "delta", one.alias("credit"))
     return rows.withColumn("back" if reverse else "forth", way).drop("closed", "restarts", "previous", "known", "k", "delta")
 
